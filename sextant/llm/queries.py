@@ -25,8 +25,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select(*columns)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_quality_rules": op3_quality_rules}
+    return {"op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,3 +20,14 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND longest_repeat <= 50 AS kept FROM m
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i - 1 AS pos, l[i:i+2] AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d) WHERE regexp_matches(array_to_string(l[i:i+2], ''), '[^\x20\x09-\x0D]')),
+later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r FROM w) WHERE r > 1),
+cov AS (SELECT DISTINCT doc_id, pos + k AS p FROM later, range(0, 3) r(k)),
+each_line AS (SELECT doc_id, i, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+kept AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n FROM each_line e LEFT JOIN cov ON e.doc_id = cov.doc_id AND e.i - 1 = cov.p WHERE cov.p IS NULL GROUP BY e.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
+  CAST(coalesce(len(l), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -31,11 +31,24 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.mixing import mixed_counts
+
+    counts = mixed_counts(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return counts.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.linewindows import line_dedup
+
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op3_quality_rules": oracles.QUALITY_RULES}
+    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP}

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,16 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file lies; SEXTANT_VOCABULARIES names another folder."""
+    folder = os.environ.get("SEXTANT_VOCABULARIES")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,8 +55,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

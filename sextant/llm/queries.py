@@ -42,6 +42,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op1_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.hilbert import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.llm.mixing import mixed_counts
 
@@ -62,7 +68,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

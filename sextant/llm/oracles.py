@@ -31,3 +31,14 @@ kept AS (SELECT e.doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(l), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed FROM d LEFT JOIN kept USING (doc_id)
 """
+
+URL_FILTER = r"""
+WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 365 AS INTEGER) AS fetched_on,
+  nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\\]+)', 1)), '\.$', ''), '') AS host FROM pages),
+h AS (SELECT host AS domain, min(page_id) AS p FROM p WHERE host IS NOT NULL GROUP BY host HAVING min(page_id) % 3 = 0),
+e AS (SELECT domain, DATE '2024-01-01' + CAST((p * 13) % 200 + k * 60 AS INTEGER) AS listed_on, CASE k WHEN 1 THEN 'remove' ELSE 'add' END AS action FROM h, range(0, 3) r(k) WHERE k <= p % 4),
+v AS (SELECT domain, listed_on AS valid_from, action, lead(listed_on) OVER (PARTITION BY domain ORDER BY listed_on) AS valid_to FROM e),
+hit AS (SELECT page_id, arg_max(domain, length(domain)) AS blocked_by FROM p JOIN v ON (p.host = v.domain OR ends_with(p.host, '.' || v.domain))
+  AND v.action = 'add' AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) GROUP BY page_id)
+SELECT page_id, url, fetched_on, blocked_by IS NOT NULL AS blocked, blocked_by FROM p LEFT JOIN hit USING (page_id)
+"""

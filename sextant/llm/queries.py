@@ -61,6 +61,32 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.pseudonyms import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a list history made from the pages' own hosts: their fetch date and the list's dates follow
+    from page ids, so that entries are added, taken off and added again while captures go on."""
+    from sextant.llm.urlfilter import host_of, url_filter
+
+    start = F.lit("2024-01-01").cast("date")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(start, F.pmod(F.col("page_id") * 37, F.lit(365)).cast("int")).alias("fetched_on"))
+    hosts = pages.groupBy(host_of(F.col("url")).alias("domain")).agg(F.min("page_id").alias("p")).where("domain IS NOT NULL AND p % 3 = 0")
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("action")) for k, a in enumerate(("add", "remove", "add"))])
+    dated = hosts.select("domain", "p", F.explode(steps).alias("s")).where("s.k <= p % 4")
+    entries = dated.select("domain", F.date_add(start, (F.pmod(F.col("p") * 13, F.lit(200)) + F.col("s.k") * 60).cast("int")).alias("listed_on"), "s.action")
+    return url_filter(pages, entries)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.secrets import secret_scan
+
+    return secret_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.llm.bpe import bpe_round_trip
 
@@ -68,10 +94,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP}
+    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER}

@@ -61,6 +61,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written from all documents, then counted by their separators alone."""
+    from sextant.llm.storage import shared_folder
+    from sextant.llm.tokenfiles import count_tokens, write_token_files
+
+    end = 50256
+    folder = f"{shared_folder(spark)}/sextant-tokens"
+    written = write_token_files(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), end, folder)
+    counts = count_tokens(written.select("file"), folder, end)
+    return written.join(counts, ["file", "ordinal"], "full").select("doc_id", "n_tokens", "file", "ordinal")
+
+
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.llm.pseudonyms import pseudonymise
 
@@ -94,7 +106,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.functions.physics import cosine_similarity
+from sextant.storage import cut
 
 
 def _spread(cells: DataFrame, r: int) -> DataFrame:
@@ -98,20 +99,19 @@ def components(mask: DataFrame, most_rounds: int = 100) -> DataFrame:
     Runs of a row are joined by a window first; then the runs' least names travel over touching runs and jump to the name's
     own name, which takes about the logarithm of a component's length in runs. Rounds are written out, not kept in lineage.
     """
-    spark = mask.sparkSession
     by_row = Window.partitionBy("y").orderBy("x")
     cells = mask.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct()
     runs = cells.withColumn("g", F.col("x") - F.row_number().over(by_row)).groupBy("y", "g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = _written(runs.select("y", "x0", "x1", (F.col("y") * (1 << 31) + F.col("x0")).alias("run")))
+    runs = cut(runs.select("y", "x0", "x1", (F.col("y") * (1 << 31) + F.col("x0")).alias("run")), "runs")
     a, b = runs.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", F.col("run").alias("u")), runs.select(F.explode(F.sequence("x0", "x1")).alias("x"), (F.col("y") - 1).alias("y"), F.col("run").alias("v"))
     touch = a.join(b, ["x", "y"]).select("u", "v").distinct()
-    edges = _written(touch.union(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    names = _written(runs.select(F.col("run").alias("u"), F.col("run").alias("name")))
+    edges = cut(touch.union(touch.select(F.col("v").alias("u"), F.col("u").alias("v"))), "touch")
+    names = cut(runs.select(F.col("run").alias("u"), F.col("run").alias("name")), "names")
     for _ in range(most_rounds):
         seen = edges.join(names.select(F.col("u").alias("v"), F.col("name").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         step = names.join(seen, "u", "left").select("u", F.col("name").alias("was"), F.least("name", "n").alias("name"))
         jump = step.join(step.select(F.col("u").alias("name"), F.col("name").alias("then")), "name", "left").select("u", "was", F.least(F.col("name"), F.col("then")).alias("name"))
-        after = _written(jump)
+        after = cut(jump, "names")
         names = after.select("u", "name")
         if after.where("was <> name").isEmpty():
             break
@@ -120,20 +120,6 @@ def components(mask: DataFrame, most_rounds: int = 100) -> DataFrame:
     return runs.join(names, F.col("run") == F.col("u")).select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", F.col("name").alias("component"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-sextant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/sextant-grid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def zones(components_of: DataFrame, values: DataFrame, least: int = 3) -> DataFrame:
     """Box, cells and mean value of each component of at least ``least`` cells."""
     met = components_of.join(values.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v"), ["x", "y"])

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.spark_names import free_name
+from sextant.llm.spark_names import Renamed
 
 WINDOW = 3
 
@@ -46,28 +46,23 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line
     covered becomes "". Rows equal in doc_id and text are the same document: what is first for one is first for the
     other. A null doc_id comes before all others. Other columns pass through, whatever their names.
     """
-    names = [c for c in docs.columns if c not in (lines_name, removed_name)]
-    rid, starts, lines = (free_name(names, x) for x in ("rid", "starts", "lines"))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias(rid))
-    base = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(rid).alias("rid"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    cover = covered_windows(base).select(F.col("doc_id").alias("_id"), F.col("rid").alias("_rid"), F.col("starts").alias("_starts"))
-    met = keyed.join(cover, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col(rid) == F.col("_rid")), "left")
-    split = met.select(*[F.col(f"`{c}`") for c in names], F.col("_starts").alias(starts), _lines(F.col(f"`{text}`")).alias(lines))
-    n = F.coalesce(F.size(F.col(lines)), F.lit(0))
-    n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(n)
+    own = Renamed(docs, (lines_name, removed_name))
+    key, value = own[doc_id], own[text]
+    keyed = own.df.withColumn("rid", F.xxhash64(key, value))
+    cover = covered_windows(keyed.select(key.alias("doc_id"), "rid", value.alias("text")).where("text IS NOT NULL"))
+    cover = cover.select(F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid"), "starts")
+    met = keyed.join(cover, key.eqNullSafe(F.col("c_id")) & (F.col("rid") == F.col("c_rid")), "left").withColumn("lines", _lines(value))
     # stretches to keep: from the end of one covered window to the start of the next
-    bounds = F.concat(F.array(F.lit(-WINDOW)), F.col(starts), F.array(F.size(F.col(lines))))
+    bounds = F.concat(F.array(F.lit(-WINDOW)), F.col("starts"), F.array(F.size("lines")))
     gap = F.transform(
         F.slice(bounds, 1, F.size(bounds) - 1),
         lambda x, k: F.struct((x + WINDOW).alias("at"), F.greatest(F.lit(0), F.get(bounds, k + 1) - x - WINDOW).alias("n")),
     )
-    gaps = free_name([*names, rid, starts, lines], "gaps")
-    cut = split.withColumn(gaps, F.when(F.col(starts).isNotNull(), gap))
-    kept = F.flatten(F.transform(F.col(gaps), lambda g: F.slice(F.col(lines), g["at"] + 1, g["n"])))
-    n_kept = F.aggregate(F.col(gaps), F.lit(0), lambda a, g: a + g["n"])
-    out = F.when(F.col(gaps).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
-    return cut.select(
-        *[out.alias(c) if c == text else F.col(f"`{c}`") for c in names],
-        n.cast("long").alias(lines_name),
-        F.when(F.col(gaps).isNull(), 0).otherwise(F.size(F.col(lines)) - n_kept).cast("long").alias(removed_name),
+    split = met.withColumn("gaps", F.when(F.col("starts").isNotNull(), gap))
+    kept = F.flatten(F.transform("gaps", lambda g: F.slice("lines", g["at"] + 1, g["n"])))
+    n_kept = F.aggregate("gaps", F.lit(0), lambda a, g: a + g["n"])
+    return split.select(
+        *own.back(**{text: F.when(F.col("gaps").isNull(), value).otherwise(F.array_join(kept, "\n"))}),
+        F.when(value.isNull(), 0).otherwise(F.size("lines")).cast("long").alias(lines_name),
+        F.when(F.col("gaps").isNull(), 0).otherwise(F.size("lines") - n_kept).cast("long").alias(removed_name),
     )

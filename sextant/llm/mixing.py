@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.llm.shipping import ship
-from sextant.llm.spark_names import free_name
+from sextant.llm.spark_names import Renamed
 from sextant.llm.storage import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -161,11 +161,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
     Rows alike in doc_id, source and text are one document whose copies are theirs together.
     """
-    rid, copies = free_name(docs.columns, "mix_rid"), free_name(docs.columns, "mix_copies")
+    own = Renamed(docs)
     plan = mixing_plan(mixing_units(docs), weights, share, cap).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_mix_id"), F.col("rid").alias("_mix_rid"), F.col("copies").alias(copies))
-    keyed = docs.withColumn(rid, F.xxhash64("doc_id", "source", "text"))
-    met = keyed.join(plan, (F.col(rid) == F.col("_mix_rid")) & keyed.doc_id.eqNullSafe(F.col("_mix_id")))
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("rid").alias("p_rid"), F.col("copies").cast("int").alias("copies"))
+    keyed = own.df.withColumn("rid", F.xxhash64(own["doc_id"], own["source"], own["text"]))
+    met = keyed.join(plan, (F.col("rid") == F.col("p_rid")) & own["doc_id"].eqNullSafe(F.col("p_id")))
     # a unit's copies are those of all its like rows together
-    each = met.dropDuplicates([rid, "_mix_id"]).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    each = met.dropDuplicates(["rid", "p_id"]).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return each.select(*own.back())

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.spark_names import free_name
+from sextant.llm.spark_names import Renamed
 
 ROUNDS = 8
 #: The 146,097 days of the Gregorian cycle of 400 years are 189 times 773.
@@ -161,13 +161,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str
     A null text stays null (0 replaced), as does an empty one. A column named as the count is replaced; others pass
     through. Rows do not meet: repeated rows give repeated results.
     """
-    names = [c for c in docs.columns if c != count_name]
-    found, rest, made = (free_name(names, x) for x in ("found", "rest", "made"))
-    t = F.col(f"`{text}`")
-    may = t.rlike("[0-9@]")
-    a = docs.select(*[F.col(f"`{c}`") for c in names], F.when(may, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias(found))
-    b = a.select("*", F.transform(F.col(found), lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now"))).alias(made), F.when(F.size(found) > 0, F.split(t, ANY, -1)).alias(rest))
-    joined = F.array_join(F.zip_with(F.col(rest), F.col(made), lambda r, m: F.concat(r, F.coalesce(m["now"], F.lit("")))), "")
-    out = F.when(F.size(F.col(found)) > 0, joined).otherwise(t)
-    changed = F.coalesce(F.size(F.filter(F.col(made), lambda m: m["was"] != m["now"])), F.lit(0))
-    return b.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.greatest(changed, F.lit(0)).cast("long").alias(count_name))
+    own = Renamed(docs, (count_name,))
+    t = own[text]
+    a = own.df.withColumn("found", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    b = a.select("*", F.transform("found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now"))).alias("made"), F.when(F.size("found") > 0, F.split(t, ANY, -1)).alias("rest"))
+    joined = F.array_join(F.zip_with("rest", "made", lambda r, m: F.concat(r, F.coalesce(m["now"], F.lit("")))), "")
+    changed = F.size(F.filter("made", lambda m: m["was"] != m["now"]))
+    return b.select(*own.back(**{text: F.when(F.size("found") > 0, joined).otherwise(t)}), F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias(count_name))

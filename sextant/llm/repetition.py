@@ -146,7 +146,7 @@ def quality_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     Null and empty texts have 0 everywhere; repeated rows are measured each by itself; an empty table stays empty.
     """
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in METRICS]
+    kept = [c for c in docs.columns if c.lower() not in METRICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

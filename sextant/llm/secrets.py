@@ -149,7 +149,7 @@ def secret_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     them ``lexed`` ones. A null text counts as empty: no spans, the hash of "". Clashing columns are replaced.
     """
     ship(docs.sparkSession)
-    names = [c for c in docs.columns if c not in RESULT and c != text]
+    names = [c for c in docs.columns if c.lower() not in RESULT and c != text]
     chosen = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,29 +1,5 @@
-"""Tables written to the cluster's shared folder, used to cut lineage so that a lost executor costs one re-read."""
+"""Where this subpackage keeps what it writes on the way."""
 
-from __future__ import annotations
+from sextant.storage import cut, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from sextant.llm.spark_names import free_name
-
-__all__ = ["cut", "free_name", "shared_folder"]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a fresh local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-sextant-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: the plan above starts from files."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/sextant-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_folder"]

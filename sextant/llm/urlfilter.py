@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.llm.spark_names import free_name
+from sextant.llm.spark_names import Renamed
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\\]+)"
 
@@ -48,10 +48,9 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     A capture without a host or fetch date is not blocked. Adjacent intervals count once; the day of an "add" is inside,
     the day of the next entry outside. Empty lists block nothing; clashing columns of captures are replaced.
     """
-    names = [c for c in captures.columns if c not in ("blocked", "blocked_by")]
-    host = free_name(names, "host")
-    keyed = captures.select(*[F.col(f"`{c}`") for c in names], host_of(F.col(f"`{url}`")).alias(host))
-    wanted = keyed.select(F.col(host).alias("_host"), F.col(f"`{fetched}`").cast("date").alias("_on")).where("_host IS NOT NULL AND _on IS NOT NULL").distinct()
+    own = Renamed(captures, ("blocked", "blocked_by"))
+    keyed = own.df.select("*", host_of(own[url]).alias("host"), own[fetched].cast("date").alias("day"))
+    wanted = keyed.select(F.col("host").alias("_host"), F.col("day").alias("_on")).where("_host IS NOT NULL AND _on IS NOT NULL").distinct()
     asked = wanted.withColumn("_domain", F.explode(domains_of(F.col("_host")))).withColumn("_month", F.trunc("_on", "month"))
     spans = validity_intervals(entries)
     # an open interval is looked up by its own rule, so that months need not be made up to an unknown end
@@ -61,5 +60,5 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     since = asked.join(standing, (F.col("_domain") == F.col("_d")) & (F.col("_on") >= F.col("_since")))
     hits = within.select("_host", "_on", "_domain").union(since.select("_host", "_on", "_domain"))
     verdicts = hits.groupBy("_host", "_on").agg(F.max(F.struct(F.length("_domain").alias("n"), F.col("_domain").alias("d"))).alias("by"))
-    met = keyed.join(verdicts, (F.col(host) == F.col("_host")) & (F.col(f"`{fetched}`").cast("date") == F.col("_on")), "left")
-    return met.select(*[F.col(f"`{c}`") for c in names], F.col("by").isNotNull().alias("blocked"), F.col("by.d").alias("blocked_by"))
+    met = keyed.join(verdicts, (F.col("host") == F.col("_host")) & (F.col("day") == F.col("_on")), "left")
+    return met.select(*own.back(), F.col("by").isNotNull().alias("blocked"), F.col("by.d").alias("blocked_by"))

@@ -49,10 +49,13 @@ def _on(view_name: str, name: str, oracle: str | None = None) -> Callable[[Calla
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from sextant.plans import more  # registers its own
+
+    return dict(_QUERIES) if more else {}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 

@@ -10,10 +10,13 @@ Code points that Unicode has not assigned are classed as the ``regex`` package c
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,13 @@ from sextant.llm.shipping import ship
 #: Fixed value: how byte-level vocabularies of this kind cut text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
+#: Words of more bytes than this are merged with a heap.
+LONG_WORD = 100
 _NEVER = 1 << 40
+_SPACE_PAIRS = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: White space that these pairs leave out; texts with any of it are cut by the slower pattern.
+_OTHER_SPACE = re.compile(r"[^\S \n\t\r]")
 _encoders: dict[str, BpeEncoder] = {}
 
 
@@ -74,9 +82,15 @@ class BpeEncoder:
         fits[made] = self.borders_hold(self.left[made], self.right[made], siblings=True)
         for i in made[np.argsort(self.rank[made])]:
             self.whole[i] = fits[i] and self.whole[self.left[i]] and self.whole[self.right[i]]
-        self._longest: dict[bytes, int] = {}
-        for t in self.id_of:
-            self._longest[t[:2]] = max(self._longest.get(t[:2], 1), len(t))
+        self._rank_of = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self._made = [made for _, made in self.merges.values()]
+        self._tree: dict = {}  # byte -> subtree; under -1 the token that ends there
+        for t, i in self.id_of.items():
+            at = self._tree
+            for byte in t:
+                at = at.setdefault(byte, {})
+            at[-1] = i
+        self._single = [self.id_of[bytes([b])] for b in range(256)]
         lengths = np.array([len(t) for t in self.token_bytes], np.int64)
         self._byte_at = np.concatenate([[0], np.cumsum(lengths)])
         self._bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
@@ -86,22 +100,27 @@ class BpeEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self._piece: dict[str, int] = {}
-        self._unsafe: set[int] = set()
-        self._ids, self._at, self._text = [np.zeros(0, np.int64)], [0], []
-        self._word: dict[bytes, list[int]] = {}
+        # pieces by their text: those after a space, those at a start; then a place in the lists below
+        self._inner: dict[str, int] = {}
+        self._first: dict[str, int] = {}
+        self._mark: dict[str, int] = {}
+        self._text: list[str] = []
+        self._ids, self._at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self._word: dict[str, str] = {}
 
     # -- words ---------------------------------------------------------------------------------------------------------
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match. Every single byte is a token, so there always is a next one."""
-        ids, longest, out, at, n = self.id_of, self._longest, [], 0, len(word)
-        while at < n:
-            for end in range(min(n, at + longest.get(word[at : at + 2], 1)), at, -1):
-                if (t := ids.get(word[at:end])) is not None:
-                    out.append(t)
-                    at = end
-                    break
+        tree, out, start, n = self._tree, [], 0, len(word)
+        while start < n:
+            node, at = tree, start
+            while at < n and (node := node.get(word[at])) is not None:
+                at += 1
+                if (token := node.get(-1)) is not None:
+                    best, end = token, at
+            out.append(best)
+            start = end
         return out
 
     def borders_hold(self, a: np.ndarray, b: np.ndarray, siblings: bool = False) -> np.ndarray:
@@ -135,7 +154,20 @@ class BpeEncoder:
 
     def merge(self, word: bytes) -> list[int]:
         """The exact tokens of a word: the leftmost pair of the lowest rank merges until none is left."""
-        tokens = [self.id_of[word[k : k + 1]] for k in range(len(word))]
+        one = self._single
+        tokens = [one[x] for x in word]
+        if len(tokens) <= LONG_WORD:
+            get = self._rank_of.get
+            ranks = [get(p, _NEVER) for p in zip(tokens, tokens[1:])]
+            while ranks and (least := min(ranks)) < _NEVER:
+                k = ranks.index(least)
+                tokens[k] = self._made[least]
+                del tokens[k + 1], ranks[k]
+                if k < len(ranks):
+                    ranks[k] = get((tokens[k], tokens[k + 1]), _NEVER)
+                if k:
+                    ranks[k - 1] = get((tokens[k - 1], tokens[k]), _NEVER)
+            return tokens
         n, merges = len(tokens), self.merges
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], k, tokens[k], tokens[k + 1], m[1]) for k in range(n - 1) if (m := merges.get((tokens[k], tokens[k + 1])))]
@@ -173,33 +205,34 @@ class BpeEncoder:
 
     # -- texts ---------------------------------------------------------------------------------------------------------
 
-    def _learn(self, pieces: Iterable[tuple[str, str]]) -> None:
-        """Add pieces (key, text) to the cache; a piece is a stretch between two safe borders."""
+    def _learn(self, pieces: Iterable[tuple[dict[str, int], str, str]]) -> None:
+        """Add pieces (their table, key and text); a piece is a stretch between two safe borders."""
         pieces = list(pieces)
-        cut = [[w.encode() for w in self._words.findall(text)] for _, text in pieces]
-        new = list({w for ws in cut for w in ws if w not in self._word})
-        self._word.update(zip(new, self.encode_words(new)[0], strict=True)) if new else None
-        flat, at = [], self._at[-1]
-        for (key, _), ws in zip(pieces, cut, strict=True):
-            ids = [t for w in ws for t in self._word[w]]
-            self._piece[key] = len(self._text)
-            self._text.append(",".join(map(str, ids)))
-            flat += ids
-            at += len(ids)
-            self._at.append(at)
-        self._ids.append(np.array(flat, np.int64))
+        # letters alone are one word
+        cut = [[text] if key.isalpha() else self._words.findall(text) for _, key, text in pieces]
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self._word]
+        if new:
+            tokens = self.encode_words([w.encode() for w in new])[0]
+            self._word.update(zip(new, [",".join(map(str, t)) for t in tokens], strict=True))
+        word = self._word
+        texts = [word[ws[0]] if len(ws) == 1 else ",".join([word[w] for w in ws]) for ws in cut]
+        for k, (table, key, _) in enumerate(pieces, len(self._text)):
+            table[key] = k
+        self._append(texts)
+
+    def _append(self, texts: list[str]) -> None:
+        self._text += texts
+        joined = ",".join(t for t in texts if t)
+        ids = np.array(joined.split(","), np.int32) if joined else np.zeros(0, np.int32)
+        counts = np.array([t.count(",") + 1 if t else 0 for t in texts], np.int64)
+        self._ids = np.concatenate([self._ids, ids])
+        self._at = np.concatenate([self._at, self._at[-1] + np.cumsum(counts)])
 
     def _pieces(self, text: str) -> list[str]:
-        """Keys of the pieces of a text without special tokens. A space between two visible characters is always the
-        start of a word, so the text is cut there; a key starts with "^" where its piece has no such space before it."""
-        if not text:
-            return []
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = self._safe_space.split(text)
-        parts[0] = "^" + parts[0]
-        parts[1:] = [" " + p for p in parts[1:]]
-        return parts
+        """A text cut at spaces between two visible characters, each of which is always the start of a word."""
+        if any(x in text for x in _SPACE_PAIRS) or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE.search(text):
+            return self._safe_space.split(text)
+        return text.split(" ")
 
     def encode_batch(self, texts: list[str], special: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """All token ids, the number of each text, and each text's ids as decimals joined by commas.
@@ -208,34 +241,43 @@ class BpeEncoder:
         """
         if len(self._text) > CACHE_WORDS:
             self.forget()
-        keyed: list[list[str]] = []
+        # each text as stretches between special tokens: (special token before or None, pieces)
+        stretches: list[list[tuple[str | None, list[str]]]] = []
         for text in texts:
-            if special and self._special and self._special.search(text):
-                keys, at = [], 0
+            found, at, before = [], 0, None
+            if special and self._special:
                 for m in self._special.finditer(text):
-                    keys += self._pieces(text[at : m.start()]) + ["<" + m[0]]
-                    at = m.end()
-                keyed.append(keys + self._pieces(text[at:]))
-            else:
-                keyed.append(self._pieces(text))
-        new = {k for keys in keyed for k in keys if k not in self._piece}
-        for k in [k for k in new if k[0] == "<"]:
-            new.discard(k)
-            self._piece[k] = len(self._text)
-            self._text.append(str(self.special[k[1:]]))
-            self._at.append(self._at[-1] + 1)
-            self._ids.append(np.array([self.special[k[1:]]], np.int64))
-        self._learn((k, k[1:] if k[0] == "^" else k) for k in new)
-        self._ids = [np.concatenate(self._ids)]
-        get, text_of = self._piece.__getitem__, self._text.__getitem__
-        index = [list(map(get, keys)) for keys in keyed]
+                    found.append((before, self._pieces(text[at : m.start()]) if m.start() > at else []))
+                    at, before = m.end(), m[0]
+            found.append((before, self._pieces(text[at:]) if len(text) > at else []))
+            stretches.append(found)
+        parts = [p for found in stretches for _, p in found if p]
+        inner = set(chain.from_iterable(p[1:] for p in parts)) - self._inner.keys()
+        first = {p[0] for p in parts} - self._first.keys()
+        marks = {m for found in stretches for m, _ in found if m is not None} - self._mark.keys()
+        self._learn(chain(((self._inner, x, " " + x) for x in inner), ((self._first, x, x) for x in first)))
+        for mark in marks:
+            self._mark[mark] = len(self._text)
+            self._append([str(self.special[mark])])
+        index: list[list[int]] = []
+        for found in stretches:
+            row: list[int] = []
+            for mark, p in found:
+                if mark is not None:
+                    row.append(self._mark[mark])
+                if p:
+                    row.append(self._first[p[0]])
+                    row.extend(map(self._inner.__getitem__, p[1:]))
+            index.append(row)
+        text_of = self._text.__getitem__
         strings = [",".join(map(text_of, x)) for x in index]
-        flat = np.fromiter((i for x in index for i in x), np.int64, sum(map(len, index)))
-        at = np.array(self._at, np.int64)
-        starts, counts = at[flat], at[flat + 1] - at[flat]
-        ids = self._ids[0][_ranges(starts, counts)]
+        sizes = list(map(len, index))
+        flat = np.fromiter(chain.from_iterable(index), np.int64, sum(sizes))
+        starts = self._at[flat]
+        counts = self._at[flat + 1] - starts
+        ids = self._ids[_ranges(starts, counts)]
         per_piece = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.cumsum([0, *map(len, index)])
+        ends = np.cumsum([0, *sizes])
         return ids, per_piece[ends[1:]] - per_piece[ends[:-1]], strings
 
     def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -258,6 +300,8 @@ def encoder(vocabulary: str) -> BpeEncoder:
     name = hashlib.sha256(vocabulary.encode()).hexdigest()
     if name not in _encoders:
         _encoders[name] = BpeEncoder(vocabulary)
+        gc.collect()
+        gc.freeze()  # the tables hold no cycles and need not be walked again
     return _encoders[name]
 
 
@@ -275,7 +319,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", wi
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     extra = (*RESULT, "token_ids") if with_ids else RESULT
-    names = [c for c in docs.columns if c not in extra and c != text]
+    names = [c for c in docs.columns if c.lower() not in extra and c != text]
     renamed = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +327,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", wi
         for whole in batches:
             for batch in textscan.batches_by_bytes(whole, text, 2 << 20):
                 texts = [x or "" for x in batch.column(text).to_pylist()]
+                gc.disable()  # a batch makes very many small lists and no cycles
                 ids, counts, strings = bpe.encode_batch(texts)
+                gc.enable()
                 made = [pa.array(counts, pa.int64())]
                 made.append(pa.array([hashlib.sha256(s.encode()).hexdigest() for s in strings], pa.string()))
                 made.append(pa.array([hashlib.sha256(b).hexdigest() for b in bpe.decode_batch(ids, counts)], pa.string()))

@@ -49,9 +49,9 @@ def _on(view_name: str, name: str, oracle: str | None = None) -> Callable[[Calla
 
 
 def queries() -> dict[str, Query]:
-    from sextant.plans import more  # registers its own
+    from sextant.plans import extra, more  # they register their own
 
-    return dict(_QUERIES) if more else {}
+    return dict(_QUERIES) if more and extra else {}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,12 +28,12 @@ from pyspark.sql.window import Window
 from sextant.llm.shipping import ship
 from sextant.llm.storage import cut
 
-CURVES = 16
+CURVES = 12
 DIMENSIONS = 8
 BITS = 4
 #: Share of all rows that a window reaches to either side.
-REACH = 0.03
-CELL = 512
+REACH = 0.02
+CELL = 2048
 #: Queries scored together against a cell.
 QUERY_CHUNK = 2048
 #: The projections' quantiles are fitted on at most this many vectors, those of the least id hashes.

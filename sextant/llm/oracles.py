@@ -42,3 +42,15 @@ hit AS (SELECT page_id, arg_max(domain, length(domain)) AS blocked_by FROM p JOI
   AND v.action = 'add' AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) GROUP BY page_id)
 SELECT page_id, url, fetched_on, blocked_by IS NOT NULL AS blocked, blocked_by FROM p LEFT JOIN hit USING (page_id)
 """
+
+#: All pairs with a common shingle are counted, and links are followed to their closure.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(1, greatest(2, len(w) - 2)) END) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i+3], ' ')) AS h FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, l.y FROM reach JOIN l ON l.x = reach.r)
+SELECT d AS doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""

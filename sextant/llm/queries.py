@@ -112,4 +112,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER}
+    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}

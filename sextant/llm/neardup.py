@@ -3,13 +3,16 @@
 1. One pass over the texts gives each document the size and a 128-bit digest of its shingle set, and the bucket names of
    its signature bands. Equal sets are one class from here on, named by its smallest doc_id, so any number of exact
    copies costs one row.
-2. A bucket's candidate edges form a star around one member. All links found are confirmed on full sets.
-3. A star can miss a link between two leaves. So the classes' components are taken, and buckets that still hold more
-   than one component are dealt again with four times as many centres a round, each pair of members once, until every
-   bucket is of one component or every cross-component pair of it has been tested. No pair that shares a bucket is
-   given up, and pairs already connected are never compared.
-
-With BANDS bands of ROWS values a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6.
+2. A bucket's candidate edges form a star around its most connected class, the one that shares most buckets with most
+   others (the original of a family of copies, as a rule). A class goes to the best centre of its buckets only, so there
+   are no more edges than classes, and they make a forest. All links are confirmed on full sets.
+3. A star can miss a link between two leaves. So the trees are labelled, and in buckets that still hold several labels
+   each pair of different labels is compared once, in the first bucket that the two share, by sketches of SKETCH bits;
+   those close enough go on to the full sets. A family of texts that resemble each other below the threshold costs
+   comparisons of bits, not of texts, and pairs already connected cost nothing.
+
+With BANDS bands of ROWS values a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6; its
+sketches are SLACK standard deviations off with probability 3e-5 at the threshold itself, far less above it. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import shingles, textscan
@@ -28,8 +31,10 @@ from sextant.llm.storage import cut
 
 BANDS = 32
 ROWS = 5
-#: Centres of a bucket grow by this factor each round.
-GROWTH = 4
+SKETCH = 2048
+#: The part of a sketch that is compared first.
+GLANCE = 512
+SLACK = 4.0
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -62,9 +67,35 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             for batch in textscan.batches_by_bytes(whole, "text", 1 << 20):
                 sets = shingles.shingle_sets(batch.column("text"), width)
                 lengths = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(np.concatenate(sets), lengths)], names=["node", "items"])
+                bits = shingles.sketches(shingles.signatures(sets, SKETCH))
+                words = np.where(lengths > 0, SKETCH // 64, 0)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(np.concatenate(sets), lengths), _lists(bits.reshape(-1), words)], names=["node", "items", "sketch"])
+
+    return docs.mapInArrow(run, "node long, items array<long>, sketch array<long>")
+
 
-    return docs.mapInArrow(run, "node long, items array<long>")
+def _close(a: str, b: str, percent: int, bits: int) -> Column:
+    """Whether two sketches differ in no more of their first bits than SLACK deviations above what the threshold leads to."""
+    j = percent / 100
+    limit = bits * (1 - j) / 2 + SLACK * (bits * (1 + j) / 2 * (1 - j) / 2) ** 0.5
+    words = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)]
+    total = words[0]
+    for w in words[1:]:
+        total = total + w
+    return total <= int(limit)
+
+
+def _forest_labels(parents: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of a forest given as (v, u: its only parent); label is the least node of the tree."""
+    up = cut(parents.select(F.col("v").alias("node"), F.col("u").alias("root")).distinct(), "forest")
+    while True:
+        above = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forest")
+        up = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            break
+    trees = up.groupBy("root").agg(F.least(F.col("root"), F.min("node")).alias("label"))
+    return cut(up.join(trees, "root").select("node", "label").union(trees.select(F.col("root").alias("node"), "label")), "labels")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -89,39 +120,40 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     ship(spark)
     base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = cut(_signed(base, width), "signed")
-    able = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = able.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = cut(able.join(classes, "digest").select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
-    # members: (bucket, node) of buckets that hold two nodes or more
-    placed = copies.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), F.col("rep").alias("node"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = cut(placed.join(shared, "bucket").select("bucket", "node", "low").distinct(), "members")
-    nodes = members.select("node").distinct()
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(F.col("digest").alias("name")).agg(F.min("doc_id").alias("rep"))
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    met = signed.join(classes, F.when(able, F.col("digest")) == F.col("name"), "left")
+    copies = cut(met.select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    # members: (bucket, node, n) of buckets that hold two nodes or more
+    bands = copies.where("bands IS NOT NULL").select(F.col("rep").alias("node"), "bands")
+    placed = bands.select(F.explode("bands").alias("bucket"), "node")
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+    members = cut(placed.join(shared, "bucket"), "members")
+    nodes = cut(members.groupBy("node").agg(F.sum("n").alias("degree")), "nodes")
     sets = cut(_sets(base.join(nodes, base.doc_id == nodes.node, "left_semi"), width), "sets")
-    # the first star: each node to the least centre of its buckets
-    star = members.where("low <> node").groupBy("node").agg(F.min("low").alias("u")).select("u", F.col("node").alias("v"))
-    links = cut(copies.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")).union(_confirmed(star, sets, percent)), "links")
-    labels = cut(components(links), "labels")
-    tested, centres = star, 1
-    members = members.select("bucket", "node")
-    while True:
-        known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        members = cut(known.join(mixed, "bucket"), "members")
-        if members.isEmpty():
-            break
-        chosen = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("slot")).agg(F.min(F.struct("node", "label")).alias("c"))
-        chosen = cut(chosen.select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label")), "centres")
-        pairs = members.join(chosen, "bucket").where("label <> centre_label").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
-        fresh = cut(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        found = cut(_confirmed(fresh, sets, percent), "found")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = cut(components(labels.select(F.col("label").alias("u"), F.col("node").alias("v")).union(found)), "labels")
-        # a centre has met every other member of its bucket
-        members = members.select("bucket", "node").join(chosen.select("bucket", F.col("centre").alias("node")), ["bucket", "node"], "left_anti")
-        centres *= GROWTH
-    out = signed.select("doc_id", "n_shingles").join(labels, F.col("doc_id") == F.col("node"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
+    ranked = members.join(nodes, "node").select("bucket", F.struct("degree", (-F.col("node")).alias("node")).alias("rank"))
+    centres = ranked.groupBy("bucket").agg(F.max("rank").alias("centre"))
+    star = ranked.join(centres, "bucket").where("rank < centre").groupBy("rank.node").agg(F.max("centre").alias("c"))
+    star = star.select((-F.col("c.node")).alias("u"), (-F.col("node")).alias("v"))
+    labels = _forest_labels(_confirmed(star, sets, percent))
+    # pairs of different labels, each in the first bucket that it shares
+    known = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    held = cut(known.join(mixed, "bucket").join(sets.select("node", "sketch"), "node").join(bands, "node"), "mixed")
+    others = held.select(*[F.col(c).alias(f"c_{c}") for c in held.columns])
+    differ = (F.col("bucket") == F.col("c_bucket")) & (F.col("node") < F.col("c_node")) & (F.col("label") != F.col("c_label"))
+    near = _close("sketch", "c_sketch", percent, GLANCE) & _close("sketch", "c_sketch", percent, SKETCH)
+    first = F.get(F.array_intersect("bands", "c_bands"), F.lit(0)) == F.col("bucket")
+    pairs = held.join(others, differ & near & first).select(F.col("node").alias("u"), F.col("c_node").alias("v")).distinct()
+    same_id = copies.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("u", "v")
+    more = cut(_confirmed(pairs, sets, percent).union(same_id), "links")
+    out = copies.join(labels, copies.rep == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("rep"))
+    if more.isEmpty():
+        label = F.col("rep")
+    else:
+        u, v = labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+        between = more.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+        merged = cut(components(between), "merged")
+        out, label = out.join(merged, out.rep == merged.node, "left"), F.coalesce("label", "rep")
+    component = F.coalesce(label, "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

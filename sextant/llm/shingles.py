@@ -95,3 +95,10 @@ def bands(signature: np.ndarray, count: int) -> np.ndarray:
     for k in range(width):
         out = textscan.mix(out * _STEP + parts[:, :, k])
     return out
+
+
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """One bit of each value of a signature, 64 to a word; where values differ the bits do half the time, bin by bin."""
+    rows, bins = signature.shape
+    salted = textscan.mix(signature + np.arange(bins, dtype=_U64) * _STEP)
+    return np.packbits((salted >> _U64(63)).astype(np.uint8), axis=1).view(_U64).reshape(rows, bins // 64)

@@ -330,6 +330,21 @@ def test_neighbours(spark, small):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in hilbert.nearest(few).collect()) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
 
 
+def test_windows_of_exactly_reach_keep_recall():
+    rng = np.random.default_rng(5)
+    unit = rng.standard_normal((20_000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    curves, asked = hilbert.Curves(unit[: hilbert.FIT_ROWS], 64, hilbert.CURVES), np.arange(0, 20_000, 100)
+    score = unit[asked] @ unit.T
+    score[np.arange(len(asked)), asked] = -2
+    near = np.argpartition(-score, 5, axis=1)[:, :5]
+    met = np.zeros(near.shape, bool)
+    for k in range(hilbert.CURVES):
+        place = np.argsort(np.argsort(curves.keys(unit, k), kind="stable"), kind="stable")
+        met |= np.abs(place[near] - place[asked][:, None]) <= hilbert.REACH * len(unit)
+    assert met.mean() >= 0.9
+
+
 def test_hilbert_order_is_a_path():
     side, n = 8, 3
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])

@@ -5,8 +5,10 @@ a Hilbert curve each. Every curve's order is cut into cells of CELL rows; a quer
 its own cell and the neighbouring cells that hold ``reach`` of all rows to either side, and the windows of all curves are
 merged and reranked on the original vectors.
 
-Equal vectors are one class that keeps its k + 1 smallest ids: no more can be among the k nearest of any query. Keys
-alone are range-partitioned to find the cells; each vector then travels once for each curve.
+Vectors of the same direction are one class that keeps its k + 1 smallest ids: no more can be among the k nearest of any
+query. Cosines that agree to TIE are equal, and the smaller vec_id comes first. Cells give k + 1 classes for a query,
+chosen by that very order, so a tie of any number of vectors loses none that belongs in the result. Keys alone are
+range-partitioned to find the cells; each vector then travels once for each curve.
 
 On vectors without structure (independent directions in 64 dimensions) no ordering keeps neighbours close: REACH and
 CURVES are set so that recall is above 0.9 even there, at the price of scoring most of the table for a query. Structured
@@ -39,7 +41,11 @@ CELL = 2048
 QUERY_CHUNK = 2048
 #: The projections' quantiles are fitted on at most this many vectors, those of the least id hashes.
 FIT_ROWS = 10_000
-SPARE = 4
+#: Cosines are compared in whole steps of this, components of scaled vectors in steps of 2^-WAY_BITS.
+TIE = 1e-12
+WAY_BITS = 43
+#: Pairs scored together in double precision after a cell's matrix product has chosen them.
+PAIRS = 16_384
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -94,13 +100,39 @@ class Curves:
         return hilbert_keys(cells, BITS)
 
 
-def _matrix(vectors: list[bytes]) -> np.ndarray:
+def _scaled(vectors: list[bytes]) -> np.ndarray:
     m = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
-    # scaled first, so that neither huge nor tiny components leave the range of doubles when squared
-    m = m / np.abs(m).max(axis=1, keepdims=True)
+    # scaled, so that neither huge nor tiny components leave the range of doubles when squared
+    return m / np.abs(m).max(axis=1, keepdims=True)
+
+
+def _matrix(vectors: list[bytes]) -> np.ndarray:
+    m = _scaled(vectors)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products row by row, summed in the order of _cosine, so that both give the same bits."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out = out + a[:, j] * b[:, j]
+    return out
+
+
+def _best(a: np.ndarray, b: np.ndarray, ids: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``a`` the first ``take`` of ``b`` by cosine, then id: places in a, places in b, cosines."""
+    of_a, of_b, take = np.sqrt(_dots(a, a)), np.sqrt(_dots(b, b)), min(take, len(b))
+    near = (a / of_a[:, None]) @ (b / of_b[:, None]).T
+    least = np.partition(near, len(b) - take, axis=1)[:, len(b) - take]
+    row, column = np.nonzero(near >= least[:, None] - 4 * TIE)
+    dots = [_dots(a[row[i : i + PAIRS]], b[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+    cosine = np.concatenate(dots) / (of_a[row] * of_b[column])
+    order = np.lexsort((ids[column], -np.floor(cosine / TIE + 0.5), row))
+    row, column, cosine = row[order], column[order], cosine[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < take
+    return row[kept], column[kept], cosine[kept]
+
+
 def _packed(df: DataFrame) -> DataFrame:
     """(node, items) -> (node, packed): the doubles of a vector as bytes."""
 
@@ -117,7 +149,7 @@ def _packed(df: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = CURVES, reach: float = REACH) -> DataFrame:
     """query_id, rank (from 1), vec_id and score for the ``k`` nearest found of each row that ``is_query`` (over vec_id).
 
-    Largest cosine first, in double precision on the original vectors; ties go to the smaller vec_id; a row is no
+    Largest cosine first, in double precision on the original vectors; ties (up to TIE) go to the smaller vec_id; a row is no
     neighbour of its own id. With no more than k other rows, all of them. No part is taken by null ids and by vectors
     that are null, empty, zero, of another length than most, or hold null or non-finite components. Rows repeated with
     the same vec_id and vector count once. Other columns are ignored. An empty table gives no rows.
@@ -136,12 +168,14 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, v
     if not fitted:
         return spark.createDataFrame([], result)
     shape = spark.sparkContext.broadcast(Curves(_matrix(fitted), dim, curves))
-    # classes of equal vectors: node = smallest id, ids = the k + 1 smallest, asks = whether one of all its ids is a query
-    rows = cut(rows.where(F.size("items") == dim).distinct().withColumn("asks", F.expr(is_query)), "vectors")
-    nodes = rows.groupBy("items").agg(F.min("vec_id").alias("node"), F.max("asks").alias("asks"))
-    nodes = cut(nodes, "nodes")
-    few = F.row_number().over(Window.partitionBy("items").orderBy("vec_id"))
-    first_ids = rows.withColumn("_r", few).where(F.col("_r") <= k + 1).groupBy("items").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # classes of one direction: node = smallest id, ids = the k + 1 smallest, asks = whether one of all its ids is a query
+    most = F.array_max(F.transform("items", F.abs))
+    way = F.transform("items", lambda x: F.floor(x / most * float(1 << WAY_BITS) + 0.5))
+    rows = cut(rows.where(F.size("items") == dim).distinct().withColumn("asks", F.expr(is_query)).withColumn("way", way), "vectors")
+    nodes = rows.groupBy("way").agg(F.min(F.struct("vec_id", "items")).alias("least"), F.max("asks").alias("asks"))
+    nodes = cut(nodes.select("way", F.col("least.vec_id").alias("node"), "least.items", "asks"), "nodes")
+    few = F.row_number().over(Window.partitionBy("way").orderBy("vec_id"))
+    first_ids = rows.withColumn("_r", few).where(F.col("_r") <= k + 1).groupBy("way").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     first_ids = cut(first_ids.select("node", "ids"), "ids")
     packed = cut(_packed(nodes.select("node", "items")), "packed")
 
@@ -176,27 +210,29 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, v
         asked, held = block[block["query"]], block[~block["query"]]
         if not len(asked) or not len(held):
             return pd.DataFrame({"q": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "near": np.zeros(0)})
-        near = _matrix(asked["packed"].tolist()) @ _matrix(held["packed"].tolist()).T
-        take = min(k + SPARE, near.shape[1])
-        best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-        return pd.DataFrame({"q": np.repeat(asked["node"].to_numpy(), take), "node": held["node"].to_numpy()[best.reshape(-1)], "near": np.take_along_axis(near, best, axis=1).reshape(-1)})
+        row, column, near = _best(_scaled(asked["packed"].tolist()), _scaled(held["packed"].tolist()), held["node"].to_numpy(), k + 1)
+        return pd.DataFrame({"q": asked["node"].to_numpy()[row], "node": held["node"].to_numpy()[column], "near": near})
 
     found = data.unionByName(queries).groupBy("curve", "cell", "chunk").applyInPandas(score, "q long, node long, near double")
     merged = found.groupBy("q", "node").agg(F.max("near").alias("near"))
-    top = F.row_number().over(Window.partitionBy("q").orderBy(F.col("near").desc(), "node"))
-    merged = cut(merged.withColumn("_r", top).where(F.col("_r") <= k + SPARE).select("q", "node"), "merged")
+    top = F.row_number().over(Window.partitionBy("q").orderBy(_level("near").desc(), "node"))
+    merged = cut(merged.withColumn("_r", top).where(F.col("_r") <= k + 1).select("q", "node"), "merged")
     # rerank on the original vectors
     of_q = nodes.select(F.col("node").alias("q"), F.col("items").alias("of_q"))
     both = merged.join(nodes.select("node", "items"), "node").join(of_q, "q")
     ranked = both.select("q", "node", _cosine("items", "of_q").alias("score")).join(first_ids, "node").select("q", "score", F.explode("ids").alias("vec_id"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(_level("score").desc(), "vec_id"))
     ranked = ranked.withColumn("_r", place).where(F.col("_r") <= k + 1).select("q", "score", "vec_id")
-    asked = rows.where("asks").join(nodes.select("items", F.col("node").alias("q")), "items").select(F.col("vec_id").alias("query_id"), "q")
+    asked = rows.where("asks").join(nodes.select("way", F.col("node").alias("q")), "way").select(F.col("vec_id").alias("query_id"), "q")
     out = asked.join(ranked, "q").where("query_id <> vec_id")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(_level("score").desc(), "vec_id"))
     return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _level(score: str):
+    return F.floor(F.col(score) / TIE + 0.5)
+
+
 def _cosine(a: str, b: str):
     def scaled(x):
         most = F.array_max(F.transform(F.col(x), F.abs))

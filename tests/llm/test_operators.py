@@ -330,6 +330,21 @@ def test_neighbours(spark, small):
     assert sorted((r.query_id, r["rank"], r.vec_id) for r in hilbert.nearest(few).collect()) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
 
 
+def test_neighbours_of_many_ties_are_the_smallest_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(-1, 2, 6).astype(float).tolist() for _ in range(500)] + [[float(k % 6 == j) for j in range(6)] for k in range(60)]
+    hot = rng.standard_normal(6)
+    rows += [(hot * c).tolist() for c in rng.uniform(0.01, 99, 200)]
+    good = {int(i): np.array(v) for i, v in zip(rng.permutation(len(rows)), rows, strict=True) if any(v)}
+    unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    want = {q: sorted((-round(float(unit[q] @ unit[i]), 11), i) for i in good if i != q)[:5] for q in good if q % 5 == 0}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in good.items()], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in hilbert.nearest(df, "vec_id % 5 = 0").collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
 def test_windows_of_exactly_reach_keep_recall():
     rng = np.random.default_rng(5)
     unit = rng.standard_normal((20_000, 64))

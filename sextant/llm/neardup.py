@@ -7,12 +7,14 @@
    others (the original of a family of copies, as a rule). A class goes to the best centre of its buckets only, so there
    are no more edges than classes, and they make a forest. All links are confirmed on full sets.
 3. A star can miss a link between two leaves. So the trees are labelled, and in buckets that still hold several labels
-   each pair of different labels is compared once, in the first bucket that the two share, by sketches of SKETCH bits;
-   those close enough go on to the full sets. A family of texts that resemble each other below the threshold costs
+   each pair of different labels is compared once, in the first bucket that the two share, by sketches of SKETCH bits,
+   or by the sets themselves where one has fewer than SHORT shingles (sketches of few shingles are too coarse, and such
+   sets are hardly larger); those close enough go on to the full sets. A family of texts that resemble each other below the threshold costs
    comparisons of bits, not of texts, and pairs already connected cost nothing.
 
 With BANDS bands of ROWS values a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6; its
-sketches are SLACK standard deviations off with probability 3e-5 at the threshold itself, far less above it. No bucket is capped.
+sketches, if both sets have SHORT shingles, are SLACK standard deviations off with probability 3e-5 at the threshold
+itself, far less above it. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ SKETCH = 2048
 #: The part of a sketch that is compared first.
 GLANCE = 512
 SLACK = 4.0
+#: Sets of fewer shingles are compared themselves.
+SHORT = 64
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -61,17 +65,21 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, items; short: the items again of sets that can be similar to one of fewer than SHORT; sketch of the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textscan.batches_by_bytes(whole, "text", 1 << 20):
                 sets = shingles.shingle_sets(batch.column("text"), width)
                 lengths = np.array([len(s) for s in sets], np.int64)
-                bits = shingles.sketches(shingles.signatures(sets, SKETCH))
-                words = np.where(lengths > 0, SKETCH // 64, 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(np.concatenate(sets), lengths), _lists(bits.reshape(-1), words)], names=["node", "items", "sketch"])
+                bits = shingles.sketches(shingles.signatures([s for s in sets if len(s) >= SHORT], SKETCH))
+                words = np.where(lengths >= SHORT, SKETCH // 64, 0)
+                brief = np.where(percent * lengths < 100 * SHORT, lengths, 0)
+                few = np.concatenate([s[:n] for s, n in zip(sets, brief.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), _lists(np.concatenate(sets), lengths), _lists(few, brief), _lists(bits.reshape(-1), words)], names=["node", "size", "items", "short", "sketch"])
 
-    return docs.mapInArrow(run, "node long, items array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "node long, size long, items array<long>, short array<long>, sketch array<long>")
 
 
 def _close(a: str, b: str, percent: int, bits: int) -> Column:
@@ -85,6 +93,13 @@ def _close(a: str, b: str, percent: int, bits: int) -> Column:
     return total <= int(limit)
 
 
+def _similar(a: str, b: str, percent: int) -> Column:
+    """Whether two sets are similar enough; sizes first: without this much overlap possible, they need not be compared."""
+    small, big = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    both = F.size(F.array_intersect(a, b))
+    return F.when(100 * small >= percent * big, 100 * both >= percent * (F.size(a) + F.size(b) - both)).otherwise(False)
+
+
 def _forest_labels(parents: DataFrame) -> DataFrame:
     """(node, label) of all nodes of a forest given as (v, u: its only parent); label is the least node of the tree."""
     up = cut(parents.select(F.col("v").alias("node"), F.col("u").alias("root")).distinct(), "forest")
@@ -102,10 +117,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough. A set travels once for each of its pairs as v."""
     with_v = pairs.join(sets.withColumnRenamed("node", "v").withColumnRenamed("items", "of_v"), "v")
     with_both = with_v.join(sets.withColumnRenamed("node", "u").withColumnRenamed("items", "of_u"), "u")
-    # sizes first: without this much overlap possible, the sets need not be compared
-    small, big = F.least(F.size("of_u"), F.size("of_v")), F.greatest(F.size("of_u"), F.size("of_v"))
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    return with_both.where(100 * small >= percent * big).where(100 * both >= percent * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
+    return with_both.where(_similar("of_u", "of_v", percent)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,23 +142,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
     members = cut(placed.join(shared, "bucket"), "members")
     nodes = cut(members.groupBy("node").agg(F.sum("n").alias("degree")), "nodes")
-    sets = cut(_sets(base.join(nodes, base.doc_id == nodes.node, "left_semi"), width), "sets")
+    sets = cut(_sets(base.join(nodes, base.doc_id == nodes.node, "left_semi"), width, percent), "sets")
     ranked = members.join(nodes, "node").select("bucket", F.struct("degree", (-F.col("node")).alias("node")).alias("rank"))
     centres = ranked.groupBy("bucket").agg(F.max("rank").alias("centre"))
     star = ranked.join(centres, "bucket").where("rank < centre").groupBy("rank.node").agg(F.max("centre").alias("c"))
     star = star.select((-F.col("c.node")).alias("u"), (-F.col("node")).alias("v"))
-    labels = _forest_labels(_confirmed(star, sets, percent))
+    full = sets.select("node", "items")
+    labels = _forest_labels(_confirmed(star, full, percent))
     # pairs of different labels, each in the first bucket that it shares
     known = members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    held = cut(known.join(mixed, "bucket").join(sets.select("node", "sketch"), "node").join(bands, "node"), "mixed")
+    held = cut(known.join(mixed, "bucket").join(sets.select("node", "size", "short", "sketch"), "node").join(bands, "node"), "mixed")
     others = held.select(*[F.col(c).alias(f"c_{c}") for c in held.columns])
     differ = (F.col("bucket") == F.col("c_bucket")) & (F.col("node") < F.col("c_node")) & (F.col("label") != F.col("c_label"))
     near = _close("sketch", "c_sketch", percent, GLANCE) & _close("sketch", "c_sketch", percent, SKETCH)
+    # a larger set that isn't among the short ones is empty there, and too large for the smaller one
+    near = F.when(F.least("size", "c_size") < SHORT, _similar("short", "c_short", percent)).otherwise(near)
     first = F.get(F.array_intersect("bands", "c_bands"), F.lit(0)) == F.col("bucket")
     pairs = held.join(others, differ & near & first).select(F.col("node").alias("u"), F.col("c_node").alias("v")).distinct()
-    same_id = copies.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("u", "v")
-    more = cut(_confirmed(pairs, sets, percent).union(same_id), "links")
+    # every class of a doc_id that has several, with the least of them
+    several = copies.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("doc_id", "u")
+    same_id = copies.join(several, "doc_id").where("rep > u").select("u", F.col("rep").alias("v")).distinct()
+    more = cut(_confirmed(pairs, full, percent).union(same_id), "links")
     out = copies.join(labels, copies.rep == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("rep"))
     if more.isEmpty():
         label = F.col("rep")

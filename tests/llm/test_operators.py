@@ -127,6 +127,20 @@ def test_near_duplicates_shared_ids_null_ids_and_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_links_between_short_leaves(spark):
+    # chains of nine words each, of which neighbours share eight: exactly 0.8, and others are further apart
+    texts = [" ".join(f"f{chain}w{i + k}" for k in range(9)) for chain in range(60) for i in range(8)]
+    want = _near(list(enumerate(texts)), 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs_of(spark, texts), width=1).collect()}
+    assert got == want
+
+
+def test_near_duplicates_all_texts_of_an_id_are_linked(spark):
+    rows = [(5, "a b c d e f"), (5, "g h i j k l"), (5, "m n o p q r"), (1, "a b c d e f"), (2, "g h i j k l"), (3, "m n o p q r")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -114,13 +114,23 @@ def scan_text(text: str, may_hold_hex: bool = True) -> list[tuple[int, int, int]
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     if may_hold_hex:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-    if any(w in low for w in _LEX_WORDS):
+    if worth_lexing(low):
         spans += [(a, 3, b) for a, b in lex(text)]
     return sorted(spans)
 
 
-#: Every sensitive word, or its last part, occurs in a text that is worth lexing.
+#: Every sensitive word holds one of these; in a text its parts may stand apart by what joins the parts of a name.
 _LEX_WORDS = ("passw", "pwd", "passphrase", "passcode", "secret", "token", "key", "credential", "bearer")
+_JOINTS = ("_", "-", ".", "$")
+
+
+def worth_lexing(low: str) -> bool:
+    """Whether a text in lower case can name something sensitive."""
+    if any(w in low for w in _LEX_WORDS):
+        return True
+    for joint in _JOINTS:
+        low = low.replace(joint, "")
+    return any(w in low for w in _LEX_WORDS)
 
 
 def _long_hex_rows(column: pa.Array) -> np.ndarray:

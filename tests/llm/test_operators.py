@@ -409,6 +409,17 @@ def test_secrets(spark, small):
     assert secrets.secret_scan(docs_of(spark, [""]).limit(0)).count() == 0
 
 
+def test_secret_names_split_anywhere_are_lexed():
+    for word in secrets.SENSITIVE:
+        for k in range(len(word)):
+            for joint in ("_", "-", ".", "$", "__"):
+                name = word[:k] + joint * (k > 0) + word[k:]
+                text = f'{name} = "Xy7/qQ9z!pL2"'
+                assert secrets.sensitivity(name) and secrets.worth_lexing(text.lower())
+                assert [text[a:b] for a, kind, b in secrets.scan_text(text) if kind == 3] == ["Xy7/qQ9z!pL2"]
+    assert not secrets.worth_lexing("nothing of the kind - really")
+
+
 # -- pseudonyms --------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,8 @@
 Personal numbers are found by one pattern, validated, and permuted within their own format: payment cards (13 to 19
 digits, Luhn; the result passes Luhn too), phone numbers ((ddd) ddd-dddd or ddd-ddd-dddd, country code kept), IPv4
 addresses (octets of at most 255), dates of 1800 to 2199 (yyyy-MM-dd, yyyy/MM/dd, dd.MM.yyyy; the result is a date in the
-same format) and the letters and digits of an e-mail address's local part. What fails validation stays as it is. The map
+same format) and the letters and digits of an e-mail address's local part. Cards are looked for in whole runs of numbers
+between single spaces or dashes, at any of these as borders, so that a card beside a short number is found. What fails validation stays as it is. The map
 is one-to-one for each format and depends on the key alone, so equal values stay equal in every document.
 
 Every match costs a few hashes; the rest of a text is copied. No shuffle.
@@ -26,7 +27,10 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-
 PHONE = r"(?<![\w.-])(?:\+\d{1,3}[ -])?(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?!\w|[./-]\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"
+#: A run of numbers of 13 digits or more in all; the dash at its end is kept if the next number is no part of the run.
+CARD = r"(?<![\w.-])(?=\d(?:[ -]?\d){12})\d++(?!\w|\.\d)(?:[ -](?!" + "|".join([EMAIL, PHONE, IPV4, DATE]) + r")\d++(?!\w|\.\d))*+(?:-(?=\d))?+"
+#: Lengths of the numbers that a card is printed in.
+PRINTED = "^(?:1[3-9]|4-4-4-4|4-6-5|4-6-4|4-4-4-4-3)$"
 ANY = "|".join([EMAIL, PHONE, IPV4, DATE, CARD])
 
 
@@ -96,11 +100,64 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _part(items: Column, i: Column, n: Column) -> Column:
+    """``n`` items from place ``i``; slice() copies the whole array for it."""
+    return F.transform(F.sequence(i, i + n - 1), lambda j: F.get(items, j))
+
+
 def _card(m: Column, key: str) -> Column:
-    d = _digits(m)
-    body = permute_string(F.substr(d, F.lit(1), F.length(d) - 1), 10, key, "card")
-    made = F.concat(body, F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string"))
-    return F.when((_luhn_sum(d, 1) % 10 == 0) & F.length(d).between(13, 19), _refill(m, made)).otherwise(m)
+    def refilled(body: Column) -> Column:
+        return _refill(m, F.concat(body, F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string")))
+
+    digits = _digits(m)
+    return _let(F.substr(digits, F.lit(1), F.length(digits) - 1), lambda d: _let(permute_string(d, 10, key, "card"), refilled))
+
+
+def _cards(m: Column, key: str) -> Column:
+    """struct<now, n> of a run of numbers: from left to right, the longest sub-run that is a card, one that overlaps a
+    card in its printed groups only if it is one itself."""
+
+    def places(tokens: Column) -> Column:
+        n = F.size(tokens)
+        shut = F.when(m.endswith("-"), n).otherwise(-1)
+
+        def valid(i: Column, w: Column) -> Column:
+            return (i + w != shut) & _let(F.array_join(_part(tokens, i, w), ""), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, 1) % 10 == 0))
+
+        def printed(i: Column, w: Column) -> Column:
+            return F.array_join(F.transform(_part(tokens, i, w), lambda t: F.length(t).cast("string")), "-").rlike(PRINTED)
+
+        def chosen(widths: Column, best: Column) -> Column:
+            def step(s: Column, i: Column) -> Column:
+                free = F.filter(F.get(widths, i), lambda w: F.forall(_part(best, i, w), lambda x: x == 0))
+                width = F.when(i < s["next"], 0).when(F.get(best, i) > 0, F.get(best, i)).otherwise(F.coalesce(F.array_max(free), F.lit(0)))
+                return _let(
+                    width,
+                    lambda w: F.struct(
+                        (s["at"] + F.length(F.get(tokens, i)) + 1).alias("at"),
+                        F.when(w > 0, i + w).otherwise(s["next"]).alias("next"),
+                        F.when(w > 0, F.array_append(s["picks"], F.struct(s["at"].alias("at"), F.length(F.array_join(_part(tokens, i, w), " ")).alias("len")))).otherwise(s["picks"]).alias("picks"),
+                    ),
+                )
+
+            start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("next"), F.array().cast("array<struct<at:int,len:int>>").alias("picks"))
+            return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["picks"])
+
+        every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(F.sequence(F.lit(1), F.least(F.lit(19), n - i)), lambda w: valid(i, w)))
+        return _let(every, lambda widths: _let(F.transform(widths, lambda ws, i: F.coalesce(F.array_max(F.filter(ws, lambda w: printed(i, w))), F.lit(0))), lambda best: chosen(widths, best)))
+
+    def replaced(s: Column, p: Column) -> Column:
+        before = F.substr(m, s["next"], p["at"] - s["next"])
+        return _let(F.substr(m, p["at"], p["len"]), lambda was: _let(_card(was, key), lambda now: F.struct(F.concat(s["now"], before, now).alias("now"), (s["n"] + (now != was).cast("int")).alias("n"), (p["at"] + p["len"]).alias("next"))))
+
+    picks = _let(F.split(F.regexp_replace(m, "-$", ""), "[ -]"), places)
+    start = F.struct(F.lit("").alias("now"), F.lit(0).alias("n"), F.lit(1).alias("next"))
+    return F.aggregate(picks, start, replaced, lambda s: F.struct(F.concat(s["now"], F.substr(m, s["next"], F.length(m))).alias("now"), s["n"].alias("n")))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -144,15 +201,16 @@ KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, str], Colum
     "phone": (lambda m: m.rlike(f"^(?:{PHONE})$"), _phone),
     "ipv4": (lambda m: m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4),
     "date": (lambda m: m.rlike(f"^(?:{DATE})$"), _date),
-    "card": (lambda m: F.lit(True), _card),
 }
 
 
 def pseudonym(match: Column, key: str) -> Column:
+    """struct<now, n>: a match with its numbers replaced, and in a run of numbers how many were."""
     out = None
     for test, made in KINDS.values():
-        out = F.when(test(match), made(match, key)) if out is None else out.when(test(match), made(match, key))
-    return out
+        one = F.struct(made(match, key).alias("now"), F.lit(None).cast("int").alias("n"))
+        out = F.when(test(match), one) if out is None else out.when(test(match), one)
+    return out.otherwise(_cards(match, key))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str = "n_pseudonyms") -> DataFrame:
@@ -164,7 +222,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str
     own = Renamed(docs, (count_name,))
     t = own[text]
     a = own.df.withColumn("found", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    b = a.select("*", F.transform("found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("now"))).alias("made"), F.when(F.size("found") > 0, F.split(t, ANY, -1)).alias("rest"))
-    joined = F.array_join(F.zip_with("rest", "made", lambda r, m: F.concat(r, F.coalesce(m["now"], F.lit("")))), "")
-    changed = F.size(F.filter("made", lambda m: m["was"] != m["now"]))
+    b = a.select("*", F.transform("found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("made"))).alias("made"), F.when(F.size("found") > 0, F.split(t, ANY, -1)).alias("rest"))
+    joined = F.array_join(F.zip_with("rest", "made", lambda r, m: F.concat(r, F.coalesce(m["made"]["now"], F.lit("")))), "")
+    changed = F.aggregate("made", F.lit(0), lambda n, m: n + F.coalesce(m["made"]["n"], (m["was"] != m["made"]["now"]).cast("int")))
     return b.select(*own.back(**{text: F.when(F.size("found") > 0, joined).otherwise(t)}), F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias(count_name))

@@ -446,6 +446,19 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(df.limit(0), "k").count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 123", f"{card} 12/27", "3 4111111111111111", f"1234 {card}", f"{card} 12.50", f"{card} 415-555-1234", f"{card} 2024-01-02", f"{card} 4111111111111111 7", f"{card}-12.50", f"7 {card} 5-12.50", "123 415-555-1234"]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(docs_of(spark, texts), "k").collect()}
+    now = got[0].text
+    assert now != card and _luhn(now)
+    assert [got[i].text for i in (1, 2, 3, 4, 5)] == [f"{now} 123", f"{now} 12/27", "3 " + now.replace(" ", ""), f"1234 {now}", f"{now} 12.50"]
+    assert got[6].text.startswith(now + " ") and got[7].text.startswith(now + " ")
+    assert got[8].text == f"{now} {now.replace(' ', '')} 7" and got[9].text == texts[9] and got[10].text == f"7 {now} 5-12.50"
+    assert got[11].text.startswith("123 ") and got[11].text != texts[11]
+    assert [got[i].n_pseudonyms for i in range(12)] == [1, 1, 1, 1, 1, 1, 2, 2, 2, 0, 1, 1]
+
+
 def test_permutations_are_one_to_one(spark):
     for width in (1, 2, 3):
         d = spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("x"))

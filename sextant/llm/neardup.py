@@ -39,6 +39,8 @@ GLANCE = 512
 SLACK = 4.0
 #: Sets of fewer shingles are compared themselves.
 SHORT = 64
+#: Rows signed at once, so that SLICE_ROWS * SKETCH values are the most that a worker holds.
+SLICE_ROWS = 512
 
 
 def _long(values: np.ndarray) -> pa.Array:
@@ -53,7 +55,7 @@ def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in textscan.batches_by_bytes(whole, "text"):
+            for batch in textscan.batches_by_bytes(whole, "text", rows=SLICE_ROWS):
                 sets = shingles.shingle_sets(batch.column("text"), width)
                 names = shingles.bands(shingles.signatures(sets, BANDS * ROWS), BANDS)
                 lengths = np.array([len(s) for s in sets], np.int64)
@@ -70,7 +72,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in textscan.batches_by_bytes(whole, "text", 1 << 20):
+            for batch in textscan.batches_by_bytes(whole, "text", rows=SLICE_ROWS):
                 sets = shingles.shingle_sets(batch.column("text"), width)
                 lengths = np.array([len(s) for s in sets], np.int64)
                 bits = shingles.sketches(shingles.signatures([s for s in sets if len(s) >= SHORT], SKETCH))

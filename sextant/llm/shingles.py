@@ -12,8 +12,6 @@ from sextant.llm import textscan
 _U64 = np.uint64
 _STEP = _U64(0x2545F4914F6CDD1D)
 _EMPTY = _U64(0xFFFFFFFFFFFFFFFF)
-#: Probes of the densification before it takes the next filled bin to the right.
-_PROBES = 256
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -47,16 +45,16 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _probe_table(bins: int) -> np.ndarray:
-    at = np.arange(bins * _PROBES, dtype=_U64).reshape(_PROBES, bins)
-    return (textscan.mix(at + _U64(0x51ED270B)) % _U64(bins)).astype(np.int64)
+def _probe(bins: int, turn: int) -> np.ndarray:
+    """The bin that each of ``bins`` bins looks at in a turn of its probe sequence, the same for all sets."""
+    return (textscan.mix(np.arange(bins, dtype=_U64) + _U64(turn * bins + 0x51ED270B)) % _U64(bins)).astype(np.int64)
 
 
 def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """One-permutation MinHash with optimal densification, a row of ``bins`` values for each set that isn't empty.
 
     The hash range is cut into ``bins`` parts and each keeps its least hash. An empty bin borrows the value of the first
-    filled bin along its own fixed random probe sequence, which keeps P(equal) = Jaccard for every bin.
+    filled bin along its own fixed random probe sequence, however far that is, which keeps P(equal) = Jaccard for every bin.
     """
     sets = [s for s in sets if len(s)]
     lengths = np.array([len(s) for s in sets], np.int64)
@@ -68,21 +66,14 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     raw = np.full(len(sets) * bins, _EMPTY, _U64)
     raw[place[opens]] = flat[opens]
     raw = raw.reshape(len(sets), bins)
-    out, table = raw.copy(), _probe_table(bins)
+    out = raw.copy()
     row, column = np.nonzero(out == _EMPTY)
-    for probe in table:
-        if not len(row):
-            return out
-        found = raw[row, probe[column]]
-        out[row, column] = found
-        open_ = found == _EMPTY
-        row, column = row[open_], column[open_]
-    shift = 1
+    turn = 0
     while len(row):
-        found = raw[row, (column + shift) % bins]
-        out[row, column] = found
-        open_ = found == _EMPTY
-        row, column, shift = row[open_], column[open_], shift + 1
+        found = raw[row, _probe(bins, turn)[column]]
+        filled = found != _EMPTY
+        out[row[filled], column[filled]] = found[filled]
+        row, column, turn = row[~filled], column[~filled], turn + 1
     return out
 
 

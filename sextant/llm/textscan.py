@@ -5,11 +5,13 @@ A word is a run of bytes other than space and the controls 9 to 13, which in UTF
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -21,6 +23,10 @@ _LOWER[65:91] += 32
 #: Bytes hashed at once; bounds the scratch memory of a batch.
 SEGMENT = 1 << 20
 _powers: list[np.ndarray] = []
+try:
+    _libc = ctypes.CDLL("libc.so.6")  # where there is another C library, nothing is trimmed
+except OSError:
+    _libc = None
 
 
 @dataclass
@@ -49,16 +55,28 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each (one longer text makes a slice of its own)."""
+def batches_by_bytes(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of text (one longer text makes a slice of its own) and at most ``rows`` rows.
+
+    What a slice leaves behind is given back to the system, so that a worker waiting to be used again holds little.
+    """
     if not batch.num_rows:
         return
-    _, offsets = utf8(batch.column(column))
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1), at + rows)
         yield batch.slice(at, min(end, batch.num_rows) - at)
         at = end
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory of Arrow's pool and of the C library goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def scan(column: pa.Array, lower_ascii: bool = False) -> Words:

@@ -1,12 +1,11 @@
 """Secret scans with assignment-aware lexing.
 
-Three base patterns are matched everywhere. Texts that name something sensitive are also lexed: assignments of source code
-and configuration (``name = value``, ``"name": value``, ``name := value``, ``name => value``, <name>value</name>) give
-name-literal pairs; a right side may join literals and names with ``+``. A name assigned a literal is a constant, and a
-sensitive target that refers to a constant is traced to the literal's own place. A literal is scored by how sensitive its
-target's name is and how much it looks like a key rather than like prose or a placeholder.
+Three base patterns are matched everywhere. Texts that name something sensitive are also lexed (``lexing``): assignments
+of source code and configuration give pairs of a target and a value of literals and names, and a name assigned a literal
+is a constant, so that a sensitive target that refers to constants is traced to the literals' own places. A value is
+scored by how sensitive its target's name is and how much it looks like a key rather than like prose or a placeholder.
 
-Each document is scanned whole and alone. Spans are code points, end exclusive.
+Each document is scanned whole and alone, in time linear in its length. Spans are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sextant.llm import textscan
+from sextant.llm import lexing, textscan
 from sextant.llm.shipping import ship
 
 #: The base patterns, in the order of their kinds, and what a match needs to count.
@@ -40,10 +38,6 @@ PLACEHOLDERS = ("changeme", "change_me", "placeholder", "example", "dummy", "red
 SENSITIVE_POINTS = 2
 ENOUGH_POINTS = 4
 
-_TARGET = re.compile(r"""(?<![\w.$-])([A-Za-z_$][\w.$-]*+)["'\]]?[ \t]*+(?::=|=>|=(?![=>])|:(?![:=/]))[ \t]*+""", re.ASCII)
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>[ \t]*+([^<>\s]++)[ \t]*+</", re.ASCII)
-_TERM = re.compile(r"""(?P<q>["'`])(?P<s>(?:[^\\\n"'`]|\\.|(?!(?P=q))["'`])*+)(?P=q)|(?P<n>[A-Za-z_$][\w.$]*+)(?![\w+/=-])|(?P<b>[^\s"'`,;(){}\[\]<>]++)""", re.ASCII)
-_PLUS = re.compile(r"[ \t]*+\+[ \t]*+(?=[\w\"'`$])")
 _WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -54,54 +48,49 @@ def sensitivity(name: str) -> int:
     return SENSITIVE_POINTS if any(p in SENSITIVE for p in joined) else 0
 
 
-def literal_points(value: str) -> int:
+def literal_points(value: lexing.Sum) -> int:
     """0 to 3: long enough, of mixed characters, of high entropy; -3 for prose and placeholders."""
-    low = value.lower()
-    if len(value) < 8 or any(c.isspace() for c in value) or any(p in low for p in PLACEHOLDERS):
+    if value.length < 8 or value.spaced or value.placeholder:
         return -3
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    chars = value.counts
+    kinds = sum(any(map(test, chars)) for test in (_lower, _upper, _digit, _sign))
+    entropy = -sum(n / value.length * math.log2(n / value.length) for n in chars.values())
     return 1 + (kinds >= 2) + (entropy >= 2.75)
 
 
+def _lower(c: str) -> bool:
+    return "a" <= c <= "z"
+
+
+def _upper(c: str) -> bool:
+    return "A" <= c <= "Z"
+
+
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
+
+
+def _sign(c: str) -> bool:
+    return not (_lower(c) or _upper(c) or _digit(c))
+
+
+def is_placeholder(value: str) -> bool:
+    low = value.lower()
+    return any(p in low for p in PLACEHOLDERS)
+
+
 def lex(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive target."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found: set[tuple[int, int]] = set()
-    for m in _TARGET.finditer(text):
-        value, spans, at, quoted = [], [], m.end(), False
-        while term := _TERM.match(text, at):
-            if term["s"] is not None:
-                value.append(term["s"])
-                spans.append(term.span("s"))
-                quoted = True
-            elif term["n"] is not None and term["n"] in constants:
-                known = constants[term["n"]]
-                value.append(known[0])
-                spans += known[1]
-                quoted = True
-            elif term["n"] is not None:
-                value.append(term["n"])
-                spans.append(term.span("n"))
-            else:
-                value.append(term["b"])
-                spans.append(term.span("b"))
-            plus = _PLUS.match(text, term.end())
-            if not plus:
-                break
-            at = plus.end()
-        if not spans:
-            continue
-        whole = "".join(value)
-        if quoted:
-            constants[m[1]] = (whole, spans)
-        if (points := sensitivity(m[1])) and points + literal_points(whole) >= ENOUGH_POINTS + (not quoted):
-            found.update(spans)
-    for m in _ELEMENT.finditer(text):
-        if sensitivity(m[1]) + literal_points(m[2]) >= ENOUGH_POINTS:
-            found.add(m.span(2))
-    return sorted(s for s in found if s[1] > s[0])
+    """Spans of the literals that reach a sensitive target.
+
+    A value without quotes counts only if it has all points and a digit, as a word or a path of names is mostly no literal.
+    """
+    read = lexing.assignments(text)
+    chosen = []
+    for made, value, place in read.resolve(lambda target: sensitivity(target) > 0, is_placeholder):
+        bare_word = not value.quoted and not any(map(_digit, value.counts))
+        if not bare_word and sensitivity(made.target) + literal_points(value) >= ENOUGH_POINTS + (not value.quoted):
+            chosen.append(place)
+    return sorted(s for s in read.literals(chosen) if s[1] > s[0])
 
 
 def scan_text(text: str, may_hold_hex: bool = True) -> list[tuple[int, int, int]]:

@@ -1,13 +1,17 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation, in DataFrame functions only.
 
 Personal numbers are found by one pattern, validated, and permuted within their own format: payment cards (13 to 19
-digits, Luhn; the result passes Luhn too), phone numbers ((ddd) ddd-dddd or ddd-ddd-dddd, country code kept), IPv4
-addresses (octets of at most 255), dates of 1800 to 2199 (yyyy-MM-dd, yyyy/MM/dd, dd.MM.yyyy; the result is a date in the
-same format) and the letters and digits of an e-mail address's local part. Cards are looked for in whole runs of numbers
-between single spaces or dashes, at any of these as borders, so that a card beside a short number is found. What fails validation stays as it is. The map
-is one-to-one for each format and depends on the key alone, so equal values stay equal in every document.
-
-Every match costs a few hashes; the rest of a text is copied. No shuffle.
+digits, Luhn; the result passes Luhn too), US phone numbers and numbers with a country code (code kept), IBANs (mod 97; so
+does the result, country and places of letters kept), US social security numbers (only assignable ones, before and
+after), IPv4 addresses (octets of at most 255), IPv6 addresses (their hexadecimal digits), dates of 1800 to 2199
+(yyyy-MM-dd, yyyy/MM/dd, dd.MM.yyyy; the result is a date in the same format), and the letters and the digits of an e-mail
+address's local part, whose case stays where it is. Cards are looked for in whole runs of numbers between single spaces or
+dashes, at any of these as borders, so that a card beside a short number is found. What fails validation stays as it is.
+The map is one-to-one for each format and depends on the key alone, so equal values stay equal in every document. A part of
+one letter or digit has so few values that its permutation is a shift by a keyed number.
+
+The key reaches the expressions as a column, a scalar subquery of a one-row table, so no plan or event log spells it. Every
+match costs a few hashes; the rest of a text is copied. No shuffle.
 """
 
 from __future__ import annotations
@@ -27,20 +31,24 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-
 PHONE = r"(?<![\w.-])(?:\+\d{1,3}[ -])?(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"
 DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?!\w|[./-]\d)"
+INTERNATIONAL = r"(?<![\w.+-])\+\d{1,3}(?:[ -]\(?\d{1,5}\)?){2,5}(?![\w-])"
+SSN = r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IPV6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?=[0-9A-Fa-f:]{2,39}(?![\w:.]))(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}::?){2,6})[0-9A-Fa-f]{1,4}(?![\w:.])"
 #: A run of numbers of 13 digits or more in all; the dash at its end is kept if the next number is no part of the run.
-CARD = r"(?<![\w.-])(?=\d(?:[ -]?\d){12})\d++(?!\w|\.\d)(?:[ -](?!" + "|".join([EMAIL, PHONE, IPV4, DATE]) + r")\d++(?!\w|\.\d))*+(?:-(?=\d))?+"
+CARD = r"(?<![\w.-])(?=\d(?:[ -]?\d){12})\d++(?!\w|\.\d)(?:[ -](?!" + "|".join([EMAIL, PHONE, IPV4, DATE, SSN]) + r")\d++(?!\w|\.\d))*+(?:-(?=\d))?+"
 #: Lengths of the numbers that a card is printed in.
 PRINTED = "^(?:1[3-9]|4-4-4-4|4-6-5|4-6-4|4-4-4-4-3)$"
-ANY = "|".join([EMAIL, PHONE, IPV4, DATE, CARD])
+ANY = "|".join([EMAIL, PHONE, INTERNATIONAL, IPV4, IPV6, DATE, SSN, IBAN, CARD])
 
 
-def _keyed(key: str, tweak: str, i: Column, value: Column) -> Column:
+def _keyed(key: Column, tweak: str, i: Column, value: Column) -> Column:
     """A pseudo-random number below 2^60 of the round and the other half."""
-    text = F.concat(F.lit(f"{key}\x1f{tweak}\x1f"), i.cast("string"), F.lit("\x1f"), value)
+    text = F.concat(key, F.lit(f"\x1f{tweak}\x1f"), i.cast("string"), F.lit("\x1f"), value)
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def permute_string(s: Column, radix: int, key: str, tweak: str) -> Column:
+def permute_string(s: Column, radix: int, key: Column, tweak: str) -> Column:
     """A permutation of the strings of s's length over the first ``radix`` of 0-9a-z, at most 24 long.
 
     Two halves in turn add a keyed function of the other, modulo the powers of the radix.
@@ -66,7 +74,7 @@ def permute_string(s: Column, radix: int, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda r: F.concat(r["a"], r["b"]))
 
 
-def _permute_pair(high: Column, low: Column, n_high: int, n_low: int, key: str, tweak: str) -> Column:
+def _permute_pair(high: Column, low: Column, n_high: int, n_low: int, key: Column, tweak: str) -> Column:
     """A permutation of [0, n_high) x [0, n_low) as struct<a, b>: each part in turn adds a keyed function of the other."""
 
     def turn(state: Column, i: Column) -> Column:
@@ -84,16 +92,35 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + x)
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced by ``digits``, in order."""
-    chars = F.split(shape, "")
-    done = F.aggregate(
-        chars,
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
-        lambda s: s["out"],
-    )
-    return done
+def _refill(shape: Column, digits: Column, letters: Column | None = None) -> Column:
+    """``shape`` with its digits replaced by ``digits``, in order, and its letters by lower-case ``letters``, case kept."""
+    letters = F.lit("") if letters is None else letters
+
+    def step(s: Column, c: Column) -> Column:
+        digit = F.substr(digits, s["at"], F.lit(1))
+        letter = F.substr(letters, s["next"], F.lit(1))
+        made = F.when(c.between("0", "9"), digit).when(letters == "", c).when(c.between("a", "z"), letter).when(c.between("A", "Z"), F.upper(letter)).otherwise(c)
+        is_letter = c.between("a", "z") | c.between("A", "Z")
+        return F.struct(F.concat(s["out"], made).alias("out"), (s["at"] + c.between("0", "9").cast("int")).alias("at"), (s["next"] + is_letter.cast("int")).alias("next"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), F.lit(1).alias("next"))
+    return F.aggregate(F.split(shape, ""), start, step, lambda s: s["out"])
+
+
+def _in_chunks(x: Column, radix: int, key: Column, tweak: str) -> Column:
+    """A permutation of strings of any length: stretches of 20 by themselves, with a tweak of their place."""
+    parts = F.regexp_extract_all(x, F.lit("(?s).{1,20}"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p, i: permute_string(p, radix, F.concat(key, F.lit("\x1f"), i.cast("string")), tweak)), "")
+
+
+_ALPHABET, _AS_DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
+
+
+def _letters_and_digits(m: Column, key: Column, tweak: str) -> Column:
+    """``m`` with its letters permuted among letters and its digits among digits."""
+    spelled = F.translate(F.regexp_replace(F.lower(m), "[^a-z]", ""), _ALPHABET, _AS_DIGITS)
+    letters = F.translate(_in_chunks(spelled, 26, key, tweak), _AS_DIGITS, _ALPHABET)
+    return _let(F.struct(letters.alias("l"), _in_chunks(_digits(m), 10, key, tweak).alias("d")), lambda p: _refill(m, p["d"], p["l"]))
 
 
 def _digits(x: Column) -> Column:
@@ -110,7 +137,7 @@ def _part(items: Column, i: Column, n: Column) -> Column:
     return F.transform(F.sequence(i, i + n - 1), lambda j: F.get(items, j))
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     def refilled(body: Column) -> Column:
         return _refill(m, F.concat(body, F.pmod(-_luhn_sum(body, 0), F.lit(10)).cast("string")))
 
@@ -118,7 +145,7 @@ def _card(m: Column, key: str) -> Column:
     return _let(F.substr(digits, F.lit(1), F.length(digits) - 1), lambda d: _let(permute_string(d, 10, key, "card"), refilled))
 
 
-def _cards(m: Column, key: str) -> Column:
+def _cards(m: Column, key: Column) -> Column:
     """struct<now, n> of a run of numbers: from left to right, the longest sub-run that is a card, one that overlaps a
     card in its printed groups only if it is one itself."""
 
@@ -160,20 +187,20 @@ def _cards(m: Column, key: str) -> Column:
     return F.aggregate(picks, start, replaced, lambda s: F.struct(F.concat(s["now"], F.substr(m, s["next"], F.length(m))).alias("now"), s["n"].alias("n")))
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Column) -> Column:
     code = F.regexp_extract(m, r"^(\+\d{1,3}[ -])?", 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     return F.concat(code, _refill(rest, permute_string(_digits(rest), 10, key, "phone")))
 
 
-def _ipv4(m: Column, key: str) -> Column:
+def _ipv4(m: Column, key: Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     moved = _permute_pair(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], 1 << 16, 1 << 16, key, "ipv4")
     out = F.transform(F.array(moved), lambda p: F.concat_ws(".", F.shiftright(p["a"], 8).cast("string"), (p["a"] % 256).cast("string"), F.shiftright(p["b"], 8).cast("string"), (p["b"] % 256).cast("string")))
     return F.when(F.forall(octets, lambda x: x <= 255), out[0]).otherwise(m)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: Column) -> Column:
     def of(fmt: str) -> Column:
         day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(fmt))), F.lit(FIRST_DAY).cast("date"))
         moved = _permute_pair(F.floor(day / DAYS_LOW), F.pmod(day, F.lit(DAYS_LOW)), DAYS_HIGH, DAYS_LOW, key, "date")
@@ -183,28 +210,71 @@ def _date(m: Column, key: str) -> Column:
     return F.when(m.contains("."), of("dd.MM.yyyy")).when(m.contains("/"), of("yyyy/MM/dd")).otherwise(of("yyyy-MM-dd"))
 
 
-def _email(m: Column, key: str) -> Column:
-    local = F.substring_index(m, "@", 1)
-    parts, seps = F.regexp_extract_all(local, F.lit("[A-Za-z]{1,24}|[0-9]{1,18}"), F.lit(0)), F.split(local, "[A-Za-z]{1,24}|[0-9]{1,18}", -1)
+def _email(m: Column, key: Column) -> Column:
+    return F.concat(_letters_and_digits(F.substring_index(m, "@", 1), key, "mail"), F.lit("@"), F.substring_index(m, "@", -1))
+
+
+def _international(m: Column, key: Column) -> Column:
+    code = F.regexp_extract(m, r"^\+\d{1,3}", 0)
+    rest = F.substr(m, F.length(code) + 1, F.length(m))
+    valid = F.length(_digits(m)).between(8, 15)
+    return F.when(valid, F.concat(code, _refill(rest, _in_chunks(_digits(rest), 10, key, "international")))).otherwise(m)
+
+
+def _ssn(m: Column, key: Column) -> Column:
+    """Areas 001 to 899 without 666, groups 01 to 99 and serials 0001 to 9999, as 898 * 99 times 9,999."""
+    parts = F.transform(F.split(m, "-"), lambda x: x.cast("long"))
+    area = parts[0] - F.when(parts[0] > 666, 2).otherwise(1)
+    moved = _permute_pair(area * 99 + parts[1] - 1, parts[2] - 1, 898 * 99, 9999, key, "ssn")
+
+    def spell(p: Column) -> Column:
+        of_area = F.floor(p["a"] / 99)
+        shown = of_area + F.when(of_area >= 665, 2).otherwise(1)
+        return F.concat_ws("-", F.lpad(shown.cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
+
+    return _let(moved, spell)
+
+
+def _mod97(x: Column) -> Column:
+    """The remainder by 97 of digits and capital letters, a letter standing for 10 to 35."""
+    places = F.transform(F.split(x, ""), lambda c: (F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1))
+    return F.aggregate(places, F.lit(0), lambda r, v: F.pmod(r * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+
+
+def _iban(m: Column, key: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    valid = F.length(plain).between(15, 34) & (_mod97(F.concat(F.substr(plain, F.lit(5), F.lit(34)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+
+    def made(account: Column) -> Column:
+        check = 98 - _mod97(F.concat(F.regexp_replace(account, " ", ""), F.substr(m, F.lit(1), F.lit(2)), F.lit("00")))
+        return F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), account)
+
+    return F.when(valid, _let(_letters_and_digits(F.substr(m, F.lit(5), F.length(m)), key, "iban"), made)).otherwise(m)
+
+
+def _ipv6(m: Column, key: Column) -> Column:
+    """Its hexadecimal digits as one number, back in their places; the result is in lower case."""
+    hexes = _in_chunks(F.regexp_replace(F.lower(m), ":", ""), 16, key, "ipv6")
 
-    def letters(w: Column) -> Column:
-        # letters a-z as the digits 0-p of radix 26
-        alphabet, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
-        return F.translate(permute_string(F.translate(F.lower(w), alphabet, digits), 26, key, "mail"), digits, alphabet)
+    def step(s: Column, c: Column) -> Column:
+        return F.struct(F.concat(s["out"], F.when(c == ":", c).otherwise(F.substr(s["left"], F.lit(1), F.lit(1)))).alias("out"), F.when(c == ":", s["left"]).otherwise(F.substr(s["left"], F.lit(2), F.length(m))).alias("left"))
 
-    made = F.transform(parts, lambda w: F.when(w.rlike("^[0-9]"), permute_string(w, 10, key, "mail")).otherwise(letters(w)))
-    return F.concat(F.concat_ws("", F.zip_with(seps, made, lambda s, w: F.concat(s, F.coalesce(w, F.lit(""))))), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), hexes.alias("left")), step, lambda s: s["out"])
 
 
 KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, str], Column]]] = {
     "email": (lambda m: m.contains("@"), _email),
+    "ssn": (lambda m: m.rlike(f"^(?:{SSN})$"), _ssn),
+    "iban": (lambda m: m.rlike(f"^(?:{IBAN})$"), _iban),
+    "ipv6": (lambda m: m.rlike(f"^(?:{IPV6})$"), _ipv6),
     "phone": (lambda m: m.rlike(f"^(?:{PHONE})$"), _phone),
+    "international": (lambda m: m.startswith("+"), _international),
     "ipv4": (lambda m: m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), _ipv4),
     "date": (lambda m: m.rlike(f"^(?:{DATE})$"), _date),
 }
 
 
-def pseudonym(match: Column, key: str) -> Column:
+def pseudonym(match: Column, key: Column) -> Column:
     """struct<now, n>: a match with its numbers replaced, and in a run of numbers how many were."""
     out = None
     for test, made in KINDS.values():
@@ -217,12 +287,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str
     """``docs`` with the personal numbers of ``text`` replaced, and how many were after its columns.
 
     A null text stays null (0 replaced), as does an empty one. A column named as the count is replaced; others pass
-    through. Rows do not meet: repeated rows give repeated results.
+    through. Rows do not meet: repeated rows give repeated results, an empty table none.
     """
     own = Renamed(docs, (count_name,))
     t = own[text]
-    a = own.df.withColumn("found", F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    b = a.select("*", F.transform("found", lambda m: F.struct(m.alias("was"), pseudonym(m, key).alias("made"))).alias("made"), F.when(F.size("found") > 0, F.split(t, ANY, -1)).alias("rest"))
+    keys = docs.sparkSession.createDataFrame([(key,)], "key string")
+    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    a = own.df.withColumn("found", found).withColumn("key", F.when(F.size("found") > 0, keys.scalar()))
+    b = a.select("*", F.transform("found", lambda m: F.struct(m.alias("was"), pseudonym(m, F.col("key")).alias("made"))).alias("made"), F.when(F.size("found") > 0, F.split(t, ANY, -1)).alias("rest"))
     joined = F.array_join(F.zip_with("rest", "made", lambda r, m: F.concat(r, F.coalesce(m["made"]["now"], F.lit("")))), "")
     changed = F.aggregate("made", F.lit(0), lambda n, m: n + F.coalesce(m["made"]["n"], (m["was"] != m["made"]["now"]).cast("int")))
     return b.select(*own.back(**{text: F.when(F.size("found") > 0, joined).otherwise(t)}), F.greatest(F.coalesce(changed, F.lit(0)), F.lit(0)).cast("long").alias(count_name))

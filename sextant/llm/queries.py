@@ -24,6 +24,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of op6: SEXTANT_PSEUDONYM_SECRET of the driver's environment, or spark.sextant.pseudonym.secret, a name that
+    Spark redacts where it shows settings; where neither is set, as in tests, a key that protects nothing."""
+    return os.environ.get("SEXTANT_PSEUDONYM_SECRET") or spark.conf.get("spark.sextant.pseudonym.secret", None) or "no secret"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,7 +82,7 @@ def op4_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sextant.llm.pseudonyms import pseudonymise
 
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key")
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key=pseudonym_key(spark))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,7 +462,7 @@ def test_cards_beside_other_numbers(spark):
 def test_permutations_are_one_to_one(spark):
     for width in (1, 2, 3):
         d = spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("x"))
-        out = [r[0] for r in d.select(pseudonyms.permute_string(F.col("x"), 10, "k", "t")).collect()]
+        out = [r[0] for r in d.select(pseudonyms.permute_string(F.col("x"), 10, F.lit("k"), "t")).collect()]
         assert len(set(out)) == 10**width and all(len(x) == width for x in out)
 
 

@@ -16,18 +16,21 @@ from pyspark.sql.window import Window
 
 from sextant.llm.spark_names import Renamed
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\\]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\\\[\]]+)"
+#: Hosts that have no parents: IPv4 and bracketed IPv6 addresses.
+_ADDRESS = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[.*)$"
 
 
 def host_of(url: Column) -> Column:
-    """The host of a URL in lower case without a last dot; null where there is none."""
+    """The host of a URL in lower case without a last dot, an IPv6 address in its brackets; null where there is none."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", ""), F.lit(""))
 
 
 def domains_of(host: Column) -> Column:
-    """The host and its parent domains, from the longest; a single label alone stays."""
+    """The host and its parent domains of two labels or more, from the longest; an address, or a single label, alone."""
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    return F.when(host.rlike(_ADDRESS), F.array(host)).otherwise(parents)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -51,8 +54,12 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     own = Renamed(captures, ("blocked", "blocked_by"))
     keyed = own.df.select("*", host_of(own[url]).alias("host"), own[fetched].cast("date").alias("day"))
     wanted = keyed.select(F.col("host").alias("_host"), F.col("day").alias("_on")).where("_host IS NOT NULL AND _on IS NOT NULL").distinct()
-    asked = wanted.withColumn("_domain", F.explode(domains_of(F.col("_host")))).withColumn("_month", F.trunc("_on", "month"))
     spans = validity_intervals(entries)
+    # a bare last label ("com") is a key that most captures share: looked up only if the list holds bare labels at all
+    bare = spans.where("domain NOT RLIKE '[.]'").select(F.col("domain").alias("_bare")).distinct()
+    own_domains = wanted.withColumn("_domain", F.explode(domains_of(F.col("_host"))))
+    last_label = wanted.withColumn("_domain", F.substring_index("_host", ".", -1)).where(F.col("_host").contains(".") & ~F.col("_host").rlike(_ADDRESS))
+    asked = own_domains.union(last_label.join(bare, F.col("_domain") == F.col("_bare"), "left_semi")).withColumn("_month", F.trunc("_on", "month"))
     # an open interval is looked up by its own rule, so that months need not be made up to an unknown end
     closed = spans.where("valid_to IS NOT NULL").withColumn("_m", F.explode(F.expr("sequence(trunc(valid_from, 'month'), trunc(date_sub(valid_to, 1), 'month'), interval 1 month)")))
     within = asked.join(closed, (F.col("_domain") == F.col("domain")) & (F.col("_month") == F.col("_m")) & (F.col("_on") >= F.col("valid_from")) & (F.col("_on") < F.col("valid_to")))

@@ -10,6 +10,7 @@ Files are opened through Arrow's file systems by URI, so the folder may be local
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +40,19 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_of_document: in
 
     A null text is a document of no tokens. Strings of special tokens in a text are ordinary text, so that only the end of
     a document has its id. Each task attempt writes files of its own, and the rows returned name those of the attempt that
-    counted, so tasks that are tried again leave nothing wrong.
+    counted, so tasks that are tried again leave nothing wrong. Repeated rows are written as often as they come; an empty
+    table makes no file and no rows. ValueError if an id of the vocabulary, or the end's, doesn't fit ``width`` bytes.
     """
     spark = docs.sparkSession
     ship(spark)
     folder = folder or f"{shared_folder(spark)}/sextant-tokens"
     with open(vocabulary_path, encoding="utf-8") as f:
-        vocabulary = spark.sparkContext.broadcast(f.read())
+        spelled = f.read()
+    model = json.loads(spelled)
+    largest = max([end_of_document, *model["model"]["vocab"].values(), *(x["id"] for x in model.get("added_tokens", []))])
+    if largest >= 1 << 8 * width:
+        raise ValueError(f"token id {largest} doesn't fit {width} bytes")
+    vocabulary = spark.sparkContext.broadcast(spelled)
     kind = _KINDS[width]
     run_id = spark.sparkContext.applicationId
 
@@ -56,18 +63,20 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, end_of_document: in
         fs, top = open_folder(folder)
         path = f"{run_id}/part-{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.bin"
         out, ordinal = None, 0
-        for whole in batches:
-            for batch in textscan.batches_by_bytes(whole, "text", 2 << 20):
-                if out is None:
-                    fs.create_dir(f"{top}/{run_id}", recursive=True)
-                    out = fs.open_output_stream(f"{top}/{path}")
-                ids, counts, _ = bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()], special=False)
-                flat = np.insert(ids, np.cumsum(counts), end_of_document)
-                out.write(flat.astype(kind).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * batch.num_rows), pa.array(np.arange(ordinal, ordinal + batch.num_rows)), batch.column("doc_id")], names=["file", "ordinal", "doc_id"])
-                ordinal += batch.num_rows
-        if out is not None:
-            out.close()
+        try:
+            for whole in batches:
+                for batch in textscan.batches_by_bytes(whole, "text", 2 << 20):
+                    if out is None:
+                        fs.create_dir(f"{top}/{run_id}", recursive=True)
+                        out = fs.open_output_stream(f"{top}/{path}")
+                    ids, counts, _ = bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()], special=False)
+                    flat = np.insert(ids, np.cumsum(counts), end_of_document)
+                    out.write(flat.astype(kind).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * batch.num_rows), pa.array(np.arange(ordinal, ordinal + batch.num_rows)), batch.column("doc_id")], names=["file", "ordinal", "doc_id"])
+                    ordinal += batch.num_rows
+        finally:
+            if out is not None:
+                out.close()
 
     chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return cut(chosen.mapInArrow(run, "file string, ordinal long, doc_id long"), "token-manifest")

@@ -5,7 +5,8 @@ proposal is what the merges would give exactly when each token is what its own b
 the border of any two neighbours first; the borders of all proposals are tested together in NumPy. Words that fail are
 merged exactly, by rank. Encoded words stay in a bounded cache of the worker; documents are then gathers from it.
 
-Code points that Unicode has not assigned are classed as the ``regex`` package classes them.
+Letters and numbers are those of Unicode 16, as for the tokenizers library; the ``regex`` package knows later ones too
+(LATER), and texts that hold one of those are cut by a pattern without them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,21 @@ from sextant.llm.shipping import ship
 
 #: Fixed value: how byte-level vocabularies of this kind cut text into words before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points that Unicode 16 has not assigned and that later drafts, and so ``regex``, class as letters or numbers.
+LATER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_LATER_CLASS = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in LATER)
 #: Distinct words a worker remembers before it starts afresh.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Words of more bytes than this are merged with a heap.
 LONG_WORD = 100
 _NEVER = 1 << 40
@@ -95,6 +109,10 @@ class BpeEncoder:
         self._byte_at = np.concatenate([[0], np.cumsum(lengths)])
         self._bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
         self._words = regex.compile(PATTERN)
+        self._later = re.compile(f"[{_LATER_CLASS}]")
+        strict = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{_LATER_CLASS}])")
+        strict = strict.replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{_LATER_CLASS}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{_LATER_CLASS}]]+")
+        self._strict_words = regex.compile(strict, regex.V1)
         self._safe_space = regex.compile(r"(?<=\S) (?=\S)")
         self._special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.forget()
@@ -203,13 +221,17 @@ class BpeEncoder:
             proposed[k] = self.merge(words[k])
         return proposed, failed
 
+    def words(self, text: str) -> list[str]:
+        """The words that a text is cut into before merging."""
+        return (self._strict_words if not text.isascii() and self._later.search(text) else self._words).findall(text)
+
     # -- texts ---------------------------------------------------------------------------------------------------------
 
     def _learn(self, pieces: Iterable[tuple[dict[str, int], str, str]]) -> None:
         """Add pieces (their table, key and text); a piece is a stretch between two safe borders."""
         pieces = list(pieces)
         # letters alone are one word
-        cut = [[text] if key.isalpha() else self._words.findall(text) for _, key, text in pieces]
+        cut = [[text] if key.isalpha() else self.words(text) for _, key, text in pieces]
         new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self._word]
         if new:
             tokens = self.encode_words([w.encode() for w in new])[0]
@@ -312,7 +334,8 @@ def bpe_round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", wi
     """``docs`` without its text, and RESULT: tokens, hash of the ids, hash of the text decoded from them again.
 
     vocabulary_path is read by the driver and broadcast (a few MB). with_ids adds ``token_ids``, the ids as little-endian
-    uint32. A null text counts as empty: 0 tokens. Columns of ``docs`` named as results are replaced.
+    uint32. A null text counts as empty: 0 tokens. Repeated rows give repeated results and an empty table none. Columns of
+    ``docs`` named as results are replaced.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from sextant.llm import shingles, textscan
 from sextant.llm.components import components
 from sextant.llm.shipping import ship
-from sextant.llm.storage import cut
+from sextant.llm.storage import cut, discard
 
 BANDS = 32
 ROWS = 5
@@ -105,10 +105,12 @@ def _similar(a: str, b: str, percent: int) -> Column:
 def _forest_labels(parents: DataFrame) -> DataFrame:
     """(node, label) of all nodes of a forest given as (v, u: its only parent); label is the least node of the tree."""
     up = cut(parents.select(F.col("v").alias("node"), F.col("u").alias("root")).distinct(), "forest")
+    before = up
     while True:
         above = up.select(F.col("node").alias("root"), F.col("root").alias("further"))
         jumped = cut(up.join(above, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forest")
-        up = jumped.select("node", "root")
+        discard(before)
+        before, up = jumped, jumped.select("node", "root")
         if jumped.where("moved").isEmpty():
             break
     trees = up.groupBy("root").agg(F.least(F.col("root"), F.min("node")).alias("label"))

@@ -1,5 +1,5 @@
 """Where this subpackage keeps what it writes on the way."""
 
-from sextant.storage import cut, shared_folder
+from sextant.storage import cut, discard, shared_folder
 
-__all__ = ["cut", "shared_folder"]
+__all__ = ["cut", "discard", "shared_folder"]

@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Several orthogonal projections of the unit vectors to a few dimensions are shifted at random, quantised and ordered along
-a Hilbert curve each. Every curve's order is cut into cells of CELL rows; a query is scored in double precision against
-its own cell and the neighbouring cells that hold ``reach`` of all rows to either side, and the windows of all curves are
-merged and reranked on the original vectors.
+a Hilbert curve each. A query is scored in double precision against the rows of its window, so many places to either side
+of it in each order, and the windows of all curves are merged and reranked on the original vectors. Orders are cut into
+cells, and a window is made of whole cells.
+
+How wide windows must be depends on the vectors, so it is measured: the true neighbours of CALIBRATION queries are found in
+one pass over all rows, and the number of curves and the window are the least work with which RECALL of these neighbours
+are met. Vectors with structure take windows of some hundred rows, whatever the table's size. Independent directions have
+none that an ordering could keep: there the windows grow with the table.
 
 Vectors of the same direction are one class that keeps its k + 1 smallest ids: no more can be among the k nearest of any
 query. Cosines that agree to TIE are equal, and the smaller vec_id comes first. Cells give k + 1 classes for a query,
 chosen by that very order, so a tie of any number of vectors loses none that belongs in the result. Keys alone are
 range-partitioned to find the cells; each vector then travels once for each curve.
-
-On vectors without structure (independent directions in 64 dimensions) no ordering keeps neighbours close: REACH and
-CURVES are set so that recall is above 0.9 even there, at the price of scoring most of the table for a query. Structured
-vectors need far smaller windows; both are parameters.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from sextant.llm.storage import cut
 CURVES = 12
 DIMENSIONS = 8
 BITS = 4
-#: Share of all rows that a window reaches to either side. Recall stays above 0.9 by this alone, without what rounding up
-#: to whole cells adds on small tables.
-REACH = 0.039
-CELL = 2048
+#: Queries whose true neighbours tell how wide windows must be, and the share of these neighbours to be met.
+CALIBRATION = 256
+RECALL = 0.96
+#: Rows of a cell: half a window's reach, within these.
+LEAST_CELL, MOST_CELL = 128, 2048
 #: Queries scored together against a cell.
 QUERY_CHUNK = 2048
 #: The projections' quantiles are fitted on at most this many vectors, those of the least id hashes.
@@ -146,13 +148,57 @@ def _packed(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "node long, packed binary")
 
 
-def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = CURVES, reach: float = REACH) -> DataFrame:
+def _true_neighbours(packed: DataFrame, asked: np.ndarray, ids: np.ndarray, k: int) -> DataFrame:
+    """(q, node): the k nearest rows of each of a few queries, itself left out; every task keeps k + 1 of its rows."""
+    shared = packed.sparkSession.sparkContext.broadcast((asked, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, names = shared.value
+        near, found = np.full((len(names), k + 1), -2.0), np.full((len(names), k + 1), -1, np.int64)
+        for batch in batches:
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for at in range(0, batch.num_rows, 4096):
+                score = queries @ _matrix(batch.column("packed").slice(at, 4096).to_pylist()).T
+                held = np.concatenate([near, score], axis=1)
+                of = np.concatenate([found, np.broadcast_to(nodes[at : at + 4096], score.shape)], axis=1)
+                best = np.argpartition(-held, k, axis=1)[:, : k + 1]
+                near, found = np.take_along_axis(held, best, axis=1), np.take_along_axis(of, best, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k + 1)), pa.array(found.reshape(-1)), pa.array(near.reshape(-1))], names=["q", "node", "near"])
+
+    each = packed.mapInArrow(run, "q long, node long, near double").where("near > -2 AND q <> node")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("near").desc(), "node"))
+    return each.withColumn("_r", place).where(F.col("_r") <= k).select("q", "node")
+
+
+def fit_windows(gaps: np.ndarray, total: int, recall: float = RECALL) -> tuple[int, int, int]:
+    """(curves, reach, cell): the smallest part of all rows to score so that the share ``recall`` of known neighbours is met.
+
+    gaps: for each known pair the places between the two in each curve's order. Of the first m curves the best is taken;
+    reach is that gap's quantile, a window is the whole cells that hold it, and windows of several curves overlap as sets
+    drawn at random do.
+    """
+    best = None
+    for m in range(1, gaps.shape[1] + 1):
+        least = np.sort(gaps[:, :m].min(axis=1))
+        reach = int(least[max(0, math.ceil(recall * len(least)) - 1)])
+        cell = min(MOST_CELL, max(LEAST_CELL, math.ceil(reach / 2)))
+        scored = 1 - (1 - min(1.0, (2 * math.ceil(reach / cell) + 1) * cell / total)) ** m
+        if best is None or scored < best[0]:
+            best = (scored, m, reach, cell)
+    return best[1:]
+
+
+def nearest(
+    vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
+    curves: int = CURVES, recall: float = RECALL, observed: dict | None = None,
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score for the ``k`` nearest found of each row that ``is_query`` (over vec_id).
 
     Largest cosine first, in double precision on the original vectors; ties (up to TIE) go to the smaller vec_id; a row is no
     neighbour of its own id. With no more than k other rows, all of them. No part is taken by null ids and by vectors
     that are null, empty, zero, of another length than most, or hold null or non-finite components. Rows repeated with
-    the same vec_id and vector count once. Other columns are ignored. An empty table gives no rows.
+    the same vec_id and vector count once. Other columns are ignored. An empty table, or one without queries, gives no rows.
+    observed is given the curves, reach and cell that were chosen, and the rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -194,12 +240,28 @@ def nearest(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5, v
     begins = placed.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = begins.select(F.col("part").alias("_part"), F.col("curve").alias("_curve"), "first", before.alias("before"))
-    cell = F.floor((F.col("before") + F.col("seq") - F.col("first")) / CELL).cast("int")
-    cells = placed.join(begins, (F.col("part") == F.col("_part")) & (F.col("curve") == F.col("_curve"))).select("node", "curve", cell.alias("cell"))
+    place = F.col("before") + F.col("seq") - F.col("first")
+    places = cut(placed.join(begins, (F.col("part") == F.col("_part")) & (F.col("curve") == F.col("_curve"))).select("node", "curve", place.alias("place")), "places")
     total = packed.count()
-    side, last = math.ceil(reach * total / CELL), (total - 1) // CELL
     asking = nodes.where("asks").select("node")
-    chunks = max(1, math.ceil(asking.count() * min(1.0, (2 * side + 1) * CELL / total) / QUERY_CHUNK))
+    tried = packed.join(asking, "node").orderBy(F.xxhash64("node"), "node").limit(CALIBRATION).collect()
+    if not tried:
+        return spark.createDataFrame([], result)
+    ids = np.array([r.node for r in tried], np.int64)
+    pairs = cut(_true_neighbours(packed, _matrix([bytes(r.packed) for r in tried]), ids, k), "known")
+    # at most CALIBRATION * k pairs and their places
+    of_q = places.join(F.broadcast(pairs), places.node == pairs.q).select("q", pairs.node.alias("node"), "curve", F.col("place").alias("of_q"))
+    gaps = of_q.join(places, ["node", "curve"]).select("q", "node", "curve", F.abs(F.col("place") - F.col("of_q")).alias("gap")).collect()
+    known = {pair: i for i, pair in enumerate(sorted({(r.q, r.node) for r in gaps}))}
+    table = np.zeros((max(1, len(known)), curves), np.int64)
+    for r in gaps:
+        table[known[r.q, r.node], r.curve] = r.gap
+    used, reach, size = fit_windows(table, total, recall)
+    if observed is not None:
+        observed |= {"curves": used, "reach": reach, "cell": size, "rows": total}
+    cells = places.where(F.col("curve") < used).select("node", "curve", F.floor(F.col("place") / size).cast("int").alias("cell"))
+    side, last = math.ceil(reach / size), (total - 1) // size
+    chunks = max(1, math.ceil(asking.count() * min(1.0, (2 * side + 1) * size / total) / QUERY_CHUNK))
     per_node = cells.groupBy("node").agg(F.collect_list(F.struct("curve", "cell")).alias("at"))
     full = packed.join(per_node, "node").withColumn("at", F.explode("at")).select("node", "packed", "at.curve", "at.cell")
     data = full.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("query", F.lit(False))

@@ -359,19 +359,38 @@ def test_neighbours_of_many_ties_are_the_smallest_ids(spark):
     assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
 
 
-def test_windows_of_exactly_reach_keep_recall():
+@pytest.mark.parametrize("kind", ["manifold", "clusters", "independent"])
+def test_windows_follow_the_structure(spark, kind):
+    """20,000 vectors; recall of the operator's own output. With structure under a tenth of the rows is scored for a query."""
     rng = np.random.default_rng(5)
-    unit = rng.standard_normal((20_000, 64))
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    curves, asked = hilbert.Curves(unit[: hilbert.FIT_ROWS], 64, hilbert.CURVES), np.arange(0, 20_000, 100)
-    score = unit[asked] @ unit.T
-    score[np.arange(len(asked)), asked] = -2
-    near = np.argpartition(-score, 5, axis=1)[:, :5]
-    met = np.zeros(near.shape, bool)
-    for k in range(hilbert.CURVES):
-        place = np.argsort(np.argsort(curves.keys(unit, k), kind="stable"), kind="stable")
-        met |= np.abs(place[near] - place[asked][:, None]) <= hilbert.REACH * len(unit)
-    assert met.mean() >= 0.9
+    n = 20_000
+    if kind == "manifold":
+        x = rng.standard_normal((n, 5)) @ rng.standard_normal((5, 64)) + 0.02 * rng.standard_normal((n, 64))
+    elif kind == "clusters":
+        x = rng.standard_normal((400, 64))[rng.integers(0, 400, n)] + 0.3 * rng.standard_normal((n, 64))
+    else:
+        x = rng.standard_normal((n, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    seen, got = {}, defaultdict(set)
+    for r in hilbert.nearest(df, observed=seen).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 5 * (n // 50)
+    window = (2 * -(-seen["reach"] // seen["cell"]) + 1) * seen["cell"]
+    share = 1 - (1 - min(1, window / n)) ** seen["curves"]
+    assert share < (0.12 if kind == "clusters" else 0.1 if kind == "manifold" else 1)
+
+
+def test_fitted_windows_hold_the_known_gaps():
+    gaps = np.array([[5, 900], [7, 800], [600, 3], [10, 10]])
+    used, reach, cell = hilbert.fit_windows(gaps, 100_000, recall=1.0)
+    assert used == 2 and reach == 10 and cell == hilbert.LEAST_CELL
+    assert hilbert.fit_windows(gaps[:, :1], 100_000, recall=0.75)[:2] == (1, 10)
 
 
 def test_hilbert_order_is_a_path():

@@ -102,10 +102,11 @@ def score_flags(stations: DataFrame, flags: DataFrame, critical: int = 25, warni
 
 def band_outliers(latest: DataFrame, field: str, width: float = 10.0, least: int = 5, limit: float = 3.0) -> DataFrame:
     """Latest values beyond ``limit`` deviations of their latitude band, for bands of ``least`` stations and some spread."""
-    band = F.floor(F.col("lat") / width) * width
-    w = Window.partitionBy("band")
-    out = latest.withColumn("band", band).select("station_id", "band", F.col(field).alias("value"), F.avg(field).over(w).alias("mean"), F.stddev_pop(field).over(w).alias("sd"), F.count(field).over(w).alias("n"))
-    return out.where((F.col("n") >= least) & (F.col("sd") >= 0.1)).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd")).where(F.abs("z") > limit)
+    placed = latest.withColumn("band", F.floor(F.col("lat") / width) * width).select("station_id", "band", F.col(field).alias("value"))
+    # a few bands hold all rows, so their sums are joined back rather than their rows gathered
+    bands = placed.groupBy("band").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n")).where((F.col("n") >= least) & (F.col("sd") >= 0.1))
+    out = placed.join(bands, "band").select("station_id", "band", "value", "mean", "sd", "n")
+    return out.withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd")).where(F.abs("z") > limit)
 
 
 def sessions(events: DataFrame, key: str, bad: Column, order: str = "seq") -> DataFrame:
@@ -119,7 +120,20 @@ def sessions(events: DataFrame, key: str, bad: Column, order: str = "seq") -> Da
 
 
 def trend(long: DataFrame, n: int = 20) -> DataFrame:
-    """Least-squares change per day over the last ``n`` values up to each row."""
+    """Least-squares change per day over the last ``n`` values up to each row, for rows that have ``n``."""
     w = _series().rowsBetween(-(n - 1), 0)
-    day = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6
-    return long.select("*", F.regr_slope(F.col("value"), day).over(w).alias("slope_per_day"))
+    day = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6 - 19700
+    return long.select("*", F.regr_slope(F.col("value"), day).over(w).alias("slope_per_day"), F.count("*").over(w).alias("_n")).where(F.col("_n") == n).drop("_n")
+
+
+def anomalies(long: DataFrame, n: int = 20, warn: float = 2.0, critical: float = 3.0, horizon_days: float = 1.0) -> DataFrame:
+    """z-score of each value against up to 100 earlier ones of its series, with the trend of the last ``n``.
+
+    amplified: the trend goes the way the value has left its base. confidence: the share of 100 earlier values there are.
+    expected: the value carried on by the trend for ``horizon_days``. Rows below ``warn`` deviations are left out.
+    """
+    z = F.abs(F.col("z"))
+    scored = drift(trend(long, n)).where(z > warn)
+    amplified = F.signum("slope_per_day") == F.signum("z")
+    severity = F.when((z > critical) & amplified, "critical").when((z > critical) | amplified, "warning").otherwise("info")
+    return scored.select("station_id", "field", "seq", "value", "z", "slope_per_day", amplified.alias("amplified"), severity.alias("severity"), (F.col("n") / 100.0).alias("confidence"), (F.col("value") + F.col("slope_per_day") * horizon_days).alias("expected"))

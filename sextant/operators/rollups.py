@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,10 +11,10 @@ from pyspark.sql.window import Window
 
 from sextant.functions.geo import haversine_km
 from sextant.operators.spatial import radius_self_join
-from sextant.storage import cut
+from sextant.storage import cut, discard
 
 #: WMO weather interpretation codes.
-WEATHER_CODES = {0: "clear", 1: "mainly clear", 2: "partly cloudy", 3: "overcast", 45: "fog", 48: "rime fog", 51: "light drizzle", 53: "drizzle", 55: "dense drizzle", 61: "light rain", 63: "rain", 65: "heavy rain", 71: "light snow", 73: "snow", 75: "heavy snow", 80: "rain showers", 95: "thunderstorm"}
+WEATHER_CODES = {0: "clear", 1: "mainly clear", 2: "partly cloudy", 3: "overcast", 45: "fog", 48: "rime fog", 51: "light drizzle", 53: "drizzle", 55: "dense drizzle", 56: "light freezing drizzle", 57: "freezing drizzle", 61: "light rain", 63: "rain", 65: "heavy rain", 66: "light freezing rain", 67: "freezing rain", 71: "light snow", 73: "snow", 75: "heavy snow", 77: "snow grains", 80: "rain showers", 81: "heavy showers", 82: "violent showers", 85: "snow showers", 86: "heavy snow showers", 95: "thunderstorm", 96: "thunderstorm with hail", 99: "thunderstorm with heavy hail"}
 
 
 def weather_text(code: Column) -> Column:
@@ -60,43 +62,63 @@ def misses(reports: DataFrame, key: str, missing: Column, order: str = "seq") ->
     return met.select(key, "n", (100.0 * F.col("present") / F.col("n")).alias("uptime"), "consecutive", (F.col("consecutive") >= 3).alias("offline"))
 
 
-def thin(points: DataFrame, km: float, most_rounds: int = 50) -> DataFrame:
+def thin(points: DataFrame, km: float) -> DataFrame:
     """Greedy thinning by score: a row stays if no row that stays is within ``km`` and before it (higher score, then id).
 
     Rounds keep every row that is first among its undecided neighbours and drop those near a kept one, which gives the
-    rows that going through them in order would; the last undecided rows take few rounds.
+    rows that going through them in order would. A round takes what is decided out of the rivalries, so the work shrinks;
+    there are as many rounds as the longest chain of rows, each near and behind the one before, needs.
     """
     todo = cut(points.select("id", "lat", "lon", "score"), "thin")
     pairs = radius_self_join(todo, km)
     before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
     edges = cut(pairs.where(before).select("id", F.col("r_id").alias("rival")), "thin")
-    state = cut(todo.select("id", F.lit(None).cast("boolean").alias("stays")), "thin")
-    for _ in range(most_rounds):
-        of = state.select(F.col("id").alias("rival"), F.col("stays").alias("rival_stays"))
-        seen = edges.join(of, "rival").groupBy("id").agg(F.max(F.coalesce("rival_stays", F.lit(False)).cast("int")).alias("near_kept"), F.max(F.col("rival_stays").isNull().cast("int")).alias("open"))
-        decided = F.when(F.coalesce("near_kept", F.lit(0)) == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = cut(state.join(seen, "id", "left").select("id", F.coalesce("stays", decided).alias("stays")), "thin")
-        if state.where("stays IS NULL").isEmpty():
-            return points.join(state.where("stays").select("id"), "id", "left_semi")
-    raise RuntimeError("thinning did not settle")
+    gone = None
+    while not edges.isEmpty():
+        # first among the undecided: rivals that have no rival left
+        first = edges.select(F.col("rival").alias("id")).distinct().join(edges.select("id").distinct(), "id", "left_anti")
+        dropped = cut(edges.join(first.select(F.col("id").alias("rival")), "rival", "left_semi").select("id").distinct(), "thin")
+        # a dropped row is nobody's rival, and needs no decision
+        left = edges.join(dropped, "id", "left_anti").join(dropped.select(F.col("id").alias("rival")), "rival", "left_anti")
+        former, edges = edges, cut(left.select("id", "rival"), "thin")
+        discard(former)
+        gone = dropped if gone is None else cut(gone.union(dropped), "thin")
+    return points if gone is None else points.join(gone, "id", "left_anti")
+
+
+def _corners(points: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The corners of the convex hull, counter-clockwise from the leftmost (Andrew 1979)."""
+
+    def half(seq: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    corners = sorted(set(points))
+    return corners if len(corners) < 3 else half(corners)[:-1] + half(corners[::-1])[:-1]
 
 
 def hulls(points: DataFrame, key: str) -> DataFrame:
-    """Convex hull of each group as ordered corners. Only the ends of each row of equal y reach the hull's task."""
-    ends = points.groupBy(key, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    ends = ends.select(key, "y", F.explode(F.array_distinct(F.array("x0", "x1"))).alias("x"))
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        def half(seq: list[tuple[float, float]]) -> list[tuple[float, float]]:
-            out: list[tuple[float, float]] = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
-
-        corners = sorted({(float(x), float(y)) for x, y in zip(pdf["x"], pdf["y"], strict=True)})
-        ring = corners if len(corners) < 3 else half(corners)[:-1] + half(corners[::-1])[:-1]
+    """Convex hull of each group as ordered corners (x, y).
+
+    Each task first takes the hulls of its own rows, batch by batch, and only their corners meet, so a group of any size
+    sends a few points from each task. Rows without a coordinate are left out.
+    """
+    kind = dict(points.dtypes)[key]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list[tuple[float, float]]] = {}
+        for pdf in batches:
+            for name, rows in pdf.groupby(key, dropna=False):
+                held[name] = _corners([*held.get(name, []), *zip(rows["x"].astype(float), rows["y"].astype(float), strict=True)])
+        yield pd.DataFrame([(k, *p) for k, ring in held.items() for p in ring], columns=[key, "x", "y"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = _corners(zip(pdf["x"], pdf["y"], strict=True))
         return pd.DataFrame({key: pdf[key].iloc[0], "corner": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
 
-    return ends.groupBy(key).applyInPandas(hull, f"{key} {dict(points.dtypes)[key]}, corner int, x double, y double")
+    some = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y").mapInPandas(partial, f"{key} {kind}, x double, y double")
+    return some.groupBy(key).applyInPandas(whole, f"{key} {kind}, corner int, x double, y double")

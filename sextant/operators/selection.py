@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,11 +25,40 @@ def suppress(alerts: DataFrame, whitelist: DataFrame, least: str, key: str = "id
     return alerts.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(least))).join(whitelist.select(key).distinct(), key, "left_anti")
 
 
-def cooldown_alerts(events: DataFrame, key: str, seconds: float, time: str = "ts") -> DataFrame:
-    """An event of a key raises an alert unless one of the key's events came less than ``seconds`` before it."""
-    by = Window.partitionBy(key).orderBy(time, "seq")
-    since = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(by).cast("timestamp"))) / 1e6
-    return events.withColumn("_s", since).where(F.col("_s").isNull() | (F.col("_s") >= seconds)).drop("_s")
+def cooldown_alerts(events: DataFrame, key: str | Sequence[str], seconds: float, time: str = "ts", order: str = "seq") -> DataFrame:
+    """The events that raise an alert: a key's first, and each that comes ``seconds`` or more after the key's last alert.
+
+    Rows are dealt by key and go through a task in the order of time, a batch at a time; what is kept of a key is the time
+    of its last alert. Repeated times go in the order of ``order``; rows without a time raise nothing.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    schema, columns = events.schema, events.columns
+    timed = events.where(F.col(time).isNotNull()).withColumn("_us", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_key", F.xxhash64(*keys))
+    dealt = timed.repartition("_key").sortWithinPartitions("_key", *keys, "_us", order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us = batch.column("_us").to_numpy()
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            chosen = []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if names[a] != before:
+                    before, last = names[a], None
+                at = a
+                while at < b:
+                    if last is not None:
+                        at += int(np.searchsorted(us[at:b], last + seconds * 1e6))
+                    if at < b:
+                        chosen.append(at)
+                        last = int(us[at])
+                        at += 1
+            yield batch.take(pa.array(chosen, pa.int64())).select(columns)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def best_in_cell(rows: DataFrame, cell: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -147,18 +147,37 @@ def diff_snapshots(before: DataFrame, after: DataFrame, id_column: str = "id") -
     return b.join(a, id_column, "left_anti").withColumn("change", F.lit("added")).union(a.join(b, id_column, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def apply_delta(state: DataFrame, delta: DataFrame, id_column: str = "id", op: str = "op") -> DataFrame:
-    """``state`` after an upsert of delta rows and the removal of those whose ``op`` is "removed"."""
-    fresh = delta.where(F.col(op) != "removed").drop(op)
-    return state.join(delta.select(id_column), id_column, "left_anti").unionByName(fresh)
+def apply_delta(state: DataFrame, delta: DataFrame, id_column: str = "id", op: str = "op", order: str | None = None) -> DataFrame:
+    """``state`` after an upsert of delta rows and the removal of those whose ``op`` is "removed".
 
+    Of several delta rows of an id the last by ``order`` counts (its largest value, then the largest row); without an order
+    the largest row, so that the result has each id once and reruns agree.
+    """
+    last = F.max(F.struct(*([order] if order else []), F.struct(*[c for c in delta.columns if c != id_column]).alias("row"))).alias("last")
+    latest = delta.groupBy(id_column).agg(last).select(id_column, "last.row.*")
+    fresh = latest.where(F.col(op) != "removed").drop(op)
+    if order and order not in state.columns:
+        fresh = fresh.drop(order)
+    return state.join(latest.select(id_column), id_column, "left_anti").unionByName(fresh)
+
+
+def region_of(points: DataFrame, regions: DataFrame, degrees: float = 10.0) -> DataFrame:
+    """``points`` with the region of the lowest ``priority`` whose box holds them; boxes may wrap at the antimeridian.
 
-def region_of(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """``points`` with the region of the lowest ``priority`` whose box holds them (a few regions; boxes may wrap)."""
+    Boxes are laid out on cells of ``degrees``, so that a point meets only the regions of its own cell.
+    """
     r = regions.select(*[F.col(c).alias(f"_{c}") for c in ("region", "priority", "west", "south", "east", "north")])
-    across = F.when(F.col("_west") <= F.col("_east"), F.col("lon").between(F.col("_west"), F.col("_east"))).otherwise((F.col("lon") >= F.col("_west")) | (F.col("lon") <= F.col("_east")))
+    wraps = F.col("_west") > F.col("_east")
+
+    def cells(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / degrees), F.floor(high / degrees))
+
+    columns = F.when(wraps, F.array_union(cells(F.col("_west"), F.lit(180.0)), cells(F.lit(-180.0), F.col("_east")))).otherwise(cells(F.col("_west"), F.greatest("_west", "_east")))
+    laid = r.where("_south <= _north").withColumn("_cx", F.explode(columns)).withColumn("_cy", F.explode(cells(F.col("_south"), F.col("_north"))))
+    across = F.when(~wraps, F.col("lon").between(F.col("_west"), F.col("_east"))).otherwise((F.col("lon") >= F.col("_west")) | (F.col("lon") <= F.col("_east")))
     inside = across & F.col("lat").between(F.col("_south"), F.col("_north"))
-    best = points.select("id", "lat", "lon").join(r, inside).groupBy("id").agg(F.min_by("_region", F.struct("_priority", "_region")).alias("region"))
+    placed = points.select("id", "lat", "lon", F.floor(F.col("lon") / degrees).alias("_cx"), F.floor(F.col("lat") / degrees).alias("_cy"))
+    best = placed.join(laid, ["_cx", "_cy"]).where(inside).groupBy("id").agg(F.min_by("_region", F.struct("_priority", "_region")).alias("region"))
     return points.join(best, "id", "left")
 
 

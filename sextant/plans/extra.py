@@ -67,9 +67,15 @@ def _o5(df: DataFrame) -> DataFrame:
     return _alerts(df).orderBy(selection.severity_rank(F.col("severity")).desc(), "id").limit(40).select("id", "severity")
 
 
-@_on("connections", "n2_cooldown_alerts", "SELECT process, seq FROM (SELECT process, seq, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY process ORDER BY ts, seq)) AS gap FROM connections) WHERE gap IS NULL OR gap / 1e6 >= 30000")
+@_on(
+    "connections", "n2_cooldown_alerts",
+    ", o AS (SELECT process, remote_ip, seq, epoch_us(ts) AS us, row_number() OVER (PARTITION BY process, remote_ip ORDER BY ts, seq) AS i FROM connections), "
+    "nx AS (SELECT a.process, a.remote_ip, a.i, min(b.i) AS j FROM o a JOIN o b ON a.process = b.process AND a.remote_ip = b.remote_ip AND b.i > a.i AND b.us >= a.us + 30000000000 GROUP BY ALL), "
+    "al(process, remote_ip, i) AS (SELECT process, remote_ip, 1 FROM o WHERE i = 1 UNION SELECT nx.process, nx.remote_ip, nx.j FROM al JOIN nx USING (process, remote_ip, i)) "
+    "SELECT process, remote_ip, seq FROM al JOIN o USING (process, remote_ip, i)",
+)
 def _n2(df: DataFrame) -> DataFrame:
-    return selection.cooldown_alerts(df, "process", 30000.0).select("process", "seq")
+    return selection.cooldown_alerts(df, ["process", "remote_ip"], 30000.0).select("process", "remote_ip", "seq")
 
 
 @_on("connections", "n5_process_status", ", q AS (SELECT process, avg(CASE WHEN latency_ms = 0 THEN 1.0 ELSE 0.0 END) AS loss, avg(latency_ms) AS l FROM connections GROUP BY process) SELECT process, round(loss, 6) AS loss, CASE WHEN loss > 0.5 THEN 'offline' WHEN loss > 0.2 OR l > 60 THEN 'degraded' ELSE 'healthy' END AS status FROM q")

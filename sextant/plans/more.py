@@ -164,7 +164,16 @@ def _o9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.sort_and_limit(far, "distance_km", descending=False, limit=50).select("id", "layer", _r("distance_km", "distance_km"))
 
 
-@_query("o6_thinning")
+_KEPT = "{'id': q.id, 'lat': q.lat, 'lon': q.lon, 'score': q.mag}"
+
+
+@_query(
+    "o6_thinning",
+    with_views("features").replace("WITH", "WITH RECURSIVE", 1)
+    + ", q AS (SELECT id, lat, lon, mag, row_number() OVER (ORDER BY mag DESC, id) AS i FROM features WHERE layer = 'quake'), "
+    + f"g(i, kept) AS (SELECT q.i, [{_KEPT}] FROM q WHERE i = 1 UNION ALL SELECT q.i, CASE WHEN len(list_filter(g.kept, lambda k: {_hav('k.lat', 'k.lon', 'q.lat', 'q.lon')} <= 800)) = 0 THEN list_append(g.kept, {_KEPT}) ELSE g.kept END FROM g JOIN q ON q.i = g.i + 1), "
+    + "s AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM g ORDER BY i DESC LIMIT 1)) SELECT k.id AS id, k.lat AS lat, k.lon AS lon, k.score AS score FROM s",
+)
 def _o6(spark: SparkSession, sf_dir: str) -> DataFrame:
     quakes = view(spark, sf_dir, "features").where("layer = 'quake'").select("id", "lat", "lon", F.col("mag").alias("score"))
     return rollups.thin(quakes, 800.0)

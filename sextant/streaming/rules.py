@@ -60,11 +60,22 @@ def outage_sessions(rows: DataFrame, key: str = "process", late: str = "1 hour")
     return _timed(rows.select(key, "seq", "bad", "ts"), late).groupBy(key).applyInPandasWithState(step, f"{key} string, first long, last long, n long", state, "append", GroupStateTimeout.NoTimeout)
 
 
-def publish_changes(before: DataFrame, out: str):
-    """A function for ``foreachBatch``: ids added to and removed from ``before``, appended as Parquet under ``out``."""
+def publish_changes(before: DataFrame, out: str, id_column: str = "id"):
+    """A function for ``foreachBatch``: ids added to and removed from the snapshot of the batch before, as Parquet under
+    ``out``/changes, an epoch a folder.
+
+    Each epoch also writes its snapshot of ids under ``out``/snapshots, and is compared with the latest earlier one, the
+    first with ``before``. An epoch that runs again overwrites its own folders, so nothing is published twice.
+    """
     from sextant.operators.spatial import diff_snapshots
 
     def write(batch: DataFrame, epoch: int) -> None:
-        diff_snapshots(before, batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        spark = batch.sparkSession
+        batch.select(id_column).distinct().write.mode("overwrite").parquet(f"{out}/snapshots/epoch={epoch}")
+        held = spark.read.parquet(f"{out}/snapshots").where(F.col("epoch") < epoch)
+        last = held.agg(F.max("epoch")).first()[0]
+        former = before if last is None else held.where(F.col("epoch") == last)
+        now = spark.read.parquet(f"{out}/snapshots/epoch={epoch}")
+        diff_snapshots(former, now, id_column).write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
 
     return write

@@ -17,6 +17,14 @@ VESSELS = "features array<struct<mmsi:string,properties:struct<mmsi:string,name:
 STATES = "time long, states array<array<string>>"
 TABLEDAP = "table struct<columnNames:array<string>,rows:array<array<string>>>"
 FORECAST = "hourly struct<time:array<string>,temperature:array<double>,precipitation:array<double>,wind:array<double>>"
+FIRE_EVENTS = "events array<struct<id:string,centroid:array<double>,maxFrp:double,confidence:string,viirsCount:long,goesCount:long,lastSeen:string,count:long>>"
+STRIKES = "time long, lat double, lon double, pol int"
+METAR = "icaoId string, lat double, lon double, temp double, wspd double, wdir double, altim double"
+OSM = "elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
+RADAR = "radar struct<past:array<struct<time:long,path:string>>,nowcast:array<struct<time:long,path:string>>>, satellite struct<infrared:array<struct<time:long,path:string>>>"
+SCENES = "features array<struct<id:string,bbox:array<double>,properties:struct<datetime:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string>>>>"
+#: Fixed value: hectopascals of an inch of mercury.
+INCH_OF_MERCURY = 33.8639
 MOORED = "(?i)moored|anchor"
 KNOT = 0.514444
 
@@ -135,3 +143,82 @@ def read_orbit_elements(spark: SparkSession, path: str) -> DataFrame:
     t = raw.select(F.explode(triple).alias("t"))
     rows = t.select(F.trim(F.get("t", F.lit(0))).alias("name"), F.get("t", F.lit(1)).alias("line1"), F.get("t", F.lit(2)).alias("line2"))
     return rows.where("line1 LIKE '1 %' AND line2 LIKE '2 %'").withColumn("satnum", F.trim(F.substring("line1", 3, 5)))
+
+
+def fire_cluster_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fire clusters: the sensor is the first of VIIRS, GOES and MTG that counted it, the brightness a band of its power."""
+    e = raw.select(F.explode("events").alias("e")).select("e.*")
+    satellite = F.when(F.col("viirsCount") > 0, "VIIRS").when(F.col("goesCount") > 0, "GOES").otherwise("MTG")
+    bright = F.when(F.col("maxFrp") > 100, 360.0).when(F.col("maxFrp") > 50, 330.0).otherwise(300.0)
+    at = lambda k: F.get("centroid", F.lit(k))
+    rows = e.select(F.concat(F.lit("fire:"), F.col("id")).alias("id"), at(0).alias("lon"), at(1).alias("lat"), F.col("maxFrp").alias("frp"), satellite.alias("satellite"), bright.alias("brightness"), "confidence", "count")
+    rows = rows.where("lon IS NOT NULL AND lat IS NOT NULL")
+    return rows.limit(limit) if limit else rows
+
+
+def lightning_rows(raw: DataFrame) -> DataFrame:
+    """Strikes with nanoseconds as a timestamp of milliseconds; an unknown polarity is 0. Batch and streaming alike."""
+    rows = raw.select(F.timestamp_millis(F.floor(F.col("time") / 1_000_000).cast("long")).alias("ts"), "lat", "lon", F.coalesce("pol", F.lit(0)).alias("polarity"))
+    return rows.where("lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def metar_rows(raw: DataFrame) -> DataFrame:
+    """Airport reports, one a station: wind in metres a second, pressure in hectopascals (up to 100 means inches of
+    mercury). Reports without temperature, wind and pressure go."""
+    pressure = F.when(F.col("altim") <= 100, F.col("altim") * INCH_OF_MERCURY).otherwise(F.col("altim"))
+    rows = raw.where("icaoId IS NOT NULL").select(F.col("icaoId").alias("station_id"), "lat", "lon", F.col("temp").alias("air_temp"), (F.col("wspd") * KNOT).alias("wind_speed"), F.col("wdir").alias("wind_dir"), pressure.alias("pressure"))
+    return rows.where("air_temp IS NOT NULL OR wind_speed IS NOT NULL OR pressure IS NOT NULL").dropDuplicates(["station_id"])
+
+
+def _elements(raw: DataFrame) -> DataFrame:
+    return raw.select(F.explode("elements").alias("e")).select("e.*")
+
+
+def road_segments(raw: DataFrame) -> DataFrame:
+    """Segments of OpenStreetMap ways that can be followed: id, segment, both ends and the cost of their class."""
+    from sextant.operators.classify import road_cost
+
+    ways = road_cost(_elements(raw).where("type = 'way'").withColumn("highway", F.col("tags")["highway"]))
+    line = F.expr("transform(sequence(0, size(geometry) - 2), i -> struct(i AS segment, geometry[i] AS a, geometry[i + 1] AS b))")
+    s = ways.where(F.size("geometry") >= 2).select("id", "cost", F.explode(line).alias("s"))
+    return s.select("id", "s.segment", F.col("s.a.lon").alias("lon1"), F.col("s.a.lat").alias("lat1"), F.col("s.b.lon").alias("lon2"), F.col("s.b.lat").alias("lat2"), "cost")
+
+
+def water_features(raw: DataFrame) -> DataFrame:
+    """Rivers, lakes and springs of OpenStreetMap: nodes as points, ways as lines, relations by their outer members."""
+    e = _elements(raw)
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    kind = F.coalesce(tag("waterway"), tag("water"), F.when(tag("natural").isin("water", "spring"), tag("natural")))
+    outer = F.flatten(F.transform(F.filter("members", lambda m: m["role"] == "outer"), lambda m: m["geometry"]))
+    point = F.when(F.col("lon").isNotNull(), F.array(F.struct(F.col("lon").alias("lon"), F.col("lat").alias("lat"))))
+    coords = F.when(F.col("type") == "node", point).when(F.col("type") == "way", F.col("geometry")).otherwise(outer)
+    return e.select("id", "type", kind.alias("kind"), tag("name").alias("name"), coords.alias("coords")).where("kind IS NOT NULL AND size(coords) > 0").dropDuplicates(["type", "id"])
+
+
+def infrastructure_features(raw: DataFrame) -> DataFrame:
+    """Infrastructure of OpenStreetMap with its kind, position (a way's mean vertex) and voltage; an id counts once however
+    many passes returned it."""
+    from sextant.operators.classify import infrastructure_kind, largest_voltage
+
+    mean = lambda c: F.aggregate("geometry", F.lit(0.0), lambda s, p: s + p[c]) / F.size("geometry")
+    e = _elements(raw).withColumn("kind", infrastructure_kind(F.col("tags")))
+    rows = e.select("id", "kind", F.coalesce("lon", F.when(F.size("geometry") > 0, mean("lon"))).alias("lon"), F.coalesce("lat", F.when(F.size("geometry") > 0, mean("lat"))).alias("lat"), largest_voltage(F.try_element_at("tags", F.lit("voltage"))).alias("voltage"))
+    return rows.where("kind IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL").dropDuplicates(["id"])
+
+
+def mosaic(pixels: DataFrame, size: int = 256) -> DataFrame:
+    """Pixels of tiles (tx, ty, row, col, v) at their places in the whole mosaic."""
+    return pixels.select((F.col("tx") * size + F.col("col")).alias("x"), (F.col("ty") * size + F.col("row")).alias("y"), "v")
+
+
+def radar_frames(raw: DataFrame) -> DataFrame:
+    """(kind, time, path) of past, nowcast and infrared frames."""
+    parts = [raw.select(F.lit(k).alias("kind"), F.explode(c).alias("f")) for k, c in (("past", "radar.past"), ("nowcast", "radar.nowcast"), ("infrared", "satellite.infrared"))]
+    return parts[0].union(parts[1]).union(parts[2]).select("kind", "f.time", "f.path")
+
+
+def scene_rows(raw: DataFrame) -> DataFrame:
+    """Catalogue items: box, time, cloud cover in percent and the address of each asset."""
+    f = raw.select(F.explode("features").alias("f"))
+    box = [F.get("f.bbox", F.lit(k)).alias(n) for k, n in enumerate(("west", "south", "east", "north"))]
+    return f.select(F.col("f.id").alias("id"), *box, to_time(F.col("f.properties.datetime")).alias("ts"), F.col("f.properties.`eo:cloud_cover`").alias("cloud"), F.transform_values("f.assets", lambda k, v: v["href"]).alias("hrefs"))

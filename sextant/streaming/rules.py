@@ -60,6 +60,59 @@ def outage_sessions(rows: DataFrame, key: str = "process", late: str = "1 hour")
     return _timed(rows.select(key, "seq", "bad", "ts"), late).groupBy(key).applyInPandasWithState(step, f"{key} string, first long, last long, n long", state, "append", GroupStateTimeout.NoTimeout)
 
 
+def last_values(rows: DataFrame, key: str, value: str, n: int = 20, late: str = "1 hour", quiet: str = "1 day") -> DataFrame:
+    """(key, seq, n, mean, sd) for each row: over the key's last ``n`` values up to it, the batch's in the order of seq.
+
+    State is a ring of ``n`` values a key; it goes when the key has been quiet, in event time, for ``quiet``.
+    """
+    span = pd.Timedelta(quiet)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        fresh = pd.concat(list(batches)).sort_values("seq")
+        before = list(held.get[0]) if held.exists else []
+        values = pd.Series([*before, *fresh["value"]], dtype=float)
+        window = values.rolling(n, min_periods=1)
+        out = pd.DataFrame({"n": window.count(), "mean": window.mean(), "sd": window.std(ddof=0)}).iloc[len(before) :]
+        held.update((values.iloc[-n:].tolist(),))
+        held.setTimeoutTimestamp(int((fresh["ts"].max() + span).timestamp() * 1000))
+        yield out.assign(**{key: k[0], "seq": fresh["seq"].to_numpy(), "n": out["n"].astype("int64")})[[key, "seq", "n", "mean", "sd"]]
+
+    timed = _timed(rows.select(F.col(key).cast("string").alias(key), "seq", F.col(value).cast("double").alias("value"), "ts").where("value IS NOT NULL"), late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} string, seq long, n long, mean double, sd double", "ring array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cooldown_alerts(rows: DataFrame, key: str, seconds: float, late: str = "1 hour") -> DataFrame:
+    """(key, seq, ts) of the rows that raise an alert: a key's first, and each ``seconds`` or more after its last alert.
+
+    State is the time of a key's last alert, kept until the watermark has passed it by ``seconds``. The streaming twin of
+    the batch rule for rows that come in the order of time.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        fresh = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        times = fresh["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        last, at, chosen = held.get[0] if held.exists else None, 0, []
+        while at < len(times):
+            if last is not None:
+                at += int(times[at:].searchsorted(last + seconds * 1e6))
+            if at < len(times):
+                chosen.append(at)
+                last, at = int(times[at]), at + 1
+        if last is not None:
+            held.update((last,))
+            held.setTimeoutTimestamp(max(last // 1000 + int(seconds * 1000), held.getCurrentWatermarkMs() + 1))
+        yield fresh.iloc[chosen].assign(**{key: k[0]})[[key, "seq", "ts"]]
+
+    timed = _timed(rows.select(F.col(key).cast("string").alias(key), "seq", "ts"), late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} string, seq long, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def publish_changes(before: DataFrame, out: str, id_column: str = "id"):
     """A function for ``foreachBatch``: ids added to and removed from the snapshot of the batch before, as Parquet under
     ``out``/changes, an epoch a folder.

@@ -28,3 +28,26 @@ def test_hulls(spark):
         got.setdefault(r.k, {})[r.corner] = (r.x, r.y)
     assert set(got["a"].values()) == {(0, 0), (4, 0), (4, 4), (0, 4)} and len(got["a"]) == 4
     assert list(got["b"].values()) == [(1, 1)] and len(got["c"]) == 2
+
+
+def test_thinning_of_a_long_chain(spark):
+    rows = [(f"p{i:03d}", 0.0, i * 0.5, float(i)) for i in range(70)]
+    got = rollups.thin(spark.createDataFrame(rows, "id string, lat double, lon double, score double"), 60.0)
+    assert {r.id for r in got.collect()} == {f"p{i:03d}" for i in range(69, -1, -2)}
+
+
+def test_hulls_of_real_coordinates_equal_brute_force(spark):
+    rng = random.Random(5)
+    points = [(rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(200)]
+    rows = [("a", *p) for p in points] + [("a", None, 1.0), (None, 0.5, 0.5)]
+    got = {(r.x, r.y) for r in rollups.hulls(spark.createDataFrame(rows, "k string, x double, y double"), "k").where("k = 'a'").collect()}
+
+    def corner(p):
+        angles = sorted(math.atan2(q[1] - p[1], q[0] - p[0]) for q in points if q != p)
+        return any((b - a) > math.pi for a, b in zip(angles, [*angles[1:], angles[0] + 2 * math.pi]))
+
+    assert got == {p for p in points if corner(p)}
+
+
+def test_weather_codes():
+    assert len(rollups.WEATHER_CODES) == 28 and rollups.WEATHER_CODES[99].startswith("thunderstorm")

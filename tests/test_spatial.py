@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from sextant.functions import geo
-from sextant.operators import grids, spatial
+from sextant.operators import grids, selection, spatial
 
 
 def _km(a, b):
@@ -58,3 +58,24 @@ def test_where_attr_unknown_operator_and_missing_field(spark):
     assert spatial.where_attr(df, "speed", "like", 1).count() == 2
     assert spatial.where_attr(df, "k", "gt", 1).count() == 1
     assert spatial.where_attr(df, "speed", "lte", 0).count() == 1
+
+
+def test_deltas_count_once_and_the_last_wins(spark):
+    state = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "id string, v int")
+    delta = spark.createDataFrame([("a", 2, 1, "full"), ("a", 3, 2, "full"), ("b", 9, 1, "full"), ("b", 9, 2, "removed"), ("d", 4, 1, "full"), ("d", 4, 1, "full")], "id string, v int, seq int, op string")
+    got = sorted((r.id, r.v) for r in spatial.apply_delta(state, delta, order="seq").collect())
+    assert got == [("a", 3), ("c", 1), ("d", 4)]
+
+
+def test_regions_wrap_and_the_first_priority_wins(spark):
+    regions = spark.createDataFrame([("all", 5, -180.0, -90.0, 180.0, 90.0), ("pacific", 1, 150.0, -10.0, -90.0, 10.0), ("dot", 0, 10.0, 10.0, 10.0, 10.0)], "region string, priority int, west double, south double, east double, north double")
+    points = spark.createDataFrame([("a", 0.0, 170.0), ("b", 0.0, -100.0), ("c", 0.0, 0.0), ("d", 10.0, 10.0), ("e", None, 1.0), ("f", 10.0, 150.0)], "id string, lat double, lon double")
+    got = {r.id: r.region for r in spatial.region_of(points, regions).collect()}
+    assert got == {"a": "pacific", "b": "pacific", "c": "all", "d": "dot", "e": None, "f": "pacific"}
+
+
+def test_cooldown_runs_from_the_last_alert(spark):
+    rows = spark.createDataFrame([("p", k, k * 20) for k in range(10)] + [("q", 100, 5), ("q", 101, None)], "process string, seq int, s int")
+    events = rows.withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = sorted((r.process, r.seq) for r in selection.cooldown_alerts(events, "process", 30.0).collect())
+    assert got == [("p", 0), ("p", 2), ("p", 4), ("p", 6), ("p", 8), ("q", 100)]

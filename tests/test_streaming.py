@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sextant.operators import network, quality
+from sextant.operators import network, quality, selection
 from sextant.plans.views import view
 from sextant.streaming import rules
 
@@ -34,3 +35,33 @@ def test_without_repeats(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     assert _run(rules.without_repeats(stream, ["id"]), "once", spark, tmp_path).count() == 2
+
+
+def _stream_of(rows, spark, tmp_path):
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    return spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+
+def test_cooldown_equals_batch(spark, small, tmp_path):
+    rows = view(spark, small, "connections").select("process", "seq", F.col("ts").cast("timestamp").alias("ts"))
+    got = {(r.process, r.seq) for r in _run(rules.cooldown_alerts(_stream_of(rows, spark, tmp_path), "process", 30000.0), "cooldown_twin", spark, tmp_path).collect()}
+    assert got == {(r.process, r.seq) for r in selection.cooldown_alerts(rows, "process", 30000.0).collect()} and got
+
+
+def test_last_values_equal_window(spark, small, tmp_path):
+    rows = view(spark, small, "measurements").select("station_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "water_temp")
+    got = {(r.station_id, r.seq): (r.n, round(r["mean"], 6)) for r in _run(rules.last_values(_stream_of(rows, spark, tmp_path), "station_id", "water_temp", 10), "ring_twin", spark, tmp_path).collect()}
+    w = Window.partitionBy("station_id").orderBy("seq").rowsBetween(-9, 0)
+    want = {(r.station_id, r.seq): (r.n, round(r.m, 6)) for r in rows.select("station_id", "seq", F.count("water_temp").over(w).alias("n"), F.avg("water_temp").over(w).alias("m")).collect()}
+    assert got == want
+
+
+def test_changes_are_against_the_batch_before(spark, tmp_path):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    out = str(tmp_path / "feed")
+    publish = rules.publish_changes(ids("a"), out)
+    for epoch, batch in enumerate((ids("a", "b"), ids("b", "c"), ids("b", "c"))):
+        publish(batch, epoch)
+    publish(ids("b", "c"), 1)  # an epoch that runs again
+    got = sorted((r.epoch, r.id, r.change) for r in spark.read.parquet(f"{out}/changes").collect())
+    assert got == [(0, "b", "added"), (1, "a", "removed"), (1, "c", "added")]

@@ -43,3 +43,35 @@ def test_stages(spark, small):
             assert sorted((r.doc_id, r.decoded_sha256) for r in after) == sorted((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in before)
         if name != "encode":
             assert docs.columns == columns
+
+
+def test_stages_on_edges(spark, small):
+    """Nulls in any column, blank and very long texts, repeated rows, an extra and clashing columns, and an empty table."""
+    plain = " ".join(f"w{k}" for k in range(40))
+    rows = [
+        (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, " \n\t ", "en", None, 4), (4, plain, None, None, 5), (4, plain, None, None, 5), (5, plain, "en", "a", 5), (None, plain + " more", "en", "a", 6),
+        (6, " ".join(f"long{k}" for k in range(60_000)), "de", "b", 7), (7, "\n".join(" ".join(f"x{k}{c}" for c in "abcde") for k in range(9)), "de", "b", 8),
+        (8, "\n".join(" ".join(f"x{k}{c}" for c in "abcde") for k in range(9)) + "\nand an end of its own here", "de", "b", 9), (9, "short", "fr", "c", 5),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    clash = docs.selectExpr("*", "'mine' AS kept", "'mine' AS n_words", "1 AS rep", "'x' AS bucket")
+    for given in (docs, clash, docs.limit(0)):
+        now = given
+        for name, stage in corpus_pipeline.STAGES:
+            now = cut(stage(spark, now, small), "edges")
+            if name != "encode":
+                assert now.columns == docs.columns
+            kept = now.collect()
+            if given is not docs and given is not clash:
+                assert kept == []
+            elif name == "quality rules":
+                assert sorted(r.doc_id or 0 for r in kept) == [0, 4, 4, 5, 6, 7, 8]
+            elif name == "line dedup":
+                assert {r.doc_id for r in kept} == {None, 4, 5, 6, 7, 8} and next(r for r in kept if r.doc_id == 8).text.endswith("end of its own here")
+            elif name == "near copies":
+                assert {r.doc_id for r in kept} == {None, 4, 6, 7, 8} and sum(r.doc_id == 4 for r in kept) == 2
+            elif name == "mix sources":
+                assert {r.doc_id for r in kept} <= {None, 4, 6, 7, 8}
+            else:
+                assert all(r.decoded_sha256 for r in kept)

@@ -2,6 +2,11 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; ``run`` writes its rows as Parquet in the shared folder and reads them
 again as the next stage's docs. All but the last return the columns of documents.
+
+In every stage nulls in any column do no harm: a null or blank text has no words, so the quality rules reject it; a null
+doc_id has no near copies and stays; null sources are one source. Repeated rows (and other rows of one doc_id) stay or go
+together, except that a line's later occurrences go from each later row. Of equal documents the least doc_id stays. Columns
+beyond those of documents are left out, whatever their names. An empty table gives empty tables. Texts are never cut short.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.functions.physics import kirpich_minutes
 from sextant.operators import graph
 from sextant.operators.blocks import BLOCK, blockwise, grid_key, labels, settle, shifted, window_sums
 from sextant.storage import cut
@@ -290,6 +291,31 @@ def streams(accumulated: DataFrame, least_cells: int, block: int = BLOCK) -> Dat
     return out.select(*grid_key(accumulated), "x", "y", F.col("cells").cast("long").alias("cells"), (F.col("head") > 0).alias("head"), F.col("order").cast("int").alias("strahler"))
 
 
+def flood_risk(streams_of: DataFrame, slopes: DataFrame, runoff_m: float, size: float = 30.0, full_flow: float = 200.0, full_slope: float = 0.5, least: float = 0.15) -> DataFrame:
+    """Stream cells with discharge (cubic metres a second: drained area times runoff over Kirpich's (1940) time of
+    concentration, at least 60 s, for a path as long as the area's side) and risk, half by discharge and half by slope
+    (rise over run), each up to its full value; cells of a risk of at least ``least``, with what weighs more."""
+    key = grid_key(streams_of)
+    met = streams_of.join(slopes.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.tan(F.radians("slope")).alias("gradient")), [*key, "x", "y"])
+    area = F.col("cells") * (size * size)
+    seconds = F.greatest(F.lit(60.0), 60 * kirpich_minutes(F.sqrt(area), F.col("gradient")))
+    out = met.withColumn("discharge", area * runoff_m / seconds)
+    by_flow, by_slope = F.least(F.lit(1.0), F.col("discharge") / full_flow), F.least(F.lit(1.0), F.col("gradient") / full_slope)
+    out = out.withColumn("risk", 0.5 * by_flow + 0.5 * by_slope).withColumn("reason", F.when(by_flow >= by_slope, "flow").otherwise("slope"))
+    return out.where(F.col("risk") >= least).select(*key, "x", "y", "cells", "discharge", "risk", "reason")
+
+
+def class_zones(cells: DataFrame, classes: DataFrame, least: int = 3, limit: int = 100, block: int = BLOCK) -> DataFrame:
+    """The ``limit`` largest connected zones of one class (classes: x, y, class as a number; cells: x, y, v): component,
+    class, cells, mean value and box; the larger first, then the component."""
+    key = grid_key(classes)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    placed = components(classes, class_column="class", block=block).join(classes.select(*key, long("x"), long("y"), "class"), [*key, "x", "y"]).join(cells.select(*key, long("x"), long("y"), "v"), [*key, "x", "y"])
+    box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
+    out = placed.groupBy(*key, "component").agg(F.first("class").alias("class"), F.count("*").alias("n"), F.avg("v").alias("mean"), *box)
+    return out.where(F.col("n") >= least).orderBy(F.desc("n"), *key, "component").limit(limit)
+
+
 def basins(directions: DataFrame, block: int = BLOCK) -> DataFrame:
     """x, y and basin: the cell (y * 2^31 + x) that each cell's water ends in. Paths inside a block are followed by jumping
     to a path's path, and between blocks round by round."""

@@ -544,6 +544,31 @@ def _t14_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.streams(grids.flow_accumulation(grids.flow_direction(view(spark, sf_dir, "dem"))), 3)
 
 
+@_query(
+    "t15_flood_risk",
+    _flow(
+        ", sl AS (SELECT x, y, CASE WHEN k = 9 THEN sqrt(dx*dx + dy*dy) ELSE 0 END AS gradient FROM g), q AS (SELECT acc.x, acc.y, cells, gradient, cells * 900e0 * 0.5e0 / greatest(60e0, 60 * 0.0195e0 * pow(sqrt(cells * 900e0), 0.77e0) * pow(greatest(gradient, 1e-4), -0.385e0)) AS discharge FROM acc JOIN sl ON acc.x = sl.x AND acc.y = sl.y WHERE cells >= 3),"
+        " r AS (SELECT *, least(1e0, discharge / 200) AS a, least(1e0, gradient / 0.5e0) AS b FROM q) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, cells, round(discharge, 6) AS discharge, round(0.5e0 * a + 0.5e0 * b, 6) AS risk, CASE WHEN a >= b THEN 'flow' ELSE 'slope' END AS reason FROM r WHERE 0.5e0 * a + 0.5e0 * b >= 0.15e0"
+    ),
+)
+def _t15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "dem")
+    rivers = grids.streams(grids.flow_accumulation(grids.flow_direction(cells)), 3)
+    return grids.flood_risk(rivers, grids.slope_degrees(cells), 0.5).select("x", "y", "cells", _r("discharge", "discharge"), _r("risk", "risk"), "reason")
+
+
+@_query(
+    "t10_class_zones",
+    with_views("dem").replace("WITH", "WITH RECURSIVE", 1)
+    + ", m AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, floor(v / 90) AS c, v FROM dem), reach(x, y, sx, sy) AS (SELECT x, y, x, y FROM m UNION SELECT b.x, b.y, sx, sy FROM reach JOIN m AS a ON a.x = reach.x AND a.y = reach.y JOIN m AS b ON abs(b.x - reach.x) + abs(b.y - reach.y) = 1 AND a.c = b.c),"
+    " z AS (SELECT x, y, min(sy * 2147483648 + sx) AS component FROM reach GROUP BY x, y) SELECT component, any_value(c) AS class, count(*) AS n, round(avg(v), 6) AS mean, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM z JOIN m USING (x, y) GROUP BY component HAVING count(*) >= 3 ORDER BY n DESC, component LIMIT 100",
+)
+def _t10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "dem")
+    classes = cells.select("x", "y", F.floor(F.col("v") / 90).cast("double").alias("class"))
+    return grids.class_zones(cells, classes).withColumn("mean", F.round("mean", 6))
+
+
 @_query("t17_basins", _flow(", e AS (SELECT sx, sy, x AS ox, y AS oy FROM down JOIN dirs USING (x, y) WHERE k < 0) SELECT CAST(sx AS BIGINT) AS x, CAST(sy AS BIGINT) AS y, CAST(oy AS BIGINT) * 2147483648 + CAST(ox AS BIGINT) AS basin FROM e"))
 def _t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.basins(grids.flow_direction(view(spark, sf_dir, "dem")))

@@ -94,6 +94,14 @@ def _p26(df: DataFrame) -> DataFrame:
     return df.select("id", classify.map_severity(own).alias("severity"))
 
 
+@_on("features", "p19_hypotheses", "SELECT id, layer AS label, least(1e0, speed / 200) AS confidence, CASE WHEN layer IN ('fire', 'quake') THEN layer ELSE 'other' END AS kind FROM features WHERE user_id % 4 > 0")
+def _p19_hypotheses(df: DataFrame) -> DataFrame:
+    entry = F.to_json(F.array(F.struct(F.col("layer").alias("label"), (F.col("speed") / 200).alias("confidence"), F.initcap("layer").alias("kind")), F.struct(F.lit(" ").alias("label"), F.lit(1.0).alias("confidence"), F.lit("fire").alias("kind"))))
+    said = F.when(F.col("user_id") % 4 > 0, F.concat(F.lit("Here they are:\n"), entry, F.lit(" as asked"))).otherwise("nothing found")
+    out = df.select("id", F.explode(classify.hypotheses(said, ["fire", "quake"], "other")).alias("h"))
+    return out.select("id", "h.label", "h.confidence", "h.kind")
+
+
 @_on("features", "a28_category_counts", "SELECT layer, count(*) AS n, round(count(*) / (SELECT count(*) FROM features), 6) AS share FROM features GROUP BY layer")
 def _a28(df: DataFrame) -> DataFrame:
     return classify.category_counts(df, "layer").select("layer", "n", _r("share", "share"))

@@ -62,17 +62,14 @@ def misses(reports: DataFrame, key: str, missing: Column, order: str = "seq") ->
     return met.select(key, "n", (100.0 * F.col("present") / F.col("n")).alias("uptime"), "consecutive", (F.col("consecutive") >= 3).alias("offline"))
 
 
-def thin(points: DataFrame, km: float) -> DataFrame:
-    """Greedy thinning by score: a row stays if no row that stays is within ``km`` and before it (higher score, then id).
+def outranked(edges: DataFrame) -> DataFrame | None:
+    """The ids that greedy thinning drops: edges are (id, rival), the rival near the id and before it in some total order.
 
-    Rounds keep every row that is first among its undecided neighbours and drop those near a kept one, which gives the
-    rows that going through them in order would. A round takes what is decided out of the rivalries, so the work shrinks;
-    there are as many rounds as the longest chain of rows, each near and behind the one before, needs.
+    Rounds keep every row that is first among its undecided neighbours and drop those near a kept one, which gives what
+    going through the rows in order would. A round takes what is decided out of the rivalries, so the work shrinks; there
+    are as many rounds as the longest chain of rows, each near and behind the one before, needs. None if nothing goes.
     """
-    todo = cut(points.select("id", "lat", "lon", "score"), "thin")
-    pairs = radius_self_join(todo, km)
-    before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
-    edges = cut(pairs.where(before).select("id", F.col("r_id").alias("rival")), "thin")
+    edges = cut(edges, "thin")
     gone = None
     while not edges.isEmpty():
         # first among the undecided: rivals that have no rival left
@@ -83,6 +80,15 @@ def thin(points: DataFrame, km: float) -> DataFrame:
         former, edges = edges, cut(left.select("id", "rival"), "thin")
         discard(former)
         gone = dropped if gone is None else cut(gone.union(dropped), "thin")
+    return gone
+
+
+def thin(points: DataFrame, km: float) -> DataFrame:
+    """Greedy thinning by score: a row stays if no row that stays is within ``km`` and before it (higher score, then id)."""
+    todo = cut(points.select("id", "lat", "lon", "score"), "thin")
+    pairs = radius_self_join(todo, km)
+    before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
+    gone = outranked(pairs.where(before).select("id", F.col("r_id").alias("rival")))
     return points if gone is None else points.join(gone, "id", "left_anti")
 
 

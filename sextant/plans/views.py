@@ -45,8 +45,22 @@ CONNECTIONS = """SELECT concat('c:', CAST(user_id AS STRING), ':', CAST(event_id
  CASE WHEN event_type='error' THEN 'TimeWait' ELSE 'Established' END AS state, ts, event_id AS seq,
  CASE WHEN event_type='error' THEN CAST(0 AS DOUBLE) ELSE value END AS latency_ms FROM events"""
 
-VIEWS = {"features": FEATURES, "stations": STATIONS, "measurements": MEASUREMENTS, "assets": ASSETS, "dem": DEM, "connections": CONNECTIONS}
-_TABLES = ("events", "supplier", "nation", "part")
+# walkers gone missing, and where and when they were seen
+CASES = """SELECT c_custkey AS case_id, CAST((c_custkey*7919) % 14000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(70 AS DOUBLE) AS lat, CAST((c_custkey*10473) % 36000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) AS lon,
+ CAST(c_custkey % 40 AS DOUBLE) AS hours, CAST(c_custkey % 5 + 1 AS INT) AS day, CAST(c_custkey % 45 AS DOUBLE) AS temperature_c, CAST(c_custkey % 31 AS DOUBLE) AS claimed_hours,
+ CASE c_custkey % 3 WHEN 0 THEN 'slow' WHEN 1 THEN 'normal' ELSE 'fast' END AS pace, CASE c_custkey % 7 WHEN 0 THEN 'light' WHEN 1 THEN 'medium' ELSE 'heavy' END AS pack,
+ CASE c_custkey % 4 WHEN 0 THEN 'novice' WHEN 1 THEN 'experienced' ELSE 'expert' END AS experience, CASE c_custkey % 11 WHEN 0 THEN 'clear' WHEN 1 THEN 'cloudy' WHEN 2 THEN 'rain' WHEN 3 THEN 'snow' WHEN 4 THEN 'extreme' ELSE 'clear' END AS weather,
+ CASE c_nationkey % 4 WHEN 0 THEN 'morning' WHEN 1 THEN 'midday' WHEN 2 THEN 'afternoon' ELSE 'night' END AS time_of_day, CASE c_nationkey % 3 WHEN 0 THEN 'young' WHEN 1 THEN 'adult' ELSE 'elderly' END AS age_group,
+ CASE c_custkey % 5 WHEN 0 THEN 'unfit' WHEN 1 THEN 'average' ELSE 'fit' END AS fitness, CASE c_custkey % 13 WHEN 0 THEN 'precise' WHEN 1 THEN 'approximate' WHEN 2 THEN 'exaggerated' ELSE 'unreliable' END AS perception,
+ CASE c_nationkey % 5 WHEN 0 THEN 'gps' WHEN 1 THEN 'compass-map' WHEN 2 THEN 'landmark' ELSE 'none' END AS navigation, CASE c_nationkey % 7 WHEN 0 THEN 'cautious' WHEN 1 THEN 'moderate' WHEN 2 THEN 'aggressive' ELSE 'reckless' END AS tolerance,
+ CASE c_custkey % 6 WHEN 0 THEN 'transit' WHEN 1 THEN 'exploration' WHEN 2 THEN 'summit' WHEN 3 THEN 'search' WHEN 4 THEN 'lost' ELSE 'other' END AS goal,
+ c_custkey % 4 < 2 AS multi_day, CAST(c_custkey % 6 AS INT) AS planned_days, c_custkey % 8 < 5 AS camping FROM customer"""
+
+ANCHORS = """SELECT o_custkey AS case_id, o_orderkey AS seq, CAST((o_custkey*7919) % 14000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(70 AS DOUBLE) + CAST(o_orderkey % 21 - 10 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat,
+ CAST((o_custkey*10473) % 36000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) + CAST(o_orderkey % 17 - 8 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon, CAST(o_orderkey % 30 AS DOUBLE)/CAST(2 AS DOUBLE) AS hours, o_orderkey % 4 = 0 AS is_end FROM orders"""
+
+VIEWS = {"features": FEATURES, "stations": STATIONS, "measurements": MEASUREMENTS, "assets": ASSETS, "dem": DEM, "connections": CONNECTIONS, "cases": CASES, "anchors": ANCHORS}
+_TABLES = ("events", "supplier", "nation", "part", "customer", "orders")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators.spatial import radius_join
+from sextant.storage import cut, discard
 
 SEVERITIES = ("info", "low", "moderate", "warning", "high", "critical")
 
@@ -97,3 +98,24 @@ def sound_levels(sources: DataFrame, receivers: DataFrame, km: float, air_db_km:
     level = F.col("r_lw") - (20 * F.log10(metres) + 10 * math.log10(4 * math.pi)) - air_db_km * F.col("distance_km")
     out = met.groupBy("id").agg(F.sum(F.pow(F.lit(10.0), level / 10)).alias("e"), F.count("*").alias("sources"))
     return out.select("id", "sources", (10 * F.log10("e")).alias("level_db"))
+
+
+class FollowUp:
+    """The result of the last question, for questions about it: ``ask`` keeps a DataFrame's rows as a table in the shared folder and
+    returns them, ``then`` applies a function to them and keeps what comes out. ``limit`` is for what a person reads; without it
+    whole results are kept."""
+
+    def __init__(self, limit: int | None = None) -> None:
+        self.limit = limit
+        self.rows: DataFrame | None = None
+
+    def ask(self, df: DataFrame) -> DataFrame:
+        former, self.rows = self.rows, cut(df if self.limit is None else df.limit(self.limit), "asked")
+        if former is not None:
+            discard(former)
+        return self.rows
+
+    def then(self, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if self.rows is None:
+            raise ValueError("nothing has been asked yet")
+        return self.ask(f(self.rows))

@@ -405,3 +405,37 @@ def _k1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = _ways(spark, sf_dir, F.create_map(F.lit("highway"), F.lit("path"))).select(F.explode("elements").alias("e")).select("e.id", "e.geometry", F.lit("road").alias("kind"))
     coords = F.transform("geometry", lambda p: F.array(p["lon"], p["lat"]))
     return ways.select(F.col("id").alias("way"), exports.geojson_shape("id", "LineString", coords, ["kind"]).alias("feature"))
+
+
+@_on("features", "s10_storms", "SELECT concat('nhc_', id) AS id, CASE user_id % 3 WHEN 0 THEN 'East Pacific' WHEN 1 THEN 'Atlantic' ELSE '' END AS basin, lat, lon, CASE WHEN user_id % 4 > 0 THEN speed END AS wind_kt FROM features WHERE layer = 'quake' AND user_id % 7 > 0")
+def _s10(df: DataFrame) -> DataFrame:
+    text = lambda c, when: F.when(when, F.col(c).cast("string"))
+    n = F.col("user_id")
+    bin_number = F.when(n % 3 == 0, "EP1").when(n % 3 == 1, "AT2").otherwise("CP1")
+    where = [text(c, (n % 7 > 0) & (n % 2 == k)).alias(name) for c, k, name in (("lat", 0, "latitudeNumeric"), ("lat", 1, "lat"), ("lon", 0, "longitude_numeric"), ("lon", 1, "lon"))]
+    one = F.struct("id", F.lit("").alias("name"), bin_number.alias("binNumber"), F.when(n % 4 > 0, F.col("speed").cast("string")).otherwise("strong").alias("intensity"), *where)
+    return feeds.storm_rows(_landed(df.where("layer = 'quake'"), F.struct(F.array(one).alias("activeStorms")), feeds.STORMS)).select("id", "basin", "lat", "lon", "wind_kt")
+
+
+@_on("features", "s10_warnings", "SELECT concat('nws_', id) AS id, CASE user_id % 3 WHEN 0 THEN 'tornado' WHEN 1 THEN 'tropical_cyclone' ELSE 'thunderstorm' END AS kind, round(CASE WHEN user_id % 2 = 0 THEN (lat * 4 + 2) / 4 ELSE lat END, 6) AS lat, round(CASE WHEN user_id % 2 = 0 THEN (lon * 4 + 1) / 4 ELSE lon END, 6) AS lon FROM features WHERE layer = 'lightning' AND user_id % 5 > 0")
+def _s10_warnings(df: DataFrame) -> DataFrame:
+    n, x, y = F.col("user_id"), F.col("lon"), F.col("lat")
+    ring = F.to_json(F.array(F.array(F.array(x, y), F.array(x + 1, y + 1), F.array(x, y + 1), F.array(x, y))))
+    shape = F.when(n % 2 == 0, F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"))).otherwise(F.struct(F.lit("Point").alias("type"), F.to_json(F.array(x, y)).alias("coordinates")))
+    event = F.when(n % 3 == 0, "Tornado Watch").when(n % 3 == 1, "Tropical Storm Warning").otherwise("Severe Thunderstorm Warning")
+    one = F.struct(F.struct("id", event.alias("event"), F.lit("Severe").alias("severity"), F.lit("2024-01-01T00:00:00Z").alias("sent")).alias("properties"), F.when(n % 5 > 0, shape).alias("geometry"))
+    return feeds.warning_rows(_landed(df.where("layer = 'lightning'"), F.struct(F.array(one).alias("features")), feeds.WARNINGS)).select("id", "kind", _r("lat", "lat"), _r("lon", "lon"))
+
+
+@_on(
+    "measurements",
+    "s11_space_weather",
+    ", s AS (SELECT seq, wind_speed AS v, seq % 6 AS k, seq % 4 < 2 AS enough FROM measurements) SELECT arg_max(v / 5, seq) FILTER (WHERE k = 0) AS kp, arg_max(v, seq) FILTER (WHERE k = 1) AS wind_speed, arg_max(v, seq) FILTER (WHERE k = 3 AND enough) AS proton_flux, arg_max(v, seq) FILTER (WHERE k = 4 AND enough) AS electron_flux FROM s",
+)
+def _s11(df: DataFrame) -> DataFrame:
+    k = F.col("seq") % 6
+    name = F.get(F.array(*[F.lit(x) for x in ("kp", "wind_speed", "wind_density", "proton", "electron", "xray")]), k.cast("int"))
+    energy = F.when(F.col("seq") % 4 < 2, F.when(k == 3, ">=10 MeV").otherwise(">=2 MeV")).otherwise(">=1 MeV")
+    value = F.when(k == 0, F.col("wind_speed") / 5).when(k == 5, F.pow(F.lit(10.0), -8 + F.col("wind_speed") / 10)).otherwise(F.col("wind_speed"))
+    series = df.select(name.alias("series"), energy.alias("energy"), F.timestamp_seconds("seq").alias("ts"), value.alias("value"))
+    return feeds.space_snapshot(series).select("kp", "wind_speed", "proton_flux", "electron_flux")

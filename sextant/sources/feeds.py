@@ -23,6 +23,8 @@ METAR = "icaoId string, lat double, lon double, temp double, wspd double, wdir d
 OSM = "elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
 RADAR = "radar struct<past:array<struct<time:long,path:string>>,nowcast:array<struct<time:long,path:string>>>, satellite struct<infrared:array<struct<time:long,path:string>>>"
 SCENES = "features array<struct<id:string,bbox:array<double>,properties:struct<datetime:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string>>>>"
+STORMS = "activeStorms array<struct<id:string,name:string,binNumber:string,classification:string,intensity:string,pressure:string,latitudeNumeric:string,latitude_numeric:string,lat:string,longitudeNumeric:string,longitude_numeric:string,lon:string,movementDir:string,movementSpeed:string,lastUpdate:string>>"
+WARNINGS = "features array<struct<properties:struct<id:string,event:string,severity:string,sent:string>,geometry:struct<type:string,coordinates:string>>>"
 #: Fixed value: hectopascals of an inch of mercury.
 INCH_OF_MERCURY = 33.8639
 MOORED = "(?i)moored|anchor"
@@ -222,3 +224,58 @@ def scene_rows(raw: DataFrame) -> DataFrame:
     f = raw.select(F.explode("features").alias("f"))
     box = [F.get("f.bbox", F.lit(k)).alias(n) for k, n in enumerate(("west", "south", "east", "north"))]
     return f.select(F.col("f.id").alias("id"), *box, to_time(F.col("f.properties.datetime")).alias("ts"), F.col("f.properties.`eo:cloud_cover`").alias("cloud"), F.transform_values("f.assets", lambda k, v: v["href"]).alias("hrefs"))
+
+
+def storm_rows(raw: DataFrame) -> DataFrame:
+    """Active cyclones: id, name, basin, kind, class, lat, lon, wind_kt, pressure_hpa, movement_deg, movement_kt, ts. Positions come under
+    any of three names, numbers as numbers or text; a storm without a position is left out."""
+    s = raw.select(F.explode("activeStorms").alias("s")).select("s.*")
+    number = lambda c: F.col(c).try_cast("double")
+    basin = F.when(F.col("binNumber").startswith("EP"), "East Pacific").when(F.col("binNumber").startswith("AT"), "Atlantic").otherwise("")
+    rows = s.select(
+        F.concat(F.lit("nhc_"), "id").alias("id"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")).alias("name"), basin.alias("basin"), F.lit("tropical_cyclone").alias("kind"), F.coalesce("classification", F.lit("")).alias("class"),
+        F.coalesce(*[number(c) for c in ("latitudeNumeric", "latitude_numeric", "lat")]).alias("lat"), F.coalesce(*[number(c) for c in ("longitudeNumeric", "longitude_numeric", "lon")]).alias("lon"),
+        number("intensity").alias("wind_kt"), number("pressure").alias("pressure_hpa"), number("movementDir").alias("movement_deg"), number("movementSpeed").alias("movement_kt"), to_time(F.col("lastUpdate")).alias("ts"),
+    )
+    return rows.where("lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def warning_rows(raw: DataFrame) -> DataFrame:
+    """Weather warnings with the columns of ``storm_rows``: a point's position or the mean vertex of a polygon's outer ring (its closing
+    point counts again); those without a geometry are left out."""
+    f = raw.select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry.*")
+    ring = F.get(F.from_json("coordinates", "array<array<array<double>>>"), F.lit(0))
+    point = F.from_json("coordinates", "array<double>")
+
+    def middle(k: int) -> Column:
+        total = F.aggregate(ring, F.lit(0.0), lambda sum_, c: sum_ + F.get(c, F.lit(k)))
+        return F.when(F.col("type") == "Polygon", F.try_divide(total, F.size(ring))).when(F.col("type") == "Point", F.get(point, F.lit(k)))
+
+    event = F.coalesce(F.nullif("event", F.lit("")), F.lit("Severe Weather"))
+    kind = F.when(event.contains("Tornado"), "tornado").when(event.contains("Tropical") | event.contains("Hurricane"), "tropical_cyclone").otherwise("thunderstorm")
+    none = [F.lit(None).cast("double").alias(c) for c in ("wind_kt", "pressure_hpa", "movement_deg", "movement_kt")]
+    rows = f.select(F.concat(F.lit("nws_"), "id").alias("id"), event.alias("name"), F.lit("").alias("basin"), kind.alias("kind"), F.coalesce("severity", F.lit("Minor")).alias("class"), middle(1).alias("lat"), middle(0).alias("lon"), *none, to_time(F.col("sent")).alias("ts"))
+    return rows.where("lat IS NOT NULL AND lon IS NOT NULL")
+
+
+def space_snapshot(series: DataFrame) -> DataFrame:
+    """One row of the latest value of each series: kp, wind_speed, wind_density, proton_flux, electron_flux, flare, aurora, as_of.
+
+    series: series (kp, wind_speed, wind_density, proton, electron, xray), energy, ts, value. Protons count from 10 MeV,
+    electrons from 2 MeV. A series that is missing gives null; of equal times the greatest value counts.
+    """
+    from sextant.functions.physics import flare_class
+
+    known = series.where("value IS NOT NULL AND ts IS NOT NULL")
+
+    def last(name: str, *energies: str) -> Column:
+        mine = F.col("series") == name
+        mine = mine & F.col("energy").isin(*energies) if energies else mine
+        return F.max(F.when(mine, F.struct("ts", "value")))["value"]
+
+    out = known.agg(
+        last("kp").alias("kp"), last("wind_speed").alias("wind_speed"), last("wind_density").alias("wind_density"), last("proton", ">=10 MeV", "10").alias("proton_flux"), last("electron", ">=2 MeV", "2").alias("electron_flux"),
+        last("xray").alias("_flux"), F.max("ts").alias("as_of"),
+    )
+    aurora = F.when(F.col("kp") >= 7, "high").when(F.col("kp") >= 5, "moderate").when(F.col("kp") >= 3, "low").when(F.col("kp").isNotNull(), "minimal")
+    return out.withColumns({"flare": F.when(F.col("_flux").isNotNull(), flare_class(F.col("_flux"))), "aurora": aurora}).drop("_flux")

@@ -132,3 +132,31 @@ def publish_changes(before: DataFrame, out: str, id_column: str = "id"):
         diff_snapshots(former, now, id_column).write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
 
     return write
+
+
+def publish_alerts(whitelist: DataFrame, out: str, least: str, key: str = "id"):
+    """A function for ``foreachBatch``: alerts of at least a severity whose key isn't in ``whitelist``, as Parquet under ``out``, an epoch
+    a folder. The list is read again each epoch; an epoch that runs again overwrites its own folder."""
+    from sextant.operators.selection import suppress
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        suppress(batch, whitelist, least, key).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return write
+
+
+def publish_influences(assets: DataFrame, out: str, km: float, id_column: str = "id"):
+    """A function for ``foreachBatch``: the pairs of the latest row of each event (columns id, lat, lon, ts) and the assets within ``km``,
+    as Parquet under ``out``, an epoch a folder; with ``trigger(processingTime="60 seconds")`` a pass a minute.
+
+    The assets are joined on cells, not broadcast, so either side may be large. Pairs: the event's columns, the asset's with
+    the prefix r_, distance_km.
+    """
+    from sextant.operators.spatial import radius_join
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rest = [c for c in batch.columns if c != id_column]
+        latest = batch.groupBy(id_column).agg(F.max_by(F.struct(*rest), F.struct("ts", "lat", "lon")).alias("_r")).select(id_column, "_r.*")
+        radius_join(latest, assets, km).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return write

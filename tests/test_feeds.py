@@ -55,3 +55,12 @@ def test_placemarks_and_elements(spark, tmp_path):
     tle = "SAT A\n1 25544U 98067A\n2 25544 51.6\nBAD\n3 x\n2 y\n"
     rows = feeds.read_orbit_elements(spark, _file(tmp_path, "s.txt", tle)).collect()
     assert [(r.name, r.satnum) for r in rows] == [("SAT A", "25544")]
+
+
+def test_space_snapshot(spark):
+    rows = [("kp", "", 1, 2.0), ("kp", "", 2, 6.0), ("kp", "", 3, None), ("proton", ">=1 MeV", 9, 50.0), ("proton", "10", 4, 3.0), ("xray", "", 1, 2.5e-5)]
+    series = spark.createDataFrame(rows, "series string, energy string, ts int, value double")
+    got = feeds.space_snapshot(series).first()
+    assert (got.kp, got.aurora, got.proton_flux, got.electron_flux, got.flare, got.as_of) == (6.0, "moderate", 3.0, None, "M2.5", 9)
+    none = feeds.space_snapshot(series.limit(0)).first()
+    assert none.kp is None and none.aurora is None and none.flare is None

@@ -65,3 +65,32 @@ def test_changes_are_against_the_batch_before(spark, tmp_path):
     publish(ids("b", "c"), 1)  # an epoch that runs again
     got = sorted((r.epoch, r.id, r.change) for r in spark.read.parquet(f"{out}/changes").collect())
     assert got == [(0, "b", "added"), (1, "a", "removed"), (1, "c", "added")]
+
+
+def test_alerts_are_published_once_an_epoch(spark, tmp_path):
+    alerts = spark.createDataFrame([("a", "critical"), ("b", "low"), ("c", "high"), (None, "high")], "id string, severity string")
+    publish = rules.publish_alerts(spark.createDataFrame([("c",)], "id string"), str(tmp_path / "alerts"), "moderate")
+    publish(alerts, 0)
+    publish(alerts.limit(0), 1)
+    publish(alerts, 0)  # an epoch that runs again
+    assert sorted((r.epoch, r.id or "") for r in spark.read.parquet(str(tmp_path / "alerts")).collect()) == [(0, ""), (0, "a")]
+
+
+def test_influences_of_the_latest_events(spark, tmp_path):
+    events = spark.createDataFrame([("e", 0.0, 0.0, 1), ("e", 10.0, 10.0, 2), ("f", None, 0.0, 1)], "id string, lat double, lon double, ts int")
+    assets = spark.createDataFrame([("near", 10.1, 10.0), ("old", 0.0, 0.1)], "id string, lat double, lon double")
+    rules.publish_influences(assets, str(tmp_path / "met"), 50.0)(events, 7)
+    assert [(r.epoch, r.id, r.r_id) for r in spark.read.parquet(str(tmp_path / "met")).collect()] == [(7, "e", "near")]
+
+
+def test_follow_up(spark):
+    asked = selection.FollowUp(limit=3)
+    assert asked.ask(spark.range(10)).count() == 3
+    first = {r.id for r in asked.rows.collect()}
+    assert {r.id for r in asked.then(lambda d: d.where("id >= 0")).collect()} == first
+    assert asked.then(lambda d: d.limit(0)).count() == 0
+    try:
+        selection.FollowUp().then(lambda d: d)
+    except ValueError:
+        return
+    raise AssertionError("a follow-up without a question")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,6 +53,33 @@ def outage_patterns(sessions: DataFrame, key: str) -> DataFrame:
     return sessions.groupBy(key).agg(F.count("*").alias("outages"), F.avg("n").alias("mean_n"), F.max("n").alias("longest")).join(mode, key)
 
 
+def outage_kinds(outages: DataFrame) -> DataFrame:
+    """One row over resolved outages (type, severity, start, duration_s): how many, mean length, the commonest type and
+    severity (the least of equals), and how many began in each hour of the day, as 24 counts."""
+    by = lambda c: outages.groupBy(c).agg(F.count("*").alias("n")).agg(F.min_by(c, F.struct(-F.col("n"), c)).alias(c))
+    hours = F.array(*[F.count_if(F.hour("start") == h) for h in range(24)])
+    total = outages.agg(F.count("*").alias("outages"), F.avg("duration_s").alias("mean_s"), hours.alias("hours"))
+    return total.crossJoin(F.broadcast(by("type"))).crossJoin(F.broadcast(by("severity")))
+
+
+def station_activity(stations: DataFrame, active: Column) -> DataFrame:
+    """Stations, active and other ones, over all and by type and by source."""
+    on = F.coalesce(active, F.lit(False))
+    return stations.withColumn("_on", on).groupingSets([[], ["type"], ["source"]], "type", "source").agg(F.count("*").alias("n"), F.count_if("_on").alias("active"), F.count_if(~F.col("_on")).alias("invalidated"))
+
+
+def weather_cells(latest: DataFrame, strikes: DataFrame, storms: DataFrame, place: Callable[[Column], Column], size: float = 5.0) -> DataFrame:
+    """Cells of ``size`` degrees that hold a station, strike or storm: means of pressure and temperatures, largest wind and
+    wave of their stations, and how many of each. Points on a border go where ``place`` rounds them."""
+    cell = [place(F.col(c) / size).alias(name) for c, name in (("lat", "cy"), ("lon", "cx"))]
+    none = [F.lit(None).cast("double").alias(c) for c in ("pressure", "air_temp", "water_temp", "wind_speed", "wave_height")]
+    kind = lambda k: [F.lit(int(k == i)).alias(c) for i, c in enumerate(("stations", "strikes", "storms"))]
+    seen = latest.select(*cell, "pressure", "air_temp", "water_temp", "wind_speed", "wave_height", *kind(0)).unionByName(strikes.select(*cell, *none, *kind(1))).unionByName(storms.select(*cell, *none, *kind(2)))
+    return seen.groupBy("cy", "cx").agg(
+        *[F.avg(c).alias(c) for c in ("pressure", "air_temp", "water_temp")], F.max("wind_speed").alias("wind"), F.max("wave_height").alias("wave"), *[F.sum(c).alias(c) for c in ("stations", "strikes", "storms")]
+    )
+
+
 def misses(reports: DataFrame, key: str, missing: Column, order: str = "seq") -> DataFrame:
     """Share of reports that hold a value, and how many in a row are missing at the end; three or more is offline."""
     place = F.col(order)

@@ -7,8 +7,9 @@ common-prefix interval of a suffix is the larger of the two beside it, and [star
 repeated substring through it. The union of these spans is the covered text. A document goes when too few words, too
 large a covered fraction or too long a single repeat is found.
 
-Each document is scored alone: no shuffle, no state between rows, memory bounded by a slice of a few MB of text (or the
-longest single text).
+Each document is scored alone: no shuffle, no state between rows, memory bounded by a slice of 1 MB of text (or the longest
+single text). Of each round only the ranks that it changed are kept: 8 bytes for a word in repeats of
+at least 2^k words, but no more than 4 for each word of the text.
 """
 
 from __future__ import annotations
@@ -49,41 +50,44 @@ def longest_common_prefixes(ids: np.ndarray, doc: np.ndarray, end: np.ndarray, l
     order = np.lexsort((ids, doc))
     fresh = np.ones(n, bool)
     fresh[1:] = (ids[order][1:] != ids[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(fresh)  # from 1; 0 stands for the end of a text
-    levels, step = [rank], 1
+    # the rank of a class is the place of its first member, from 1, so its refinements fit in; 0 stands for the end of a text
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0)) + 1
+    words, former, step = rank.copy(), [], 1
     active = candidates = _shared(order, fresh)
     while len(active):
         after = active + step
         inside = after < end[active]
-        second = np.zeros(len(active), np.int64)
+        second = np.zeros(len(active), np.int32)
         second[inside] = rank[after[inside]]
         order = np.lexsort((second, rank[active]))
-        first, second, sorted_active = rank[active][order], second[order], active[order]
+        second, active = second[order], active[order]
+        first = rank[active]
         opens = np.ones(len(active), bool)
         opens[1:] = first[1:] != first[:-1]
         fresh = opens.copy()
         fresh[1:] |= second[1:] != second[:-1]
-        # ranks stay spread out: a class keeps its first member's place, its refinements take the places after it
-        place = np.arange(len(active))
+        place = np.arange(len(active), dtype=np.int32)
         group_at = np.maximum.accumulate(np.where(opens, place, 0))
         class_at = np.maximum.accumulate(np.where(fresh, place, 0))
-        rank = rank * (1 if step > 1 else n + 1)
-        rank[sorted_active] += class_at - group_at
-        levels.append(rank)
+        former.append((active.astype(np.int32), first) if 2 * len(active) < n else (slice(None), rank.copy()))
+        rank[active] += class_at - group_at
         step *= 2
-        active = _shared(sorted_active, fresh)
+        active = _shared(active, fresh)
         candidates = active if step <= least else candidates
     # suffix array of the suffixes that can begin a repeat of `least` words
     order = candidates[np.argsort(rank[candidates])]
     left, right = order[:-1], order[1:]
-    same = levels[0][left] == levels[0][right]
+    same = words[left] == words[right]
     left, right = left[same], right[same]
     i, j, common = left.copy(), right.copy(), np.zeros(len(left), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        ok = (i < end[left]) & (j < end[right])
-        at = np.flatnonzero(ok)
-        at = at[levels[k][i[at]] == levels[k][j[at]]]
+    while former:
+        # ranks of half as many words come back by undoing the last refinement
+        at, ranks = former.pop()
+        rank[at] = ranks
+        k = len(former)
+        at = np.flatnonzero((i < end[left]) & (j < end[right]))
+        at = at[rank[i[at]] == rank[j[at]]]
         common[at] += 1 << k
         i[at] += 1 << k
         j[at] += 1 << k

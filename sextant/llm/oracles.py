@@ -54,3 +54,30 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 reach(d, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.d, l.y FROM reach JOIN l ON l.x = reach.r)
 SELECT d AS doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(r) AS component_id, d = min(r) AS kept FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
 """
+
+#: CRC-32 is folded over the bytes of the decimal doc_id, -1 standing for a shift by one bit; the levels of all languages'
+#: trees come from one recursion, those of the top tree from another.
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang,
+  list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: list_concat([CAST(ascii(x) AS BIGINT)], [CAST(-1 AS BIGINT), -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS c,
+  concat(octet_length(CAST(CAST(doc_id AS VARCHAR) AS BLOB)), ':', doc_id, coalesce(concat(octet_length(CAST(source AS BLOB)), ':', source), '-'), coalesce(concat(octet_length(CAST(lang AS BLOB)), ':', lang), '-')) AS head,
+  coalesce(concat(length(CAST(n_chars AS VARCHAR)), ':', n_chars), '-') AS chars, coalesce(concat(length(CAST(n_chars + 1 AS VARCHAR)), ':', n_chars + 1), '-') AS more,
+  CASE WHEN text IS NULL THEN '-' ELSE concat(octet_length(encode(text)), ':', text) END AS tail FROM documents),
+leaf AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, sha256(concat(head, chars, tail)) AS leaf,
+  CASE WHEN xor(c, 4294967295) % 7 = 0 THEN sha256(concat(head, more, tail)) END AS changed FROM f),
+up AS (SELECT lang, 0 AS level, i, n, leaf AS d FROM leaf UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, level, i // 2, n),
+sub AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM up WHERE n = 1),
+over_all AS (SELECT 0 AS level, g AS i, (SELECT count(*) FROM sub) AS n, subroot AS d FROM sub UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM over_all WHERE n > 1 GROUP BY level, i // 2, n),
+steps AS (
+  SELECT l.doc_id, u.level AS k, s.d AS beside, (l.i >> u.level) % 2 = 1 AS is_right FROM leaf l JOIN up u ON u.lang IS NOT DISTINCT FROM l.lang AND u.i = l.i >> u.level AND u.n > 1
+    LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = u.level AND s.i = xor(u.i, 1)
+  UNION ALL SELECT l.doc_id, 1000 + o.level, s.d, (g >> o.level) % 2 = 1 FROM leaf l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang JOIN over_all o ON o.i = sub.g >> o.level AND o.n > 1
+    LEFT JOIN over_all s ON s.level = o.level AND s.i = xor(o.i, 1)),
+paths AS (SELECT doc_id, list(coalesce(CASE WHEN is_right THEN '<' ELSE '>' END || beside, '.') ORDER BY k) AS p FROM steps GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, sub.subroot, r.d AS root, sha256(regexp_replace(array_to_string(coalesce(p, []), ''), '[<>.]', '', 'g')) AS proof_sha256, v.folded AS folded_root, v.folded = r.d AS verified
+FROM leaf l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths USING (doc_id) CROSS JOIN (SELECT d FROM over_all WHERE n = 1) r,
+  LATERAL (SELECT list_reduce(list_concat([coalesce(l.changed, l.leaf)], coalesce(p, [])), lambda a, s: CASE WHEN s = '.' THEN sha256(a) WHEN s[1] = '<' THEN sha256(s[2:] || a) ELSE sha256(a || s[2:]) END) AS folded) v
+"""

@@ -111,11 +111,22 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, by language; where 7 divides the CRC-32 of a doc_id its leaf is tampered with."""
+    from sextant.llm.merkle import leaf_digest, merkle_manifest
+
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    docs = _table(spark, sf_dir, "documents").select(*columns)
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, leaf_digest(*[more if c == "n_chars" else F.col(c) for c in columns]))
+    return merkle_manifest(docs.select("doc_id", F.col("lang").alias("grp"), leaf_digest(*map(F.col, columns)).alias("leaf"), changed.alias("changed")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op12_merkle_manifest": op12_merkle_manifest, "op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}
+    return {"op12_merkle_manifest": oracles.MERKLE_MANIFEST, "op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}

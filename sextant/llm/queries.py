@@ -122,11 +122,17 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(docs.select("doc_id", F.col("lang").alias("grp"), leaf_digest(*map(F.col, columns)).alias("leaf"), changed.alias("changed")))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sextant.llm.jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op12_merkle_manifest": op12_merkle_manifest, "op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op12_merkle_manifest": op12_merkle_manifest, "op13_jaccard_join": op13_jaccard_join, "op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op12_merkle_manifest": oracles.MERKLE_MANIFEST, "op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}
+    return {"op12_merkle_manifest": oracles.MERKLE_MANIFEST, "op13_jaccard_join": oracles.JACCARD_JOIN, "op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}

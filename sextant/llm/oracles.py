@@ -84,3 +84,33 @@ FROM leaf l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths USI
 
 #: As the near duplicates, with 85 for 80 and without the verdict.
 JACCARD_JOIN = NEAR_DUPLICATES.replace(">= 80 *", ">= 85 *").replace(", d = min(r) AS kept", "")
+
+#: The cheapest and then least audit of each state, row by row; a move is some insertions and what becomes of the row.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(key, ''), lambda x: list_concat([CAST(ascii(x) AS BIGINT)], [CAST(-1 AS BIGINT), -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 20 AS k FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS c FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS whole FROM d),
+o2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM o),
+f AS (SELECT *, again AND NOT blank AS duplicate, NOT blank AND NOT again AND NOT whole AS truncated, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o2),
+due(q, next, word) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+kept(q, initial, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ins AS (SELECT q, q AS r, '' AS a, 0 AS c, '' AS s FROM due UNION ALL SELECT q, next, 'I', 3, chr(10) || word || ':' FROM due
+  UNION ALL SELECT a.q, b.next, 'II', 6, chr(10) || a.word || ':' || chr(10) || b.word || ':' FROM due a JOIN due b ON b.q = a.next),
+moves AS (SELECT i.q, CAST(NULL AS VARCHAR) AS initial, i.r AS next, i.a || 'D' AS a, i.c + 4 AS c, i.s, CAST(NULL AS VARCHAR) AS word, 'D' AS kind FROM ins i
+  UNION ALL SELECT i.q, NULL, due.next, i.a || 'R', i.c + 3, i.s, word, 'R' FROM ins i JOIN due ON due.q = i.r
+  UNION ALL SELECT i.q, kept.initial, kept.next, i.a || 'K', i.c, i.s, NULL, 'K' FROM ins i JOIN kept ON kept.q = i.r),
+dp AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {'c': CAST(0 AS BIGINT), 'a': '', 's': ''} AS best FROM d
+  UNION ALL SELECT dp.conv_id, f.i, m.next, min({'c': best.c + m.c + CASE WHEN truncated AND kind <> 'D' THEN 3 ELSE 0 END, 'a': best.a || m.a, 's': best.s || m.s || CASE WHEN kind = 'D' THEN '' ELSE chr(10) || coalesce(word, role) || ':' || text END})
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN moves m ON m.q = dp.q AND (kind = 'D' OR NOT (blank OR duplicate)) AND (kind <> 'K' OR m.initial = f.initial)
+  GROUP BY dp.conv_id, f.i, m.next),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (i > 1 AND concat(before, initial) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+z AS (SELECT dp.conv_id, min({'c': best.c + ins.c, 'a': best.a || ins.a, 's': best.s || ins.s}) AS best FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.q = dp.q AND ins.r IN (0, 3) GROUP BY dp.conv_id)
+SELECT u.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.s[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) u LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM u.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM u.conv_id
+"""

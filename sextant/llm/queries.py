@@ -128,11 +128,23 @@ def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged as the contract says and repaired; those that lost all rows have nothing to repair."""
+    from sextant.llm.conversations import COUNTS, Repair, damaged
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = Repair(damaged(rows)).digests().withColumnRenamed("conv_id", "_id")
+    all_ids = rows.select("conv_id").distinct()
+    out = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op12_merkle_manifest": op12_merkle_manifest, "op13_jaccard_join": op13_jaccard_join, "op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
+    return {"op11_conversation_repair": op11_conversation_repair, "op12_merkle_manifest": op12_merkle_manifest, "op13_jaccard_join": op13_jaccard_join, "op4_separator_scan": op4_separator_scan, "op6_feistel_pseudonyms": op6_feistel_pseudonyms, "op8_url_filter": op8_url_filter, "op9_secret_scan": op9_secret_scan, "op1_hilbert_neighbours": op1_hilbert_neighbours, "op7_bpe_round_trip": op7_bpe_round_trip, "op2_mix_sources": op2_mix_sources, "op10_line_dedup": op10_line_dedup, "op3_quality_rules": op3_quality_rules, "op5_minhash_near_dedup": op5_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
     from sextant.llm import oracles
 
-    return {"op12_merkle_manifest": oracles.MERKLE_MANIFEST, "op13_jaccard_join": oracles.JACCARD_JOIN, "op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}
+    return {"op11_conversation_repair": oracles.CONVERSATION_REPAIR, "op12_merkle_manifest": oracles.MERKLE_MANIFEST, "op13_jaccard_join": oracles.JACCARD_JOIN, "op3_quality_rules": oracles.QUALITY_RULES, "op10_line_dedup": oracles.LINE_DEDUP, "op8_url_filter": oracles.URL_FILTER, "op5_minhash_near_dedup": oracles.NEAR_DUPLICATES}

@@ -78,9 +78,9 @@ def follow(path: list[str], node: str) -> list[str]:
     return out
 
 
-def _height(n: int) -> int:
+def _height(n: int, bits: int) -> int:
     """Levels in a block of a group of ``n`` nodes: all of a block's, or as many as leave a single node."""
-    return min(BITS, (n - 1).bit_length())
+    return min(bits, (n - 1).bit_length())
 
 
 def _numbered(nodes: DataFrame, *order: str) -> DataFrame:
@@ -99,7 +99,7 @@ def _tops(nodes: DataFrame) -> DataFrame:
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("at")
         n = int(block["n"].iloc[0])
-        top = grow(block["digest"].tolist(), _height(n))[-1][0]
+        top = grow(block["digest"].tolist(), _height(n, BITS))[-1][0]
         return pd.DataFrame({"grp": block["grp"].iloc[:1], "at": [int(block["at"].iloc[0]) >> BITS], "n": [-(-n >> BITS)], "digest": [top]})
 
     return nodes.groupBy("grp", F.shiftright("at", BITS)).applyInPandas(run, "grp string, at long, n long, digest string")
@@ -110,7 +110,7 @@ def _paths(nodes: DataFrame) -> DataFrame:
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("at")
-        levels = grow(block["digest"].tolist(), _height(int(block["n"].iloc[0])))
+        levels = grow(block["digest"].tolist(), _height(int(block["n"].iloc[0]), BITS))
         return block[["grp", "at"]].assign(path=[path_in(levels, k) for k in range(len(block))])
 
     return nodes.groupBy("grp", F.shiftright("at", BITS)).applyInPandas(run, "grp string, at long, path array<string>")
@@ -170,7 +170,7 @@ def merkle_manifest(leaves: DataFrame, copies: bool = False) -> DataFrame:
 
     def prove(block: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("at")
-        levels = grow(block["leaf"].tolist(), _height(int(block["n"].iloc[0])))
+        levels = grow(block["leaf"].tolist(), _height(int(block["n"].iloc[0]), BITS))
         path, root = list(up["path"].iloc[0]), up["root"].iloc[0]
         paths = [path_in(levels, k) + path for k in range(len(block))]
         proofs = [join_digests(*(step[1:] for step in steps)) for steps in paths]

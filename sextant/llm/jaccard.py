@@ -44,6 +44,9 @@ COUNTERS = 1 << 20
 #: Counters that travel in a row.
 CHUNK = 1 << 14
 BITMAP = 2048
+#: Nodes whose sets are picked out of the texts by a table of bits (16 a node, so 32 MB are broadcast at most); where more are
+#: wanted, the texts are joined with them.
+PICKED = 1 << 24
 #: Sizes up to which the boundary is looked for; a set of 32 has up to some ten thousand subsets.
 LIMIT = 32
 _SECOND = _U64(0xA0761D6478BD642F)
@@ -137,9 +140,44 @@ def _listed(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> Da
     return docs.mapInArrow(run, "node long, size long, prefix array<long>, bitmap array<long>, small array<long>")
 
 
-def _items(docs: DataFrame, width: int) -> DataFrame:
+def _bit(nodes: np.ndarray, size: int) -> np.ndarray:
+    return (textscan.mix(nodes.view(_U64)) & _U64(size - 1)).astype(np.int64)
+
+
+def _bits(nodes: DataFrame, size: int) -> np.ndarray:
+    """A table of ``size`` bits with those of ``nodes`` set; packed, chunk by chunk."""
+    chunk = min(size, 1 << 17)
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(chunk, np.uint8)
+        out[rows["bit"].to_numpy() % chunk] = 1
+        return pd.DataFrame({"chunk": [int(rows["bit"].iloc[0]) // chunk], "bits": [np.packbits(out).tobytes()]})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(), size))], names=["bit"])
+
+    placed = nodes.mapInArrow(place, "bit long").distinct()
+    out = np.zeros(size // 8, np.uint8)
+    for r in placed.groupBy((F.col("bit") / chunk).cast("long").alias("c")).applyInPandas(mark, "chunk long, bits binary").toLocalIterator():
+        out[r.chunk * chunk // 8 : (r.chunk + 1) * chunk // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _items(docs: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
+    """node and items of the sets of ``nodes``, and of a few more documents that share a bit with one of them."""
+    n = nodes.count()
+    if n > PICKED:
+        docs, known = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), None
+    else:
+        size = max(1 << 16, 1 << (16 * n - 1).bit_length())
+        known = docs.sparkSession.sparkContext.broadcast(_bits(nodes, size))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            if known is not None:
+                at = _bit(whole.column("doc_id").to_numpy(), size)
+                whole = whole.filter(pa.array((known.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             for batch in textscan.batches_by_bytes(whole, "text", rows=SLICE_ROWS):
                 sets = shingles.shingle_sets(batch.column("text"), width)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))], names=["node", "items"])
@@ -233,12 +271,17 @@ class _Join:
         met = rows.join(classes, F.when(able, F.col("digest")) == F.col("name"), "left")
         self.copies = cut(met.select("doc_id", "n_shingles", "digest", "rep"), "copies")
         # a doc_id of several texts is one node with several sets; equal rows of one doc_id are taken once
-        reps = self.copies.where("doc_id = rep").select("doc_id").distinct()
         self.repeats = not self.copies.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
-        self.listed = cut(self.once(_listed(self.base.join(reps, "doc_id", "left_semi"), width, percent, _counters(signed))), "listed")
-        placed = self.listed.select("node", "size", F.posexplode("prefix").alias("pos", "element"))
-        lists = placed.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("element", "n")
-        members = cut(placed.join(lists, "element"), "members")
+        self.base = self.base.where("doc_id IS NOT NULL")
+        self.listed = cut(self.once(_listed(self.base, width, percent, _counters(signed))), "listed")
+        placed = self.listed.select("node", F.posexplode("prefix").alias("pos", "element"))
+        lists = placed.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element")
+        reps = self.copies.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
+        self.listed = self.listed.join(reps, "node", "left_semi")
+        # of copies only the representative stays, and of lists those that still hold two sets
+        of_reps = cut(placed.join(lists, "element").join(reps, "node", "left_semi"), "of-reps")
+        lists = of_reps.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("element", "n")
+        members = cut(of_reps.join(lists, "element").join(self.listed.select("node", "size"), "node"), "members")
         sets = dict(map(tuple, self.listed.where(F.col("size") <= LIMIT).groupBy("size").agg(F.count("*")).collect()))
         scanned = dict(map(tuple, members.where(F.col("size") <= LIMIT).groupBy("size").agg(F.sum("n")).collect()))
         self.light = boundary(sets, scanned, percent)
@@ -251,8 +294,8 @@ class _Join:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` whose full sets are similar."""
         pairs = cut(pairs, "pairs")
-        nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        sets = cut(self.once(_items(self.base.join(nodes, "doc_id", "left_semi"), self.width)), "items")
+        nodes = cut(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "wanted")
+        sets = cut(self.once(_items(self.base, self.width, nodes)), "items")
         return _confirmed(pairs, sets, self.percent).distinct()
 
     def held(self, members: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def _texts(rng):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 70), (3, 85)])
+@pytest.mark.parametrize(("seed", "percent"), [(1, 85), (2, 70)])
 def test_equals_brute_force(spark, seed, percent):
     texts = _texts(random.Random(seed))
     links, roots = _brute(texts, percent)
@@ -57,9 +57,10 @@ def test_equals_brute_force(spark, seed, percent):
     assert [rows[k].n_shingles for k in range(len(texts))] == [len(_set(t)) for t in texts]
 
 
-@pytest.mark.parametrize("light", [0, 9, 20])
+@pytest.mark.parametrize("light", [0, 16])
 def test_any_boundary_gives_the_same_links(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard, "boundary", lambda *_: light)
+    monkeypatch.setattr(jaccard, "PICKED", 10 * light)
     texts = _texts(random.Random(5))
     links, roots = _brute(texts)
     first = {}

@@ -43,7 +43,9 @@ _U64 = np.uint64
 COUNTERS = 1 << 20
 #: Counters that travel in a row.
 CHUNK = 1 << 14
-BITMAP = 2048
+#: Elements for each 64 bits of a set's bitmap, which has 1, 2, 4 ... words, MOST_WORDS at most. Unrelated sets differ in half
+#: of the bits, similar ones in a third at most.
+A_WORD, MOST_WORDS = 128, 64
 #: Nodes whose sets are picked out of the texts by a table of bits (16 a node, so 32 MB are broadcast at most); where more are
 #: wanted, the texts are joined with them.
 PICKED = 1 << 24
@@ -130,12 +132,13 @@ def _listed(docs: DataFrame, width: int, percent: int, counts: np.ndarray) -> Da
                 length = np.where(size > 0, size + 1 - -(-percent * size // 100), 0)
                 first = np.cumsum(size) - size
                 prefix = flat[order][np.arange(len(flat)) - first[at] < length[at]]
-                bit = (textscan.mix(flat ^ _SECOND) >> _U64(64 - BITMAP.bit_length() + 1)).astype(np.int64)
-                odd = np.bincount(at * BITMAP + bit, minlength=len(sets) * BITMAP).astype(np.uint8) & 1
-                words = np.packbits(odd.reshape(len(sets), BITMAP), axis=1).view(_U64).reshape(-1)
+                words = np.minimum(1 << np.ceil(np.log2(np.maximum(size, 1) / A_WORD)).clip(0).astype(np.int64), MOST_WORDS)
+                bit = (textscan.mix(flat ^ _SECOND) & (64 * words[at] - 1).astype(_U64)).astype(np.int64)
+                opens = (np.cumsum(words) - words) * 64
+                odd = np.bincount(opens[at] + bit, minlength=int(words.sum()) * 64).astype(np.uint8) & 1
                 few = np.where(size <= LIMIT, size, 0)
                 small = np.concatenate([s[:n] for s, n in zip(sets, few.tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), _lists(prefix, length), _lists(words, np.full(len(sets), BITMAP // 64)), _lists(small, few)], names=["node", "size", "prefix", "bitmap", "small"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), _lists(prefix, length), _lists(np.packbits(odd).view(_U64), words), _lists(small, few)], names=["node", "size", "prefix", "bitmap", "small"])
 
     return docs.mapInArrow(run, "node long, size long, prefix array<long>, bitmap array<long>, small array<long>")
 
@@ -236,12 +239,21 @@ def _light_pairs(small: DataFrame, percent: int) -> DataFrame:
     return meet.select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).where("u < v").distinct()
 
 
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ; the longer one is folded to the shorter one's words, which keeps parities."""
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    words = lambda c: F.shiftright(F.size(c), 1)
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), words(c)), F.slice(c, words(c) + 1, words(c)), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(a) == F.size(b), differ(F.col(a), F.col(b))).when(F.size(a) > F.size(b), differ(half(F.col(a)), F.col(b))).otherwise(differ(F.col(a), half(F.col(b))))
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """Whether two sets can be similar, by their sizes and bitmaps: they differ in as many elements as bitmaps do in bits."""
     s, t = F.col(f"{a}size"), F.col(f"{b}size")
-    apart = sum((F.bit_count(F.get(f"{a}bitmap", F.lit(k)).bitwiseXOR(F.get(f"{b}bitmap", F.lit(k)))) for k in range(1, BITMAP // 64)), F.bit_count(F.get(f"{a}bitmap", F.lit(0)).bitwiseXOR(F.get(f"{b}bitmap", F.lit(0)))))
     fit = 100 * F.least(s, t) >= percent * F.greatest(s, t)
-    # with d elements in which they differ, they share (s + t - d) / 2
+    ratio = F.size(f"{a}bitmap") / F.size(f"{b}bitmap")
+    # with d elements in which they differ, they share (s + t - d) / 2; bitmaps more than one fold apart aren't compared
+    apart = F.when(ratio.between(0.5, 2.0), _apart(f"{a}bitmap", f"{b}bitmap")).otherwise(0)
     return F.when(fit, (100 + percent) * (s + t - apart) >= 2 * percent * (s + t)).otherwise(False)
 
 
@@ -277,16 +289,16 @@ class _Join:
         placed = self.listed.select("node", F.posexplode("prefix").alias("pos", "element"))
         lists = placed.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element")
         reps = self.copies.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
-        self.listed = self.listed.join(reps, "node", "left_semi")
         # of copies only the representative stays, and of lists those that still hold two sets
         of_reps = cut(placed.join(lists, "element").join(reps, "node", "left_semi"), "of-reps")
         lists = of_reps.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("element", "n")
         members = cut(of_reps.join(lists, "element").join(self.listed.select("node", "size"), "node"), "members")
-        sets = dict(map(tuple, self.listed.where(F.col("size") <= LIMIT).groupBy("size").agg(F.count("*")).collect()))
+        self.small = cut(self.listed.where(F.col("size").between(1, LIMIT)).select("node", "size", "small").join(reps, "node", "left_semi"), "small")
+        sets = dict(map(tuple, self.small.groupBy("size").agg(F.count("*")).collect()))
         scanned = dict(map(tuple, members.where(F.col("size") <= LIMIT).groupBy("size").agg(F.sum("n")).collect()))
         self.light = boundary(sets, scanned, percent)
         self.members = members.where(F.col("size") >= partners(self.light + 1, percent).start)
-        self.light_edges = cut(_light_edges(self.listed.where(F.col("size").between(1, self.light)).select("node", "small"), percent), "light")
+        self.light_edges = cut(_light_edges(self.small.where(F.col("size") <= self.light).select("node", "small"), percent), "light")
 
     def once(self, sets: DataFrame) -> DataFrame:
         return sets.distinct() if self.repeats else sets
@@ -307,7 +319,7 @@ def jaccard_links(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: st
     its result. Membership of classes is ``jaccard_components``' matter; nulls and ties are as there."""
     join = _Join(docs, width, percent, doc_id, text)
     heavy = join.held(join.members.select("element", "node", "size", "pos")).withColumn("label", F.lit(0))
-    small = join.listed.where(F.col("size").between(1, join.light)).select("node", "small")
+    small = join.small.where(F.col("size") <= join.light).select("node", "small")
     return join.confirmed(_scan(heavy, percent, False)).union(_light_pairs(small, percent)).distinct()
 
 

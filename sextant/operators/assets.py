@@ -46,9 +46,9 @@ def asset_limits(readings: DataFrame, limits: Mapping[str, tuple[float, float]]
     return long.where("value < low OR value > high").select("asset_id", "seq", "field", "value")
 
 
-def asset_alerts(assets: DataFrame, readings: DataFrame, health: DataFrame, limit: int = 50, full: float = 0.95, warm: float = 70.0, hot: float = 85.0) -> DataFrame:
-    """(asset_id, kind, severity): overloaded (load above ``full`` of capacity_mw), hot, warm and silent assets, the worst
-    first, at most ``limit``."""
+def asset_alerts(assets: DataFrame, readings: DataFrame, health: DataFrame, limit: int | None = None, full: float = 0.95, warm: float = 70.0, hot: float = 85.0) -> DataFrame:
+    """(asset_id, kind, severity): overloaded (load above ``full`` of capacity_mw), hot, warm and silent assets;
+    with ``limit`` as many of the worst."""
     last = readings.groupBy("asset_id").agg(F.max_by(F.struct("load", "temperature"), "seq").alias("m"))
     met = assets.select(F.col("id").alias("asset_id"), "capacity_mw").join(last, "asset_id", "left").join(health.select("asset_id", "status"), "asset_id", "left")
     kinds = F.array(
@@ -57,7 +57,7 @@ def asset_alerts(assets: DataFrame, readings: DataFrame, health: DataFrame, limi
         F.when(F.col("status").isin("failed", "missing"), F.struct(F.lit("silent").alias("kind"), F.lit("warning").alias("severity"))),
     )
     out = met.select("asset_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("a")).select("asset_id", "a.kind", "a.severity")
-    return out.orderBy("severity", "kind", "asset_id").limit(limit)
+    return out if limit is None else out.orderBy("severity", "kind", "asset_id").limit(limit)
 
 
 def health_summary(health: DataFrame) -> DataFrame:

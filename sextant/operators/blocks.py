@@ -56,10 +56,10 @@ def blockwise(cells: DataFrame, halo: int, kernel: Kernel, result: str, values:
             arrays[c] = a
         inner = there[halo : halo + block, halo : halo + block]
         if not inner.any():
-            return pd.DataFrame({c: [] for c in [*key, "x", "y", *names]})
+            return pd.DataFrame()
         made = kernel(arrays, there)
         rows, columns = np.nonzero(inner & made[keep].astype(bool) if keep else inner)
-        out = {k: pdf[k].iloc[0] for k in key} | {"x": columns + left, "y": rows + top}
+        out = {k: [pdf[k].iloc[0]] * len(rows) for k in key} | {"x": columns + left, "y": rows + top}
         return pd.DataFrame(out | {c: made[c][rows, columns] for c in names})
 
     schema = ", ".join([f"{k} {dict(cells.dtypes)[k]}" for k in (*key, "x", "y")] + [result])

@@ -22,6 +22,10 @@ from sextant.storage import cut, discard
 Arrays = Mapping[str, np.ndarray]
 #: The order of side branches, E W S N SE NE SW NW.
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
+#: What each factor of a resting place weighs, from which value it counts as strong and is named, and its name;
+#: every place has REST_BASE besides.
+REST_FACTORS = {"flat": (0.3, 0.5, 0.5), "water": (0.18, 0.5, 0.4), "sheltered": (0.12, 0.55, 0.55), "interval": (0.18, 0.6, 0.6)}
+REST_BASE, REST_LEAST = 0.22, 0.25
 _INFINITE = float("inf")
 
 
@@ -148,7 +152,7 @@ def _near(rows: DataFrame, others: DataFrame, cells: float, by: Sequence[str]) -
     return met.where((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2 < cells * cells).drop("_sx", "_sy")
 
 
-def deposition_zones(cells: DataFrame, paths: DataFrame, size: float = 30.0, limit: int | None = 15) -> DataFrame:
+def deposition_zones(cells: DataFrame, paths: DataFrame, size: float = 30.0, limit: int | None = None) -> DataFrame:
     """start_id, branch, step, x, y, kind, priority: where what slides down the paths comes to rest.
 
     Every n-th cell of a path is looked at (a twentieth of it, at least 3): basin (no lower neighbour), fan (below 5 degrees
@@ -179,7 +183,7 @@ def deposition_zones(cells: DataFrame, paths: DataFrame, size: float = 30.0, lim
     return kept.drop("id")
 
 
-def choke_points(cells: DataFrame, paths: DataFrame, rise: float = 5.0, limit: int | None = 10) -> DataFrame:
+def choke_points(cells: DataFrame, paths: DataFrame, rise: float = 5.0, limit: int | None = None) -> DataFrame:
     """start_id, step, x, y: where the ground rises more than ``rise`` within 3 cells on both sides of a primary path.
 
     Looked at: every third step from the fifth to the fifth last, 13 steps on after a find, at least 2 cells inside the grid.
@@ -297,12 +301,13 @@ def incidents(cells: DataFrame, sources: DataFrame, targets: DataFrame, size: fl
     return out.select(*key, F.col("start_id").alias("target_id"), "seconds", "fall_x", "fall_y", "slope", "end_x", "end_y", F.coalesce("zones", F.lit(0)).alias("zones"))
 
 
-def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: float = 30.0, spacing: int = 7, hours: float = 4.0, speed_mps: float = 0.8, thin_m: float = 500.0, limit: int | None = 40) -> DataFrame:
+def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: float = 30.0, spacing: int = 7, hours: float = 4.0, speed_mps: float = 0.8, thin_m: float = 500.0, steepest_deg: float = 25.0, weights: Mapping[str, tuple[float, float, float]] = REST_FACTORS, limit: int | None = None) -> DataFrame:
     """case_id, x, y, score, slope, metres, reasons: where a walker last seen at a cell may have rested.
 
-    cases: case_id, x, y. water: x, y of cells with water. Every ``spacing``-th cell within ``hours`` of walking is scored:
-    slope of at most 25 degrees (weight 0.3), water (0.18), shelter (0.12), distance (0.18) and 0.22 for all; two strong
-    factors or more are asked for. Of points within ``thin_m`` the better stays, then the one further north and west.
+    cases: case_id, x, y. water: x, y of cells with water. Every ``spacing``-th cell within ``hours`` of walking and of at most
+    ``steepest_deg`` is scored by ``weights`` (weight, strong from, named from; REST_FACTORS) of how flat it is, how near to
+    water, how sheltered and how far from the start; two strong factors are asked for. Of points within ``thin_m`` the
+    better stays, then the one further north and west. ``limit`` keeps the best of a case.
     A case's candidates are bounded by the walking radius, not by the grid. Water further than 500 m away counts as none.
     """
     if "grid_id" in cells.columns:
@@ -318,7 +323,7 @@ def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: floa
         lee = np.nansum(around, axis=0) / np.maximum(held, 1) - own
         return {"slope": np.maximum(*tilt), "shelter": np.where(held > 0, np.clip(0.5 + lee / 10, 0, 1), 0.5), "held": ~np.isnan(own)}
 
-    ground = blockwise(cells, 1, kernel, "slope double, shelter double", keep="held").where("slope <= 25")
+    ground = blockwise(cells, 1, kernel, "slope double, shelter double", keep="held").where(F.col("slope") <= steepest_deg)
     reach = hours * 3600 * speed_mps
     last = int(reach // (size * spacing))
     ring = lambda name: F.explode(F.sequence(F.lit(-last), F.lit(last))).alias(name)
@@ -326,14 +331,19 @@ def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: floa
     at = near.select("case_id", (F.col("x") + F.col("_i") * spacing).alias("x"), (F.col("y") + F.col("_j") * spacing).alias("y"), "metres").join(ground, ["x", "y"])
     places = at.select("x", "y").distinct()
     wet = _near(places, water.select(*_whole(water)).distinct(), 501.0 / size, []).groupBy("x", "y").agg((F.min(F.sqrt((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2)) * size).alias("_wet"))
-    flat, m = 1 - F.col("slope") / 25, F.col("metres")
-    damp = F.when(F.col("_wet") < 50, 1.0).when(F.col("_wet") <= 500, 1 - F.col("_wet") / 500.0 * 0.8).otherwise(0.0)
-    far = F.when(m < 200, 0.3).when(m <= 3000, 0.9).otherwise(F.greatest(F.lit(0.2), 0.6 - (m - 3000) / 5000))
-    scored = at.join(wet, ["x", "y"], "left").withColumns({"_flat": flat, "_damp": damp, "_far": far})
-    strong = sum(F.when(c, 1).otherwise(0) for c in (F.col("_flat") > 0.5, F.col("_damp") > 0.5, F.col("shelter") > 0.55, F.col("_far") > 0.6))
-    why = F.array_compact(F.array(F.when(F.col("_flat") > 0.5, "flat"), F.when(F.col("_damp") > 0.4, "water"), F.when(F.col("shelter") > 0.55, "sheltered"), F.when(F.col("_far") > 0.6, "interval")))
-    score = F.col("_flat") * 0.3 + F.col("_damp") * 0.18 + F.col("shelter") * 0.12 + F.col("_far") * 0.18 + 0.22
-    kept = scored.where(strong >= 2).select("case_id", "x", "y", score.alias("score"), "slope", "metres", why.alias("reasons")).where("score >= 0.25")
+    m, wet_m = F.col("metres"), F.col("_wet")
+    factors = {
+        "flat": 1 - F.col("slope") / steepest_deg,
+        "water": F.coalesce(F.when(wet_m < 50, 1.0).when(wet_m <= 500, 1 - 0.8 * wet_m / 500), F.lit(0.0)),
+        "sheltered": F.col("shelter"),
+        "interval": F.when(m < 200, 0.3).when(m <= 3000, 0.9).otherwise(F.greatest(F.lit(0.2), 0.6 - (m - 3000) / 5000)),
+    }
+    weighed = [F.struct(F.lit(name).alias("name"), value.alias("value"), *[F.lit(x).alias(c) for c, x in zip(("weight", "strong", "named"), weights[name], strict=True)]) for name, value in factors.items()]
+    scored = at.join(wet, ["x", "y"], "left").withColumn("_f", F.array(*weighed))
+    strong = F.size(F.filter("_f", lambda f: f["value"] > f["strong"]))
+    score = F.aggregate("_f", F.lit(REST_BASE), lambda total, f: total + f["value"] * f["weight"])
+    why = F.transform(F.filter("_f", lambda f: f["value"] > f["named"]), lambda f: f["name"])
+    kept = scored.where(strong >= 2).select("case_id", "x", "y", score.alias("score"), "slope", "metres", why.alias("reasons")).where(F.col("score") >= REST_LEAST)
     kept = cut(kept.withColumn("id", F.concat_ws(":", F.col("case_id").cast("string"), "x", "y")), "rest")
     order = lambda p: F.struct(-F.col(f"{p}score"), F.col(f"{p}y"), F.col(f"{p}x"))
     rivals = _near(kept.select("id", "case_id", "x", "y", "score"), kept.select("id", "case_id", "x", "y", "score"), thin_m / size, ["case_id"])

@@ -151,9 +151,10 @@ def components(mask: DataFrame, diagonal: bool = False, class_column: str | None
 
 
 def zones(components_of: DataFrame, values: DataFrame, least: int = 3) -> DataFrame:
-    """Box, cells and mean value of each component of at least ``least`` cells."""
-    met = components_of.join(values.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v"), ["x", "y"])
-    out = met.groupBy("component").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("v").alias("mean"))
+    """Box, cells and mean value of each component of at least ``least`` cells, grid by grid where there are several."""
+    key = grid_key(components_of)
+    met = components_of.join(values.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v"), [*key, "x", "y"])
+    out = met.groupBy(*key, "component").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("v").alias("mean"))
     return out.where(F.col("n") >= least)
 
 
@@ -305,15 +306,16 @@ def flood_risk(streams_of: DataFrame, slopes: DataFrame, runoff_m: float, size:
     return out.where(F.col("risk") >= least).select(*key, "x", "y", "cells", "discharge", "risk", "reason")
 
 
-def class_zones(cells: DataFrame, classes: DataFrame, least: int = 3, limit: int = 100, block: int = BLOCK) -> DataFrame:
-    """The ``limit`` largest connected zones of one class (classes: x, y, class as a number; cells: x, y, v): component,
+def class_zones(cells: DataFrame, classes: DataFrame, least: int = 3, limit: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Connected zones of one class, with ``limit`` the largest (classes: x, y, class as a number; cells: x, y, v): component,
     class, cells, mean value and box; the larger first, then the component."""
     key = grid_key(classes)
     long = lambda c: F.col(c).cast("long").alias(c)
     placed = components(classes, class_column="class", block=block).join(classes.select(*key, long("x"), long("y"), "class"), [*key, "x", "y"]).join(cells.select(*key, long("x"), long("y"), "v"), [*key, "x", "y"])
     box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     out = placed.groupBy(*key, "component").agg(F.first("class").alias("class"), F.count("*").alias("n"), F.avg("v").alias("mean"), *box)
-    return out.where(F.col("n") >= least).orderBy(F.desc("n"), *key, "component").limit(limit)
+    out = out.where(F.col("n") >= least)
+    return out if limit is None else out.orderBy(F.desc("n"), *key, "component").limit(limit)
 
 
 def basins(directions: DataFrame, block: int = BLOCK) -> DataFrame:

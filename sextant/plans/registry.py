@@ -49,9 +49,9 @@ def _on(view_name: str, name: str, oracle: str | None = None) -> Callable[[Calla
 
 
 def queries() -> dict[str, Query]:
-    from sextant.plans import agreement, extra, more, rescue, wider  # they register their own
+    from sextant.plans import agreement, extra, lines, more, rescue, wider  # they register their own
 
-    return dict(_QUERIES) if agreement and more and extra and rescue and wider else {}
+    return dict(_QUERIES) if agreement and more and extra and lines and rescue and wider else {}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -561,7 +561,7 @@ def _t15(spark: SparkSession, sf_dir: str) -> DataFrame:
     "t10_class_zones",
     with_views("dem").replace("WITH", "WITH RECURSIVE", 1)
     + ", m AS (SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, floor(v / 90) AS c, v FROM dem), reach(x, y, sx, sy) AS (SELECT x, y, x, y FROM m UNION SELECT b.x, b.y, sx, sy FROM reach JOIN m AS a ON a.x = reach.x AND a.y = reach.y JOIN m AS b ON abs(b.x - reach.x) + abs(b.y - reach.y) = 1 AND a.c = b.c),"
-    " z AS (SELECT x, y, min(sy * 2147483648 + sx) AS component FROM reach GROUP BY x, y) SELECT component, any_value(c) AS class, count(*) AS n, round(avg(v), 6) AS mean, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM z JOIN m USING (x, y) GROUP BY component HAVING count(*) >= 3 ORDER BY n DESC, component LIMIT 100",
+    " z AS (SELECT x, y, min(sy * 2147483648 + sx) AS component FROM reach GROUP BY x, y) SELECT component, any_value(c) AS class, count(*) AS n, round(avg(v), 6) AS mean, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM z JOIN m USING (x, y) GROUP BY component HAVING count(*) >= 3",
 )
 def _t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "dem")

@@ -40,6 +40,12 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
 DEM = """SELECT CAST(p_partkey % 40 AS INT) AS x, CAST(floor(CAST(p_partkey AS DOUBLE)/CAST(40 AS DOUBLE)) AS INT) AS y,
  CAST((p_partkey*p_partkey + p_partkey*31) % 211 AS DOUBLE) + CAST(p_size AS DOUBLE) AS v FROM part"""
 
+# ground of hills and hollows, wider than a block of cells, and lines drawn over it
+RELIEF = """SELECT x, y, CAST(abs(x % 60 - 30) + abs(y % 44 - 22) AS DOUBLE) + CAST((x*7919 + y*104729) % 13 AS DOUBLE)/CAST(2 AS DOUBLE) AS v
+FROM (SELECT CAST(o_orderkey % 400 AS INT) AS x, CAST(floor(CAST(o_orderkey AS DOUBLE)/CAST(400 AS DOUBLE)) AS INT) AS y FROM orders) AS o"""
+
+DRAWN = """SELECT o_custkey % 50 AS line_id, o_orderkey AS seq, CAST((o_orderkey*7919) % 1590 AS DOUBLE)/CAST(4 AS DOUBLE) AS x, CAST((o_orderkey*10473) % 120 AS DOUBLE)/CAST(4 AS DOUBLE) AS y FROM orders WHERE o_orderkey % 5 = 0"""
+
 CONNECTIONS = """SELECT concat('c:', CAST(user_id AS STRING), ':', CAST(event_id % 7 AS STRING)) AS conn_id, concat('proc', CAST(user_id % 12 AS STRING)) AS process,
  concat(CASE event_id % 4 WHEN 0 THEN '10.0.' WHEN 1 THEN '192.168.' ELSE '93.184.' END, CAST(user_id % 200 AS STRING), '.', CAST(event_id % 7 AS STRING)) AS remote_ip,
  CASE WHEN event_type='error' THEN 'TimeWait' ELSE 'Established' END AS state, ts, event_id AS seq,
@@ -59,7 +65,7 @@ CASES = """SELECT c_custkey AS case_id, CAST((c_custkey*7919) % 14000 AS DOUBLE)
 ANCHORS = """SELECT o_custkey AS case_id, o_orderkey AS seq, CAST((o_custkey*7919) % 14000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(70 AS DOUBLE) + CAST(o_orderkey % 21 - 10 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat,
  CAST((o_custkey*10473) % 36000 AS DOUBLE)/CAST(100 AS DOUBLE) - CAST(180 AS DOUBLE) + CAST(o_orderkey % 17 - 8 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon, CAST(o_orderkey % 30 AS DOUBLE)/CAST(2 AS DOUBLE) AS hours, o_orderkey % 4 = 0 AS is_end FROM orders"""
 
-VIEWS = {"features": FEATURES, "stations": STATIONS, "measurements": MEASUREMENTS, "assets": ASSETS, "dem": DEM, "connections": CONNECTIONS, "cases": CASES, "anchors": ANCHORS}
+VIEWS = {"features": FEATURES, "stations": STATIONS, "measurements": MEASUREMENTS, "assets": ASSETS, "dem": DEM, "relief": RELIEF, "drawn": DRAWN, "connections": CONNECTIONS, "cases": CASES, "anchors": ANCHORS}
 _TABLES = ("events", "supplier", "nation", "part", "customer", "orders")
 
 

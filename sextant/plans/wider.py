@@ -147,7 +147,7 @@ def _g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.asset_limits(_readings(spark, sf_dir))
 
 
-@_query("g4_asset_alerts", _HEALTH + ", m AS (SELECT asset_id, arg_max({'l': load, 't': temperature}, seq) AS x FROM readings GROUP BY asset_id), al AS (SELECT a.id AS asset_id, unnest([CASE WHEN x.l > 0.95 * capacity_mw THEN {'k': 'overload', 's': 'critical'} END, CASE WHEN x.t > 85 THEN {'k': 'hot', 's': 'critical'} WHEN x.t > 70 THEN {'k': 'warm', 's': 'warning'} END, CASE WHEN status IN ('failed', 'missing') THEN {'k': 'silent', 's': 'warning'} END]) AS e FROM assets a LEFT JOIN m ON a.id = m.asset_id LEFT JOIN health h ON a.id = h.asset_id) SELECT asset_id, e.k AS kind, e.s AS severity FROM al WHERE e IS NOT NULL ORDER BY severity, kind, asset_id LIMIT 50")
+@_query("g4_asset_alerts", _HEALTH + ", m AS (SELECT asset_id, arg_max({'l': load, 't': temperature}, seq) AS x FROM readings GROUP BY asset_id), al AS (SELECT a.id AS asset_id, unnest([CASE WHEN x.l > 0.95 * capacity_mw THEN {'k': 'overload', 's': 'critical'} END, CASE WHEN x.t > 85 THEN {'k': 'hot', 's': 'critical'} WHEN x.t > 70 THEN {'k': 'warm', 's': 'warning'} END, CASE WHEN status IN ('failed', 'missing') THEN {'k': 'silent', 's': 'warning'} END]) AS e FROM assets a LEFT JOIN m ON a.id = m.asset_id LEFT JOIN health h ON a.id = h.asset_id) SELECT asset_id, e.k AS kind, e.s AS severity FROM al WHERE e IS NOT NULL")
 def _g4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assets.asset_alerts(view(spark, sf_dir, "assets"), _readings(spark, sf_dir), _health(spark, sf_dir))
 
@@ -298,7 +298,7 @@ def _s4(df: DataFrame) -> DataFrame:
     return feeds.fire_cluster_rows(raw).select("id", "lon", "lat", "frp", "satellite", "brightness")
 
 
-@_on("features", "s6_lightning", "SELECT lon, lat, epoch_ms(freshness) AS ms, CASE WHEN user_id % 4 = 0 THEN 0 ELSE CAST(user_id % 3 - 1 AS INTEGER) END AS polarity FROM features WHERE layer = 'lightning'")
+@_on("features", "s6_lightning", "SELECT lon, lat, epoch_us(freshness) // 1000 AS ms, CASE WHEN user_id % 4 = 0 THEN 0 ELSE CAST(user_id % 3 - 1 AS INTEGER) END AS polarity FROM features WHERE layer = 'lightning'")
 def _s6(df: DataFrame) -> DataFrame:
     nano = (F.unix_micros(F.col("freshness").cast("timestamp")) * 1000).alias("time")
     one = F.struct(nano, "lat", "lon", F.when(F.col("user_id") % 4 > 0, (F.col("user_id") % 3 - 1).cast("int")).alias("pol"))
@@ -308,7 +308,7 @@ def _s6(df: DataFrame) -> DataFrame:
 @_on("stations", "s9_metar", "SELECT id AS station_id, lat, lon, round(depth * 0.514444e0, 6) AS wind_speed, round(CASE WHEN depth <= 100 THEN depth * 33.8639e0 ELSE depth END, 6) AS pressure FROM stations WHERE depth > 0")
 def _s9(df: DataFrame) -> DataFrame:
     none = lambda c: F.when(F.col("depth") > 0, F.col(c))
-    one = F.struct(F.col("id").alias("icaoId"), "lat", "lon", F.lit(None).cast("double").alias("temp"), none("depth").alias("wspd"), F.lit(None).cast("double").alias("wdir"), none("depth").alias("altim"))
+    one = F.struct(F.col("id").alias("icaoId"), "lat", "lon", F.lit(None).cast("double").alias("temp"), none("depth").alias("wspd"), F.lit(None).cast("double").alias("wdir"), none("depth").alias("altim"), F.lit(0).cast("long").alias("obsTime"))
     return feeds.metar_rows(_landed(df, one, feeds.METAR)).select("station_id", "lat", "lon", _r("wind_speed", "wind_speed"), _r("pressure", "pressure"))
 
 

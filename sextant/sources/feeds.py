@@ -19,7 +19,7 @@ TABLEDAP = "table struct<columnNames:array<string>,rows:array<array<string>>>"
 FORECAST = "hourly struct<time:array<string>,temperature:array<double>,precipitation:array<double>,wind:array<double>>"
 FIRE_EVENTS = "events array<struct<id:string,centroid:array<double>,maxFrp:double,confidence:string,viirsCount:long,goesCount:long,lastSeen:string,count:long>>"
 STRIKES = "time long, lat double, lon double, pol int"
-METAR = "icaoId string, lat double, lon double, temp double, wspd double, wdir double, altim double"
+METAR = "icaoId string, lat double, lon double, temp double, wspd double, wdir double, altim double, obsTime long"
 OSM = "elements array<struct<type:string,id:long,lat:double,lon:double,tags:map<string,string>,geometry:array<struct<lon:double,lat:double>>,members:array<struct<role:string,geometry:array<struct<lon:double,lat:double>>>>>>"
 RADAR = "radar struct<past:array<struct<time:long,path:string>>,nowcast:array<struct<time:long,path:string>>>, satellite struct<infrared:array<struct<time:long,path:string>>>"
 SCENES = "features array<struct<id:string,bbox:array<double>,properties:struct<datetime:string,`eo:cloud_cover`:double>,assets:map<string,struct<href:string>>>>"
@@ -160,16 +160,20 @@ def fire_cluster_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
 
 def lightning_rows(raw: DataFrame) -> DataFrame:
     """Strikes with nanoseconds as a timestamp of milliseconds; an unknown polarity is 0. Batch and streaming alike."""
-    rows = raw.select(F.timestamp_millis(F.floor(F.col("time") / 1_000_000).cast("long")).alias("ts"), "lat", "lon", F.coalesce("pol", F.lit(0)).alias("polarity"))
+    millis = F.expr("(time - pmod(time, 1000000)) div 1000000")  # doubles step by 256 ns at today's times
+    rows = raw.select(F.timestamp_millis(millis).alias("ts"), "lat", "lon", F.coalesce("pol", F.lit(0)).alias("polarity"))
     return rows.where("lat IS NOT NULL AND lon IS NOT NULL")
 
 
 def metar_rows(raw: DataFrame) -> DataFrame:
     """Airport reports, one a station: wind in metres a second, pressure in hectopascals (up to 100 means inches of
-    mercury). Reports without temperature, wind and pressure go."""
+    mercury). Reports without temperature, wind and pressure go; of a station's others the latest stays, of equal times the
+    greatest by its values, so that reruns agree."""
     pressure = F.when(F.col("altim") <= 100, F.col("altim") * INCH_OF_MERCURY).otherwise(F.col("altim"))
-    rows = raw.where("icaoId IS NOT NULL").select(F.col("icaoId").alias("station_id"), "lat", "lon", F.col("temp").alias("air_temp"), (F.col("wspd") * KNOT).alias("wind_speed"), F.col("wdir").alias("wind_dir"), pressure.alias("pressure"))
-    return rows.where("air_temp IS NOT NULL OR wind_speed IS NOT NULL OR pressure IS NOT NULL").dropDuplicates(["station_id"])
+    rows = raw.where("icaoId IS NOT NULL").select(F.col("icaoId").alias("station_id"), F.col("obsTime").alias("at"), "lat", "lon", F.col("temp").alias("air_temp"), (F.col("wspd") * KNOT).alias("wind_speed"), F.col("wdir").alias("wind_dir"), pressure.alias("pressure"))
+    values = ["lat", "lon", "air_temp", "wind_speed", "wind_dir", "pressure"]
+    some = rows.where("air_temp IS NOT NULL OR wind_speed IS NOT NULL OR pressure IS NOT NULL")
+    return some.groupBy("station_id").agg(F.max(F.struct("at", *values)).alias("r")).select("station_id", *[f"r.{c}" for c in values])
 
 
 def _elements(raw: DataFrame) -> DataFrame:

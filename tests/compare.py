@@ -1,6 +1,8 @@
-"""Order-insensitive comparison of a Spark query with its DuckDB statement."""
+"""Order-insensitive comparison of a Spark query with its DuckDB statement: integers, decimals and texts exactly, floats alone
+to eight digits."""
 
 import math
+from decimal import Decimal
 
 
 def _norm(v):
@@ -10,7 +12,9 @@ def _norm(v):
         return "nan" if math.isnan(v) else f"{v:.8g}"
     if isinstance(v, (list, tuple)):
         return str([_norm(x) for x in v])
-    return f"{float(v):.8g}" if isinstance(v, int) else str(v)
+    if isinstance(v, Decimal):
+        return str(v.normalize())
+    return str(v)
 
 
 def same_rows(df, con, sql):

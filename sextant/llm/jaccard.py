@@ -12,8 +12,8 @@ Two sets of sizes t <= s are similar enough just if they share c = ceil(percent
 4. The size up to which sets are light is where the subsets named plus the list entries still to be scanned are fewest; both are
    counted beforehand, by size.
 
-Lists are scanned in two turns, as most of a family of near copies hangs together: first each set meets the set of its lists
-that shares most lists with others, and what proves similar is labelled; then pairs of different labels in a list meet. A
+Lists are scanned in two turns, as most of a family of near copies hangs together: first each set meets the one of its lists
+that stands in most lists, and what proves similar is labelled; then pairs of different labels in a list meet. A
 pair must pass its sizes, its places in the list and a lossless bound from parity bitmaps (the sets differ in at least as
 many elements as the bitmaps do in bits) before full sets are compared. Nothing is capped and no filter loses a link. A family
 of texts that resemble each other just below the threshold costs comparisons of bits for each of its pairs.
@@ -239,6 +239,21 @@ def _light_pairs(small: DataFrame, percent: int) -> DataFrame:
     return meet.select(F.least("node", "c_node").alias("u"), F.greatest("node", "c_node").alias("v")).where("u < v").distinct()
 
 
+def _size(entry: str) -> Column:
+    return F.shiftright(entry, 32)
+
+
+def _pos(entry: str) -> Column:
+    return F.col(entry).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _placed(s: Column, at: Column, t: Column, c_at: Column, percent: int) -> Column:
+    """Whether sets of sizes s and t can be similar if this list, where they stand at these places of their own order, is
+    the first that they share: they share no more than what follows."""
+    fit = 100 * F.least(s, t) >= percent * F.greatest(s, t)
+    return fit & ((100 + percent) * F.least(s - at, t - c_at) >= percent * (s + t))
+
+
 def _apart(a: str, b: str) -> Column:
     """Bits in which two bitmaps differ; the longer one is folded to the shorter one's words, which keeps parities."""
     differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
@@ -260,9 +275,7 @@ def _possible(a: str, b: str, percent: int) -> Column:
 def _scan(held: DataFrame, percent: int, labelled: bool) -> DataFrame:
     """Pairs (u, v) of a list's sets ``held`` (element, node, size, pos, bitmap, label) that can be similar; with ``labelled`` only those of different labels."""
     others = held.select(*[F.col(c).alias(f"c_{c}") for c in held.columns])
-    rest = F.least(F.col("size") - F.col("pos"), F.col("c_size") - F.col("c_pos"))
-    # what they share begins in the first list that they share, so no more than what follows there
-    placed = (100 + percent) * rest >= percent * (F.col("size") + F.col("c_size"))
+    placed = _placed(F.col("size"), F.col("pos"), F.col("c_size"), F.col("c_pos"), percent)
     meet = (F.col("element") == F.col("c_element")) & (F.col("node") < F.col("c_node")) & placed & _possible("", "c_", percent)
     if labelled:
         meet = meet & (F.col("label") != F.col("c_label"))
@@ -286,16 +299,17 @@ class _Join:
         self.repeats = not self.copies.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty()
         self.base = self.base.where("doc_id IS NOT NULL")
         self.listed = cut(self.once(_listed(self.base, width, percent, _counters(signed))), "listed")
-        placed = self.listed.select("node", F.posexplode("prefix").alias("pos", "element"))
-        lists = placed.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("element")
+        entry = F.shiftleft("size", 32) + F.col("pos")
+        placed = self.listed.select("node", "size", F.posexplode("prefix").alias("pos", "element")).select("element", "node", entry.alias("entry"))
+        lists = placed.groupBy("element").agg(F.count("*").alias("n"), F.min("entry").alias("low"), F.max("entry").alias("high"))
+        lists = lists.where((F.col("n") > 2) | ((F.col("n") == 2) & _placed(_size("low"), _pos("low"), _size("high"), _pos("high"), percent))).select("element")
         reps = self.copies.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
-        # of copies only the representative stays, and of lists those that still hold two sets
-        of_reps = cut(placed.join(lists, "element").join(reps, "node", "left_semi"), "of-reps")
-        lists = of_reps.groupBy("element").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("element", "n")
-        members = cut(of_reps.join(lists, "element").join(self.listed.select("node", "size"), "node"), "members")
+        # of copies only the representative stays
+        members = cut(placed.join(lists, "element").join(reps, "node", "left_semi"), "members").select("element", "node", _size("entry").alias("size"), _pos("entry").alias("pos"))
         self.small = cut(self.listed.where(F.col("size").between(1, LIMIT)).select("node", "size", "small").join(reps, "node", "left_semi"), "small")
         sets = dict(map(tuple, self.small.groupBy("size").agg(F.count("*")).collect()))
-        scanned = dict(map(tuple, members.where(F.col("size") <= LIMIT).groupBy("size").agg(F.sum("n")).collect()))
+        few = members.where(F.col("size") <= LIMIT).select("element", "size").join(members.groupBy("element").agg(F.count("*").alias("n")), "element")
+        scanned = dict(map(tuple, few.groupBy("size").agg(F.sum("n")).collect()))
         self.light = boundary(sets, scanned, percent)
         self.members = members.where(F.col("size") >= partners(self.light + 1, percent).start)
         self.light_edges = cut(_light_edges(self.small.where(F.col("size") <= self.light).select("node", "small"), percent), "light")
@@ -335,7 +349,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, doc_i
     join = _Join(docs, width, percent, doc_id, text)
     members, listed = join.members, join.listed
     # first turn: each set and the best connected set of its lists
-    nodes = cut(members.groupBy("node").agg(F.sum("n").alias("degree")), "nodes")
+    nodes = cut(members.groupBy("node").agg(F.count("*").alias("degree")), "nodes")
     ranked = members.join(nodes, "node").select("element", F.struct("degree", (-F.col("node")).alias("node")).alias("rank"))
     centres = ranked.groupBy("element").agg(F.max("rank").alias("centre"))
     star = ranked.join(centres, "element").where("rank < centre").groupBy("rank.node").agg(F.max("centre").alias("c"))

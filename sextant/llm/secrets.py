@@ -2,7 +2,8 @@
 
 Three base patterns are matched everywhere. Texts that name something sensitive are also lexed (``lexing``): assignments
 of source code and configuration give pairs of a target and a value of literals and names, and a name assigned a literal
-is a constant, so that a sensitive target that refers to constants is traced to the literals' own places. A value is
+is a constant, so that a sensitive target that refers to constants is traced to the literals' own places. The password in an
+address (scheme://user:password@host) counts without a target. A value is
 scored by how sensitive its target's name is and how much it looks like a key rather than like prose or a placeholder.
 
 Each document is scanned whole and alone, in time linear in its length. Spans are code points, end exclusive.
@@ -30,10 +31,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+#: The password of an address, which needs no target: what stands between a user's name and the host.
+ADDRESS = re.compile(r"""\b[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s/:@"'<>]{0,200}:([^\s/@"'<>]{8,200})@[A-Za-z0-9\[]""", re.ASCII)
 _BASE_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Parts of names that make a target sensitive, and literals that stand for a value to be filled in.
-SENSITIVE = ("password", "passwd", "pwd", "passphrase", "passcode", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "secretkey", "authkey", "signingkey", "encryptionkey", "bearer")
+SENSITIVE = ("password", "passwd", "pwd", "pass", "passphrase", "passcode", "secret", "token", "apikey", "credential", "credentials", "privatekey", "accesskey", "secretkey", "authkey", "signingkey", "encryptionkey", "bearer")
+#: What makes a key of which a name speaks a secret one; "public key", "primary key" and "sort key" are none.
+KEY_OWNERS = ("ssh", "rsa", "aes", "hmac", "pgp", "gpg", "tls", "ssl", "jwt", "api", "app", "auth", "host", "master", "access", "account", "client", "crypto", "decryption", "deploy", "encryption", "license", "private", "root", "secret", "service", "session", "shared", "signing", "storage", "webhook")
 PLACEHOLDERS = ("changeme", "change_me", "placeholder", "example", "dummy", "redacted", "undefined", "your_", "your-", "xxxxxxxx", "********", "<", "${", "{{", "%(")
 SENSITIVE_POINTS = 2
 ENOUGH_POINTS = 4
@@ -42,10 +47,12 @@ _WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 def sensitivity(name: str) -> int:
-    """SENSITIVE_POINTS if a part of the name, or two neighbouring ones together, is a sensitive word; else 0."""
+    """SENSITIVE_POINTS if a part of the name, or two neighbouring ones together, is a sensitive word or a key with a secret
+    owner just before it; else 0."""
     parts = [p.lower() for p in _WORD_PARTS.findall(name)]
-    joined = [*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False)), name.lower()]
-    return SENSITIVE_POINTS if any(p in SENSITIVE for p in joined) else 0
+    pairs = list(zip(parts, parts[1:], strict=False))
+    joined = [*parts, *(a + b for a, b in pairs), name.lower()]
+    return SENSITIVE_POINTS if any(p in SENSITIVE for p in joined) or any(a in KEY_OWNERS and b == "key" for a, b in pairs) else 0
 
 
 def literal_points(value: lexing.Sum) -> int:
@@ -103,13 +110,14 @@ def scan_text(text: str, may_hold_hex: bool = True) -> list[tuple[int, int, int]
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     if may_hold_hex:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= LEAST_HEX]
-    if worth_lexing(low):
-        spans += [(a, 3, b) for a, b in lex(text)]
-    return sorted(spans)
+    lexed = set(lex(text)) if worth_lexing(low) else set()
+    if "://" in text:
+        lexed |= {m.span(1) for m in ADDRESS.finditer(text) if not is_placeholder(m[1])}
+    return sorted([*spans, *((a, 3, b) for a, b in lexed)])
 
 
 #: Every sensitive word holds one of these; in a text its parts may stand apart by what joins the parts of a name.
-_LEX_WORDS = ("passw", "pwd", "passphrase", "passcode", "secret", "token", "key", "credential", "bearer")
+_LEX_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 _JOINTS = ("_", "-", ".", "$")
 
 

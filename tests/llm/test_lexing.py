@@ -17,12 +17,14 @@ FOUND = [
     f'PASSWORD="{K}" ./run', f'#define API_KEY "{K}"', f'self.k = "{K}"\nx=1\nself.password = self.k', f'password = ("{K}")', f"accessKey = new String('{K}')", f'a = "{K}"\nb = a\nc = b\ntoken = c',
     f'class A {{ String k = "{K}"; void f() {{ password = k; }} }}', f'export GITHUB_TOKEN="{K}"', f"[db]\npasswd = {K}\nuser = x", f'def f():\n    k = "{K}"\n    password = k\n', f'"client-secret" : "{K}",',
     f'credentials = {{\n  user: "bob",\n  privateKey: "{K}"\n}}', f"def g(token='{K}'):\n    pass",
+    f'DB_PASS="{K}"', f"ssh_key: '{K}'", f'hmacKey = "{K}"', f'smtp.pass = "{K}"', f'"deploy-key": "{K}"',
 ]
 JOINED = [f'password = "{K}" + "zz1"', f'$password = "{K}" . "zz1";', f'password = ("{K}"\n  "zz1")', f'password = "{K}" \\\n  "zz1"', f'a = "{K}"\nb = "zz1"\npassword = a + b', f"secret: |\n  {K}\n  zz1\n"]
 QUIET = [
     'password = getpass("Enter your password: ")', 'password = "changeme"', f'if password == "{K}":', "the secret to success: hard work", "token = self.next_token", "password = get_password()",
     'api_key = os.environ["API_KEY_NAME_1"]', f'def f():\n    k = "{K}"\n\ndef g():\n    password = k\n', f'function f() {{ var k = "{K}"; }}\nfunction g() {{ password = k; }}', "password: <your password>",
     f"name: {K}", "password = a\na = b\nb = a", 'token = ""', "secret = 12", 'password = "${DB_PASSWORD_1}"', "The password: it is written nowhere.", f'user = "{K}"', 'password = "aaaaaaaaaaaa"', "api_key: null", "token => ",
+    f'primary_key = "{K}"', f'sort-key: "{K}"', f'compass = "{K}"', f'bypass_reason = "{K}"', f'public_key = "{K}"', f'key = "{K}"',
 ]
 
 
@@ -58,3 +60,15 @@ def test_linear_time(text):
     begun = time.time()
     lex("token " + text)
     assert time.time() - begun < 10
+
+
+def test_passwords_of_addresses():
+    from sextant.llm.secrets import scan_text
+
+    of = lambda text: [text[a:b] for a, k, b in scan_text(text) if k == 3]
+    assert of('conn = "postgres://bob:Zx9kk2lmnQ7@db.example.com/x"') == ["Zx9kk2lmnQ7"]
+    assert of("amqp://:Zx9kk2lmnQ7@[::1]:5672") == ["Zx9kk2lmnQ7"]
+    assert of('url = "https://h/a:b@c" see http://host:8080/x@y and ftp://u:short@h, https://u:${PASSWORD_1}@h') == []
+    begun = time.time()
+    scan_text("a://" + "b:" * 300_000 + "x" * 300_000)
+    assert time.time() - begun < 10

@@ -247,6 +247,41 @@ def flow_accumulation(directions: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumn("direction", F.col("direction").cast("int")).withColumn("cells", F.col("cells").cast("long"))
 
 
+def flow_lengths(directions: DataFrame, size: float = 30.0, block: int = BLOCK) -> DataFrame:
+    """x, y and length: metres along the flow from the farthest cell that drains through each, 0 where none does.
+
+    As ``flow_accumulation``, with the greatest of the donors' lengths and ways in place of their sum.
+    """
+    ways = np.array([math.hypot(*s) for s in STEPS]) * size
+
+    def kernel(a: Arrays, there: np.ndarray) -> Arrays:
+        d, before = np.where(there, a["direction"], -1), a["length"].reshape(-1)
+        core = _core(d.shape)
+        source, target = _follow(d)
+        real = there.reshape(-1)[source] & core[target]
+        source, target = source[real], target[real]
+        way = np.zeros(d.size)
+        way[source] = ways[d.reshape(-1)[source].astype(int)]
+        far = np.zeros(d.size)
+        outside = ~core[source]
+        np.maximum.at(far, target[outside], before[source[outside]] + way[source[outside]])
+        source, target = source[~outside], target[~outside]
+        to = np.full(d.size, -1)
+        to[source] = target
+        waiting = np.bincount(target, minlength=d.size)
+        ready = source[waiting[source] == 0]
+        while len(ready):
+            np.maximum.at(far, to[ready], far[ready] + way[ready])
+            np.subtract.at(waiting, to[ready], 1)
+            ready = np.unique(to[ready])
+            ready = ready[(waiting[ready] == 0) & (to[ready] >= 0)]
+        inner = far.reshape(d.shape)[1:-1, 1:-1]
+        return {"length": inner, "moved": there[1:-1, 1:-1] & (inner != a["length"][1:-1, 1:-1])}
+
+    start = directions.withColumn("direction", F.col("direction").cast("double")).withColumn("length", F.lit(0.0))
+    return settle(start, kernel, ["length"], ["direction"], block).drop("direction")
+
+
 def streams(accumulated: DataFrame, least_cells: int, block: int = BLOCK) -> DataFrame:
     """The cells that drain ``least_cells`` or more, with ``head`` (no donor among them) and their Strahler order.
 
@@ -294,12 +329,13 @@ def streams(accumulated: DataFrame, least_cells: int, block: int = BLOCK) -> Dat
 
 def flood_risk(streams_of: DataFrame, slopes: DataFrame, runoff_m: float, size: float = 30.0, full_flow: float = 200.0, full_slope: float = 0.5, least: float = 0.15) -> DataFrame:
     """Stream cells with discharge (cubic metres a second: drained area times runoff over Kirpich's (1940) time of
-    concentration, at least 60 s, for a path as long as the area's side) and risk, half by discharge and half by slope
-    (rise over run), each up to its full value; cells of a risk of at least ``least``, with what weighs more."""
+    concentration, at least 60 s, for a path as long as the column ``length`` says, or where there is none as the area's side) and
+    risk, half by discharge and half by slope (rise over run), each up to its full value; cells of a risk of at least
+    ``least``, with what weighs more."""
     key = grid_key(streams_of)
     met = streams_of.join(slopes.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.tan(F.radians("slope")).alias("gradient")), [*key, "x", "y"])
     area = F.col("cells") * (size * size)
-    seconds = F.greatest(F.lit(60.0), 60 * kirpich_minutes(F.sqrt(area), F.col("gradient")))
+    seconds = F.greatest(F.lit(60.0), 60 * kirpich_minutes(F.col("length") if "length" in streams_of.columns else F.sqrt(area), F.col("gradient")))
     out = met.withColumn("discharge", area * runoff_m / seconds)
     by_flow, by_slope = F.least(F.lit(1.0), F.col("discharge") / full_flow), F.least(F.lit(1.0), F.col("gradient") / full_slope)
     out = out.withColumn("risk", 0.5 * by_flow + 0.5 * by_slope).withColumn("reason", F.when(by_flow >= by_slope, "flow").otherwise("slope"))

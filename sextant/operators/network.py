@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.operators import scans
+
 PRIVATE = r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|::1$|fe80:|f[cd][0-9a-f]{2}:)"
 
 
@@ -40,9 +42,10 @@ def endpoint_quality(rows: DataFrame, last: int = 10) -> DataFrame:
 
 
 def latency_jitter(rows: DataFrame, key: str = "process") -> DataFrame:
-    """Mean latency, loss and jitter (0.7 mean absolute difference + 0.3 deviation) of each key's answered probes."""
-    by = Window.partitionBy(key).orderBy("seq")
-    ok = rows.where("latency_ms > 0").withColumn("_d", F.abs(F.col("latency_ms") - F.lag("latency_ms").over(by)))
+    """Mean latency, loss and jitter (0.7 mean absolute difference + 0.3 deviation) of each key's answered probes. A key's
+    probes are scanned partition by partition, however many there are."""
+    ok = scans.before(scans.laid(rows.where("latency_ms > 0").select(key, "seq", "latency_ms"), [key], ["seq", "latency_ms"]), [key], ["latency_ms"])
+    ok = ok.withColumn("_d", F.abs(F.col("latency_ms") - F.col("before_latency_ms")))
     stats = ok.groupBy(key).agg(F.avg("latency_ms").alias("latency_ms"), (0.7 * F.avg("_d") + 0.3 * F.stddev_pop("latency_ms")).alias("jitter_ms"))
     loss = rows.groupBy(key).agg((F.avg((F.col("latency_ms") == 0).cast("double")) * 100).alias("loss_pct"))
     return loss.join(stats, key, "left")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.operators import scans
+
 #: Plausible physical ranges of the fields.
 BOUNDS = {"water_temp": (-2.5, 40.0), "air_temp": (-60.0, 60.0), "salinity": (0.0, 42.0), "pressure": (850.0, 1100.0), "wind_speed": (0.0, 100.0), "wave_height": (0.0, 30.0)}
 #: Largest plausible change from one report to the next.
@@ -48,9 +50,16 @@ def jump_flags(long: DataFrame, steps: Mapping[str, float] = MAX_STEP) -> DataFr
 
 def drift(long: DataFrame, least: int = 5, before: int = 100) -> DataFrame:
     """z-score of each value against up to ``before`` earlier ones of its series (population spread)."""
+    return _scored(_with_base(long, before), least)
+
+
+def _with_base(long: DataFrame, before: int) -> DataFrame:
     w = _series().rowsBetween(-before, -1)
-    base = long.select("*", F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("sd"), F.count("value").over(w).alias("n"))
-    return base.where((F.col("n") >= least) & (F.col("sd") > 0)).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
+    return long.select("*", F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("sd"), F.count("value").over(w).alias("n"))
+
+
+def _scored(based: DataFrame, least: int) -> DataFrame:
+    return based.where((F.col("n") >= least) & (F.col("sd") > 0)).withColumn("z", (F.col("value") - F.col("mean")) / F.col("sd"))
 
 
 def drift_flags(long: DataFrame, warn: float = 2.0, critical: float = 3.0) -> DataFrame:
@@ -110,30 +119,35 @@ def band_outliers(latest: DataFrame, field: str, width: float = 10.0, least: int
 
 
 def sessions(events: DataFrame, key: str, bad: Column, order: str = "seq") -> DataFrame:
-    """Stretches of consecutive bad rows of a key: first and last place, rows, and whether it has ended since."""
-    by = Window.partitionBy(key).orderBy(order)
-    marked = events.withColumn("_bad", F.coalesce(bad, F.lit(False)))
-    opens = F.col("_bad") & ~F.coalesce(F.lag("_bad").over(by), F.lit(False))
-    numbered = marked.withColumn("_n", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.max(order).over(Window.partitionBy(key)))
-    out = numbered.where("_bad").groupBy(key, "_n", "_last").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
-    return out.select(key, "first", "last", "n", (F.col("last") < F.col("_last")).alias("resolved"))
+    """Stretches of consecutive bad rows of a key: first and last place, rows, and whether it has ended since. A key's rows
+    are scanned partition by partition, however many there are; of equal places the bad row comes last."""
+    marked = scans.laid(events.select(key, order, F.coalesce(bad, F.lit(False)).alias("_bad")), [key], [order, "_bad"])
+    opens = F.col("_bad") & ~F.coalesce("before__bad", F.lit(False))
+    numbered = scans.running(scans.before(marked, [key], ["_bad"]), [key], {"_n": opens.cast("int")})
+    out = numbered.where("_bad").groupBy(key, "_n").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    ends = marked.groupBy(F.col(key).alias("_key")).agg(F.max(order).alias("_last"))
+    return out.join(ends, F.col(key).eqNullSafe(F.col("_key"))).select(key, "first", "last", "n", (F.col("last") < F.col("_last")).alias("resolved"))
 
 
 def trend(long: DataFrame, n: int = 20) -> DataFrame:
     """Least-squares change per day over the last ``n`` values up to each row, for rows that have ``n``."""
+    return _with_trend(long, n).where(F.col("_n") == n).drop("_n")
+
+
+def _with_trend(long: DataFrame, n: int) -> DataFrame:
     w = _series().rowsBetween(-(n - 1), 0)
     day = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6 - 19700
-    return long.select("*", F.regr_slope(F.col("value"), day).over(w).alias("slope_per_day"), F.count("*").over(w).alias("_n")).where(F.col("_n") == n).drop("_n")
+    return long.select("*", F.regr_slope(F.col("value"), day).over(w).alias("slope_per_day"), F.count("*").over(w).alias("_n"))
 
 
-def anomalies(long: DataFrame, n: int = 20, warn: float = 2.0, critical: float = 3.0, horizon_days: float = 1.0) -> DataFrame:
-    """z-score of each value against up to 100 earlier ones of its series, with the trend of the last ``n``.
+def anomalies(long: DataFrame, n: int = 20, before: int = 100, warn: float = 2.0, critical: float = 3.0, horizon_days: float = 1.0) -> DataFrame:
+    """z-score of each value against up to ``before`` earlier ones of its series, with the trend of the last ``n``.
 
-    amplified: the trend goes the way the value has left its base. confidence: the share of 100 earlier values there are.
+    amplified: the trend goes the way the value has left its base. confidence: the share of ``before`` earlier values there are.
     expected: the value carried on by the trend for ``horizon_days``. Rows below ``warn`` deviations are left out.
     """
     z = F.abs(F.col("z"))
-    scored = drift(trend(long, n)).where(z > warn)
+    scored = _scored(_with_base(_with_trend(long, n), before), 5).where((F.col("_n") == n) & (z > warn))
     amplified = F.signum("slope_per_day") == F.signum("z")
     severity = F.when((z > critical) & amplified, "critical").when((z > critical) | amplified, "warning").otherwise("info")
-    return scored.select("station_id", "field", "seq", "value", "z", "slope_per_day", amplified.alias("amplified"), severity.alias("severity"), (F.col("n") / 100.0).alias("confidence"), (F.col("value") + F.col("slope_per_day") * horizon_days).alias("expected"))
+    return scored.select("station_id", "field", "seq", "value", "z", "slope_per_day", amplified.alias("amplified"), severity.alias("severity"), (F.col("n") / float(before)).alias("confidence"), (F.col("value") + F.col("slope_per_day") * horizon_days).alias("expected"))

@@ -113,3 +113,20 @@ def _w2_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _w2_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_profiles(lines.sampled_lines(view(spark, sf_dir, "drawn"), view(spark, sf_dir, "relief")))
     return out.select("line_id", F.round("length_m", 4).alias("length_m"), "points", *[_r(F.round(c, 4), c) for c in ("lowest", "highest", "ascent", "descent")])
+
+
+@_query(
+    "t15_flow_length",
+    _on_relief(_flow(
+        ", far(x, y, length) AS (SELECT x, y, 0e0 FROM dirs UNION SELECT tx, ty, length + CASE WHEN k % 2 = 1 THEN 30e0 * sqrt(2e0) ELSE 30e0 END FROM far JOIN ways USING (x, y)), l AS (SELECT x, y, max(length) AS length FROM far GROUP BY x, y),"
+        " sl AS (SELECT x, y, CASE WHEN k = 9 THEN sqrt(dx*dx + dy*dy) ELSE 0 END AS gradient FROM g), q AS (SELECT acc.x, acc.y, length, gradient, cells * 900e0 * 0.5e0 / greatest(60e0, 60 * 0.0195e0 * pow(length, 0.77e0) * pow(greatest(gradient, 1e-4), -0.385e0)) AS discharge FROM acc JOIN l USING (x, y) JOIN sl ON acc.x = sl.x AND acc.y = sl.y WHERE cells >= 6),"
+        " r AS (SELECT *, least(1e0, discharge / 200) AS a, least(1e0, gradient / 0.5e0) AS b FROM q) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(length, 4) AS length, round(discharge, 4) AS discharge, round(0.5e0 * a + 0.5e0 * b, 6) AS risk, CASE WHEN a >= b THEN 'flow' ELSE 'slope' END AS reason FROM r WHERE 0.5e0 * a + 0.5e0 * b >= 0.15e0"
+    )),
+)
+def _t15_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = view(spark, sf_dir, "relief")
+    directions = grids.flow_direction(cells)
+    lengths = grids.flow_lengths(directions)
+    rivers = grids.streams(grids.flow_accumulation(directions), 6).join(lengths, ["x", "y"])
+    out = grids.flood_risk(rivers, grids.slope_degrees(cells), 0.5).join(lengths, ["x", "y"])
+    return out.select("x", "y", F.round("length", 4).alias("length"), F.round("discharge", 4).alias("discharge"), _r("risk", "risk"), "reason")

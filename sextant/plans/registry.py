@@ -384,6 +384,18 @@ def _v15(df: DataFrame) -> DataFrame:
     return df.where(F.abs(gap) > 35).select("station_id", "seq", _r(gap, "gap"))
 
 
+@_on(
+    "measurements",
+    "x1_anomalies",
+    _LONG + ", t AS (SELECT *, regr_slope(value, epoch_us(ts) / 86400e6 - 19700) OVER l AS slope, count(*) OVER l AS held, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS s, count(value) OVER w AS n FROM long WINDOW l AS (PARTITION BY station_id, field ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY station_id, field ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))"
+    ", z AS (SELECT *, (value - mean) / s AS z, sign(slope) = sign((value - mean) / s) AS amplified FROM t WHERE held = 20 AND n >= 5 AND s > 0)"
+    " SELECT station_id, field, seq, round(z, 6) AS z, round(slope, 3) AS slope_per_day, amplified, CASE WHEN abs(z) > 3 AND amplified THEN 'critical' WHEN abs(z) > 3 OR amplified THEN 'warning' ELSE 'info' END AS severity, n / 100e0 AS confidence, round(value + slope, 3) AS expected FROM z WHERE abs(z) > 2",
+)
+def _x1_anomalies(df: DataFrame) -> DataFrame:
+    out = quality.anomalies(_long(df))
+    return out.select("station_id", "field", "seq", _r("z", "z"), F.round("slope_per_day", 3).alias("slope_per_day"), "amplified", "severity", "confidence", F.round("expected", 3).alias("expected"))
+
+
 @_on("measurements", "x1_trend", "SELECT station_id, seq, round(s, 3) AS slope_per_day FROM (SELECT station_id, seq, regr_slope(water_temp, epoch_us(ts) / 86400e6 - 19700) OVER (PARTITION BY station_id ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY station_id ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM measurements) WHERE n = 20")
 def _x1(df: DataFrame) -> DataFrame:
     return quality.trend(quality.to_long(df, ["water_temp"])).select("station_id", "seq", F.round("slope_per_day", 3).alias("slope_per_day"))

@@ -42,6 +42,9 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``cut`` that nothing will read any more, such as an iteration's former state."""
     path = getattr(df, "_sextant_path", None)
     if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

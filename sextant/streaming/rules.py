@@ -118,9 +118,11 @@ def publish_changes(before: DataFrame, out: str, id_column: str = "id"):
     ``out``/changes, an epoch a folder.
 
     Each epoch also writes its snapshot of ids under ``out``/snapshots, and is compared with the latest earlier one, the
-    first with ``before``. An epoch that runs again overwrites its own folders, so nothing is published twice.
+    first with ``before``. An epoch that runs again overwrites its own folders, so nothing is published twice. Snapshots
+    from before the latest two earlier epochs, which no epoch asks for again, are deleted.
     """
     from sextant.operators.spatial import diff_snapshots
+    from sextant.storage import delete
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -130,6 +132,9 @@ def publish_changes(before: DataFrame, out: str, id_column: str = "id"):
         former = before if last is None else held.where(F.col("epoch") == last)
         now = spark.read.parquet(f"{out}/snapshots/epoch={epoch}")
         diff_snapshots(former, now, id_column).write.mode("overwrite").parquet(f"{out}/changes/epoch={epoch}")
+        if last is not None:
+            for old in held.where(F.col("epoch") < last - 1).select("epoch").distinct().toLocalIterator():
+                delete(spark, f"{out}/snapshots/epoch={old.epoch}")
 
     return write
 

@@ -192,3 +192,17 @@ def test_sampled_lines(spark, surface, cells):
     assert profile[4].lowest is None and profile[2].length_m == 0 and profile[2].points == 1
     several = lines.sampled_lines(spark.createDataFrame([("a", 1, 0, 0.5, 0.0)], "grid_id string, line_id long, seq long, x double, y double"), cells.withColumn("grid_id", F.lit("a")), 25.0)
     assert [(r.grid_id, round(r.v, 6)) for r in several.collect()] == [("a", round((surface[0, 0] + surface[1, 0]) / 2, 6))]
+
+
+def test_flow_lengths_equal_a_plain_walk(spark, cells):
+    directions = grids.flow_direction(cells)
+    step = {(r.x, r.y): r.direction for r in directions.collect()}
+    want = dict.fromkeys(step, 0.0)
+    for p in step:
+        q, length = p, 0.0
+        while step[q] >= 0:
+            way = grids.STEPS[step[q]]
+            q, length = (q[0] + way[0], q[1] + way[1]), length + 10.0 * math.hypot(*way)
+            want[q] = max(want[q], length)
+    got = {(r.x, r.y): r.length for r in grids.flow_lengths(directions, 10.0, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)

@@ -76,3 +76,53 @@ def ring(lat: Column, lon: Column, radius_km: Column, corners: int = 64) -> Colu
         F.sequence(F.lit(0), F.lit(corners)),
         lambda k: F.struct(*[c.alias(n) for n, c in zip(("lat", "lng"), destination_point(lat, lon, k * (360.0 / corners), radius_km), strict=True)]),
     )
+
+
+def degrees_per_metre() -> float:
+    return 180.0 / (math.pi * EARTH_KM * 1000.0)
+
+
+def offset_point_m(lat: Column, lon: Column, east_m: Column, north_m: Column) -> tuple[Column, Column]:
+    """(lat, lon) after a short way on the tangent plane; the pole's own longitude stays."""
+    along = F.cos(F.radians(lat))
+    return lat + north_m * degrees_per_metre(), lon + F.when(along > 1e-12, east_m * degrees_per_metre() / along).otherwise(0.0)
+
+
+def dist_planar_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres between near points on the plane that touches half way; the shorter way round in longitude."""
+    turn = F.pmod(lon2 - lon1 + 540.0, F.lit(360.0)) - 180.0
+    return F.hypot(turn * F.cos(F.radians((lat1 + lat2) / 2)), lat2 - lat1) / degrees_per_metre()
+
+
+def pixel_xy(lat: Column, lon: Column, zoom: int, tile: int = 256) -> tuple[Column, Column]:
+    """Pixel of a point in its Web-Mercator tile, from the upper left."""
+    n = float(1 << zoom)
+    phi = F.radians(F.greatest(F.lit(-85.05112878), F.least(F.lit(85.05112878), lat)))
+    x, y = (lon + 180.0) / 360.0 * n, (1.0 - F.ln(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0 * n
+    inside = lambda c: F.least(F.floor((c - F.floor(c)) * tile), F.lit(tile - 1))
+    return inside(x), inside(y)
+
+
+def optimal_zoom(west: Column, south: Column, east: Column, north: Column, preferred: int = 15, tiles: int = 32) -> Column:
+    """The greatest zoom up to ``preferred`` at which a box takes at most ``tiles`` tiles along either side; else 0."""
+    fits = []
+    for zoom in range(preferred, 0, -1):
+        (x0, y0), (x1, y1) = tile_xy(north, west, zoom), tile_xy(south, east, zoom)
+        fits.append(F.when((x1 - x0 < tiles) & (y1 - y0 < tiles), zoom))
+    return F.coalesce(*fits, F.lit(0))
+
+
+def day_of_year(ts: Column) -> Column:
+    """Days since the year began, with the part of the day that has passed."""
+    at = ts.cast("timestamp")
+    return F.dayofyear(at) - 1 + (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)) / 86400.0
+
+
+def in_padded_box(lat: Column, lon: Column, west: float, south: float, east: float, north: float, pad: float = 10.0, tallest: float = 170.0) -> Column:
+    """Whether a point lies in a view with ``pad`` degrees around it; a view taller than ``tallest`` with its padding shows everything,
+    and one that goes round the earth all longitudes."""
+    if north - south + 2 * pad > tallest:
+        return F.lit(True)
+    width = (east - west) % 360.0 + 2 * pad
+    across = F.lit(True) if width >= 360.0 else F.pmod(lon - F.lit(west - pad), F.lit(360.0)) <= width
+    return lat.between(south - pad, north + pad) & across

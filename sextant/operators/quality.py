@@ -48,6 +48,15 @@ def jump_flags(long: DataFrame, steps: Mapping[str, float] = MAX_STEP) -> DataFr
     return long.withColumn("change", change).where(F.col("change") > step).select("station_id", "field", "seq", F.lit("jump").alias("rule"), F.when(F.col("change") > 2 * step, "critical").otherwise("warning").alias("severity"), "change")
 
 
+def cycle_jumps(long: DataFrame, steps: Mapping[str, float] = MAX_STEP, cycle: str = "cycle") -> DataFrame:
+    """``jump_flags`` between reports of successive cycles only: after a missed cycle a change is no jump."""
+    step = _table(steps)[F.col("field")]
+    w = Window.partitionBy("station_id", "field").orderBy(cycle, "seq")
+    change = F.when(F.col(cycle) == F.lag(cycle).over(w) + 1, F.abs(F.col("value") - F.lag("value").over(w)))
+    severity = F.when(F.col("change") > 2 * step, "critical").otherwise("warning").alias("severity")
+    return long.withColumn("change", change).where(F.col("change") > step).select("station_id", "field", "seq", F.lit("jump").alias("rule"), severity, "change")
+
+
 def drift(long: DataFrame, least: int = 5, before: int = 100) -> DataFrame:
     """z-score of each value against up to ``before`` earlier ones of its series (population spread)."""
     return _scored(_with_base(long, before), least)

@@ -155,3 +155,13 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
 
     some = points.where("x IS NOT NULL AND y IS NOT NULL").select(key, "x", "y").mapInPandas(partial, f"{key} {kind}, x double, y double")
     return some.groupBy(key).applyInPandas(whole, f"{key} {kind}, corner int, x double, y double")
+
+
+def recent_trails(points: DataFrame, key: str, as_of: Column, most: int = 30, seconds: float = 1800.0, least: int = 2, time: str = "freshness", order: str = "id") -> DataFrame:
+    """(key, points, trail): a key's last ``most`` positions of the ``seconds`` up to ``as_of``, oldest first, for keys with ``least``.
+    A position without a time is in no trail. The rank keeps ``most`` rows a key and task before anything is shuffled."""
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col(time).cast("timestamp"))) / 1e6
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), F.desc(order)))
+    last = points.where(age.between(0, seconds)).withColumn("_r", place).where(F.col("_r") <= most)
+    trail = F.transform(F.array_sort(F.collect_list(F.struct(time, order, "lon", "lat"))), lambda p: F.struct(p[time].alias(time), p["lon"].alias("lon"), p["lat"].alias("lat")))
+    return last.groupBy(key).agg(F.count("*").alias("points"), trail.alias("trail")).where(F.col("points") >= least)

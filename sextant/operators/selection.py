@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from sextant.operators.spatial import radius_join
 from sextant.storage import cut, discard
 
+#: Heights in metres up to which a layer is shown.
+FARTHEST_M = {"quake": 5e6, "fire": 3e6, "aircraft": 2e6, "vessel": 1.5e6, "lightning": 1e6}
 SEVERITIES = ("info", "low", "moderate", "warning", "high", "critical")
 
 
@@ -62,6 +64,12 @@ def cooldown_alerts(events: DataFrame, key: str | Sequence[str], seconds: float,
     return dealt.mapInArrow(run, schema)
 
 
+def visible_at(rows: DataFrame, height_m: float, farthest: Mapping[str, float] = FARTHEST_M, layer: str = "layer") -> DataFrame:
+    """Rows of layers that are shown from a height; layers that ``farthest`` doesn't name are always shown."""
+    hidden = [name for name, most in farthest.items() if height_m > most]
+    return rows.where(~F.col(layer).isin(hidden)) if hidden else rows
+
+
 def best_in_cell(rows: DataFrame, cell: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each cell in ``order``."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where("_r = 1").drop("_r")

@@ -49,9 +49,9 @@ def _on(view_name: str, name: str, oracle: str | None = None) -> Callable[[Calla
 
 
 def queries() -> dict[str, Query]:
-    from sextant.plans import agreement, extra, lines, more, rescue, wider  # they register their own
+    from sextant.plans import agreement, culling, extra, lines, more, rescue, wider  # they register their own
 
-    return dict(_QUERIES) if agreement and more and extra and lines and rescue and wider else {}
+    return dict(_QUERIES) if agreement and culling and more and extra and lines and rescue and wider else {}
 
 
 def oracle_sql() -> dict[str, str]:

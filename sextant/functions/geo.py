@@ -126,3 +126,9 @@ def in_padded_box(lat: Column, lon: Column, west: float, south: float, east: flo
     width = (east - west) % 360.0 + 2 * pad
     across = F.lit(True) if width >= 360.0 else F.pmod(lon - F.lit(west - pad), F.lit(360.0)) <= width
     return lat.between(south - pad, north + pad) & across
+
+
+def arrow_end(lat: Column, lon: Column, speed: Column, direction: Column, degrees_per_speed: float = 0.5, longest: float = 5.0) -> tuple[Column, Column]:
+    """(lat, lon) of the point of an arrow as long as a current is fast, ``longest`` degrees at most."""
+    length, towards = F.least(speed * degrees_per_speed, F.lit(longest)), F.radians(direction)
+    return lat + length * F.cos(towards), lon + length * F.sin(towards) / F.cos(F.radians(lat))

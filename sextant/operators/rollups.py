@@ -165,3 +165,11 @@ def recent_trails(points: DataFrame, key: str, as_of: Column, most: int = 30, se
     last = points.where(age.between(0, seconds)).withColumn("_r", place).where(F.col("_r") <= most)
     trail = F.transform(F.array_sort(F.collect_list(F.struct(time, order, "lon", "lat"))), lambda p: F.struct(p[time].alias(time), p["lon"].alias("lon"), p["lat"].alias("lat")))
     return last.groupBy(key).agg(F.count("*").alias("points"), trail.alias("trail")).where(F.col("points") >= least)
+
+
+def largest_rings(vertices: DataFrame, key: str, ring: str) -> DataFrame:
+    """(key, ring, vertices, west, south, east, north): the ring of the largest box of each key; of equal ones the least."""
+    box = [F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north")]
+    rings = vertices.groupBy(key, ring).agg(F.count("*").alias("vertices"), *box).withColumn("_area", (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")))
+    w = Window.partitionBy(key).orderBy(F.desc("_area"), ring)
+    return rings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_area")

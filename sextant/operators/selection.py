@@ -23,9 +23,21 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def suppress(alerts: DataFrame, whitelist: DataFrame, least: str, key: str = "id") -> DataFrame:
-    """Alerts of at least a severity whose key isn't listed."""
-    return alerts.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(least))).join(whitelist.select(key).distinct(), key, "left_anti")
+def suppress(alerts: DataFrame, whitelist: DataFrame, least: str, key: str = "id", snoozed_until: Column | None = None, time: str = "ts") -> DataFrame:
+    """Alerts of at least a severity whose key isn't listed; while snoozed none at all, so none of before ``snoozed_until``."""
+    loud = alerts.where(severity_rank(F.col("severity")) >= severity_rank(F.lit(least)))
+    if snoozed_until is not None:
+        loud = loud.where(F.col(time) >= snoozed_until)
+    return loud.join(whitelist.select(key).distinct(), key, "left_anti")
+
+
+def union_alerts(**tables: DataFrame) -> DataFrame:
+    """All alerts, with ``origin`` for the table that each comes from; columns that a table lacks are null."""
+    out = None
+    for name, table in tables.items():
+        named = table.withColumn("origin", F.lit(name))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return out
 
 
 def cooldown_alerts(events: DataFrame, key: str | Sequence[str], seconds: float, time: str = "ts", order: str = "seq") -> DataFrame:

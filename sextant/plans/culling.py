@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import geo
 from sextant.operators import quality, rollups, selection
+from sextant.plans.extra import _ALERTS, _alerts
 from sextant.plans.registry import _LONG, _STEP, _long, _on, _r
 from sextant.plans.views import AS_OF
 
@@ -65,3 +66,36 @@ def _f_offsets(df: DataFrame) -> DataFrame:
     lat, lon = geo.offset_point_m(F.col("lat"), F.col("lon"), F.lit(4000.0), F.lit(3000.0))
     metres = geo.dist_planar_m(F.col("lat"), F.col("lon"), lat, lon)
     return df.select("id", _r(lat, "lat2"), _r(lon, "lon2"), F.round(metres, 3).alias("metres"), _r(geo.day_of_year(F.col("freshness")), "day"))
+
+
+@_on("features", "p8_snoozed", _ALERTS.replace("SELECT id, layer, CASE", "SELECT id, layer, freshness, CASE") + " SELECT id, severity FROM al WHERE severity IN ('high', 'critical') AND freshness >= TIMESTAMP '2024-01-12 00:00:00' AND id NOT IN (SELECT id FROM features WHERE speed < 30)")
+def _p8_snoozed(df: DataFrame) -> DataFrame:
+    alerts = _alerts(df).join(df.select("id", "freshness"), "id")
+    until = F.lit("2024-01-12 00:00:00").cast("timestamp_ntz")
+    return selection.suppress(alerts, df.where("speed < 30"), "high", snoozed_until=until, time="freshness").select("id", "severity")
+
+
+@_on("features", "p23_arrow", "SELECT id, round(lat + least(speed / 20, 5) * cos(radians(heading)), 6) AS lat2, round(lon + least(speed / 20, 5) * sin(radians(heading)) / cos(radians(lat)), 6) AS lon2 FROM features")
+def _p23_arrow(df: DataFrame) -> DataFrame:
+    lat, lon = geo.arrow_end(F.col("lat"), F.col("lon"), F.col("speed") / 10, F.col("heading"))
+    return df.select("id", _r(lat, "lat2"), _r(lon, "lon2"))
+
+
+@_on("features", "u2_union_alerts", _ALERTS + " SELECT id, severity, layer, CAST(NULL AS DOUBLE) AS speed, 'hazards' AS origin FROM al UNION ALL SELECT id, 'warning', NULL, speed, 'fast' FROM features WHERE speed > 250")
+def _u2(df: DataFrame) -> DataFrame:
+    fast = df.where("speed > 250").select("id", F.lit("warning").alias("severity"), "speed")
+    return selection.union_alerts(hazards=_alerts(df).drop("speed"), fast=fast).select("id", "severity", "layer", "speed", "origin")
+
+
+@_on("measurements", "a20_rain_day", "SELECT station_id, date_trunc('day', ts) AS day, round(sum(wave_height), 6) AS total, min(air_temp) AS low, max(air_temp) AS high, round(max(salinity / 100), 6) AS most_likely FROM measurements GROUP BY 1, 2")
+def _a20_rain(df: DataFrame) -> DataFrame:
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    return df.groupBy("station_id", day).agg(_r(F.sum("wave_height"), "total"), F.min("air_temp").alias("low"), F.max("air_temp").alias("high"), _r(F.max(F.col("salinity") / 100), "most_likely"))
+
+
+@_on(
+    "features", "a24_largest_ring",
+    ", r AS (SELECT layer, user_id AS ring, count(*) AS vertices, min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM features GROUP BY layer, user_id) SELECT layer, ring, vertices, west, south, east, north FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY (east - west) * (north - south) DESC, ring) AS n FROM r) WHERE n = 1",
+)
+def _a24_ring(df: DataFrame) -> DataFrame:
+    return rollups.largest_rings(df.withColumnRenamed("user_id", "ring"), "layer", "ring")

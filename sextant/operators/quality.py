@@ -48,6 +48,14 @@ def jump_flags(long: DataFrame, steps: Mapping[str, float] = MAX_STEP) -> DataFr
     return long.withColumn("change", change).where(F.col("change") > step).select("station_id", "field", "seq", F.lit("jump").alias("rule"), F.when(F.col("change") > 2 * step, "critical").otherwise("warning").alias("severity"), "change")
 
 
+def field_drops(reports: DataFrame, fields: Sequence[str], most: int = 2) -> DataFrame:
+    """Reports that hold over ``most`` fields fewer than their station's report before: a sensor may be failing."""
+    held = sum((F.col(c).isNotNull().cast("long") for c in fields), F.lit(0).cast("long"))
+    before = F.lag("held").over(Window.partitionBy("station_id").orderBy("seq"))
+    rows = reports.select("station_id", "seq", held.alias("held")).withColumn("before", before)
+    return rows.where(F.col("before") - F.col("held") > most).select("station_id", "seq", F.lit("field_drop").alias("rule"), F.lit("warning").alias("severity"), "before", "held")
+
+
 def cycle_jumps(long: DataFrame, steps: Mapping[str, float] = MAX_STEP, cycle: str = "cycle") -> DataFrame:
     """``jump_flags`` between reports of successive cycles only: after a missed cycle a change is no jump."""
     step = _table(steps)[F.col("field")]

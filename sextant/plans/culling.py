@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import geo
-from sextant.operators import quality, rollups, selection
+from sextant.operators import acoustics, quality, rollups, selection
 from sextant.plans.extra import _ALERTS, _alerts
-from sextant.plans.registry import _LONG, _STEP, _long, _on, _r
+from sextant.plans.registry import _FIELDS, _LONG, _STEP, _long, _on, _r
 from sextant.plans.views import AS_OF
 
 _NEAR = "lat BETWEEN -40 AND 40 AND (lon >= 150 OR lon <= -140)"
@@ -99,3 +99,33 @@ def _a20_rain(df: DataFrame) -> DataFrame:
 )
 def _a24_ring(df: DataFrame) -> DataFrame:
     return rollups.largest_rings(df.withColumnRenamed("user_id", "ring"), "layer", "ring")
+
+
+@_on(
+    "measurements", "v15_field_drops",
+    ", h AS (SELECT station_id, seq, CAST(" + " + ".join(f"(CASE WHEN {f} IS NULL THEN 0 ELSE 1 END)" for f in _FIELDS) + " AS BIGINT) AS held FROM measurements) SELECT station_id, seq, 'field_drop' AS rule, 'warning' AS severity, before, held FROM (SELECT *, lag(held) OVER (PARTITION BY station_id ORDER BY seq) AS before FROM h) WHERE before - held > 1",
+)
+def _v15_drops(df: DataFrame) -> DataFrame:
+    return quality.field_drops(df, _FIELDS, most=1)
+
+
+_AIR = repr(acoustics.absorption_db_per_m(500.0))
+_WAVE = repr(acoustics.SOUND_M_S / 500.0)
+
+
+@_on(
+    "relief", "t20_terrain_levels",
+    ", s AS (SELECT y * 400 + x AS id, x AS sx, y AS sy, 95e0 + x % 7 AS power, v + 2e0 AS sz FROM relief WHERE x % 97 = 0 AND y % 11 = 0), r AS (SELECT x, y, v + 1.5e0 AS z FROM relief WHERE x % 7 = 0 AND y % 7 = 0),"
+    " p AS (SELECT *, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) * 30e0 AS flat FROM s JOIN r ON (x - sx) * (x - sx) + (y - sy) * (y - sy) BETWEEN 1 AND 225),"
+    " q AS (SELECT *, sqrt(flat * flat + (z - sz) * (z - sz)) AS direct, least(20, CAST(floor(flat / 30) AS INTEGER)) AS n FROM p),"
+    " k AS (SELECT q.*, i / CAST(n AS DOUBLE) AS t FROM q LEFT JOIN range(1, 20) a(i) ON i < n),"
+    " e AS (SELECT k.*, g.v AS edge, sqrt(pow(t * flat, 2) + pow(g.v - sz, 2)) AS over_, sqrt(pow((1 - t) * flat, 2) + pow(g.v - z, 2)) AS down_ FROM k LEFT JOIN relief g ON g.x = floor(sx + t * (k.x - sx) + 0.5e0) AND g.y = floor(sy + t * (k.y - sy) + 0.5e0)),"
+    " w AS (SELECT id, x, y, power, direct, max(CASE WHEN edge IS NOT NULL THEN {'d': CASE WHEN edge >= sz + t * (z - sz) THEN over_ + down_ - direct ELSE direct - over_ - down_ END, 'o': over_, 'u': down_} END) AS m FROM e GROUP BY id, x, y, power, direct),"
+    f" b AS (SELECT *, greatest(0e0, 4.8e0 - 3.5e0 / direct * (17 + 300 / direct)) AS soft, 3 + 20 / {_WAVE} * m.d * CASE WHEN m.d > 0 THEN exp(-sqrt(m.o * m.u * direct / (2 * m.d)) / 2000) ELSE 1e0 END AS inside FROM w),"
+    f" l AS (SELECT x, y, power - (20 * log10(direct) + 11) - {_AIR} * direct - soft - coalesce(greatest(0e0, CASE WHEN inside > 1 THEN least(20e0, 10 * log10(inside)) ELSE 0 END - soft), 0) AS level FROM b)"
+    " SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, round(10 * log10(sum(pow(10e0, level / 10))), 5) AS level, count(*) AS n FROM l GROUP BY x, y",
+)
+def _t20_terrain(df: DataFrame) -> DataFrame:
+    sources = df.where("x % 97 = 0 AND y % 11 = 0").select((F.col("y") * 400 + F.col("x")).alias("source_id"), "x", "y", (95 + F.col("x") % 7).cast("double").alias("power_db"), F.lit(2.0).alias("height_m"))
+    receivers = df.where("x % 7 = 0 AND y % 7 = 0").select("x", "y")
+    return acoustics.terrain_levels(sources, receivers, df, 450.0).withColumn("level", F.round("level", 5))

@@ -304,8 +304,9 @@ class _Join:
         lists = placed.groupBy("element").agg(F.count("*").alias("n"), F.min("entry").alias("low"), F.max("entry").alias("high"))
         lists = lists.where((F.col("n") > 2) | ((F.col("n") == 2) & _placed(_size("low"), _pos("low"), _size("high"), _pos("high"), percent))).select("element")
         reps = self.copies.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
-        # of copies only the representative stays
-        members = cut(placed.join(lists, "element").join(reps, "node", "left_semi"), "members").select("element", "node", _size("entry").alias("size"), _pos("entry").alias("pos"))
+        # of copies only the representative stays; written down before, or all entries would be shuffled by node first
+        met = cut(placed.join(lists, "element"), "met")
+        members = cut(met.join(reps, "node", "left_semi"), "members").select("element", "node", _size("entry").alias("size"), _pos("entry").alias("pos"))
         self.small = cut(self.listed.where(F.col("size").between(1, LIMIT)).select("node", "size", "small").join(reps, "node", "left_semi"), "small")
         sets = dict(map(tuple, self.small.groupBy("size").agg(F.count("*")).collect()))
         few = members.where(F.col("size") <= LIMIT).select("element", "size").join(members.groupBy("element").agg(F.count("*").alias("n")), "element")

@@ -41,18 +41,19 @@ def ranked(nodes: DataFrame) -> DataFrame:
 def _jumped(base: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(node, head, step) of the nodes of lists with a first node, and (node, low) of those of rings, if there are any."""
     first = F.col("prev").isNull()
-    now = cut(base.select("node", F.coalesce("prev", "node").alias("at"), F.when(first, 0).otherwise(1).cast("long").alias("step"), first.alias("done"), F.least("node", F.coalesce("prev", "node")).alias("low")), "jump")
+    now = cut(base.select("node", F.coalesce("prev", "node").alias("at"), F.when(first, 0).otherwise(1).cast("long").alias("step"), first.alias("done"), F.least("node", F.coalesce("prev", "node")).alias("low"), F.lit(True).alias("moved")), "jump")
     waiting = None
     while True:
-        left = now.where("NOT done").count()
+        left, moved = now.agg(F.count_if(~F.col("done")), F.count_if(~F.col("done") & F.col("moved"))).first()
         if left == 0:
             return now.select("node", F.col("at").alias("head"), "step"), None
-        if left == waiting and now.where("NOT done").join(base, "node").join(now.select(F.col("node").alias("prev"), F.col("low").alias("_low")), "prev").where("low <> _low").isEmpty():
-            # lists lose waiting nodes in every round, so these are rings, and each knows its least node
+        if left == waiting and moved == 0:
+            # lists lose waiting nodes in every round, so these are rings; where no least node within 2^k steps has changed
+            # by looking 2^k steps further, the stretches that agree lie end to end all round
             return now.where("done").select("node", F.col("at").alias("head"), "step"), now.where("NOT done").select("node", "low")
         further = now.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("step").alias("_step"), F.col("done").alias("_done"), F.col("low").alias("_low"))
         waiting, former = left, now
-        now = cut(now.join(further, "at").select("node", F.col("_at").alias("at"), (F.col("step") + F.col("_step")).alias("step"), F.col("_done").alias("done"), F.least("low", "_low").alias("low")), "jump")
+        now = cut(now.join(further, "at").select("node", F.col("_at").alias("at"), (F.col("step") + F.col("_step")).alias("step"), F.col("_done").alias("done"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")), "jump")
         discard(former)
 
 

@@ -160,15 +160,17 @@ def resolver_leaks(resolvers: DataFrame, exits: DataFrame) -> DataFrame:
 def path_contacts(vertices: DataFrame, cells: float = 3.0) -> DataFrame:
     """(path, other, vertices): paths of which a vertex lies less than ``cells`` from one of another path, and how many do.
 
-    vertices: path, x, y. They meet on squares as wide as the distance, each sent to the squares around it.
+    vertices: path, x, y. They meet on squares as wide as the distance, the others sent to the squares around them; a vertex has one
+    square, so it is counted where it met. Small files hold many vertices, so neither side is ever broadcast.
     """
     square = lambda c: F.floor(F.col(c) / cells)
     around = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: square(c) + k))
-    a = vertices.select("path", "x", "y", around("x").alias("_cx")).select("*", around("y").alias("_cy"))
-    b = vertices.select(F.col("path").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), square("x").alias("_cx"), square("y").alias("_cy"))
+    a = vertices.select("path", "x", "y", square("x").alias("_cx"), square("y").alias("_cy"))
+    b = vertices.select(F.col("path").alias("other"), F.col("x").alias("_x"), F.col("y").alias("_y"), around("x").alias("_cx"), "y").select("other", "_x", "_y", "_cx", around("y").alias("_cy"))
     near = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2 < cells * cells
-    met = a.join(b, ["_cx", "_cy"]).where((F.col("path") != F.col("other")) & near)
-    return met.groupBy("path", "other").agg(F.countDistinct("x", "y").alias("vertices"))
+    met = a.hint("merge").join(b.hint("merge"), ["_cx", "_cy"]).where((F.col("path") != F.col("other")) & near)
+    each = met.select("_cx", "_cy", "path", "other", "x", "y").distinct()
+    return each.groupBy("path", "other").agg(F.count("*").alias("vertices"))
 
 
 def nearest_report(targets: DataFrame, reports: DataFrame, km: float) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 
 from sextant.operators import assets
+from sextant.plans.views import view
 
 
 def _plan(df):
@@ -20,3 +21,14 @@ def test_path_contacts_broadcasts_nothing_and_equals_all_pairs(spark):
     for path, other, _ in met:
         want[path, other] = want.get((path, other), 0) + 1
     assert {(r.path, r.other): r.vertices for r in out.collect()} == want
+
+
+def test_relief_far_south_has_heights(spark, tmp_path):
+    keys = [0, 401, 400 * 30_000 + 7, 400 * 90_000 + 399]
+    spark.createDataFrame([(k, 1) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.x, r.y): r.v for r in view(spark, str(tmp_path), "relief").collect()}
+    want = {}
+    for k in keys:
+        x, y = k % 400, k // 400
+        want[x, y] = abs(x % 60 - 30) + abs(y % 44 - 22) + (x * 7919 + y * 104729) % 13 / 2
+    assert got == want

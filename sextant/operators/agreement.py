@@ -6,6 +6,7 @@ taken off, so no group is gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ def nearest_reports(latest: DataFrame, km: float = 500.0, k: int = 5, references
     own, theirs = F.col("source").isin(list(references)), F.col("r_source").isin(list(references))
     gap = F.abs(F.coalesce("depth", F.lit(0.0)) - F.coalesce("r_depth", F.lit(0.0)))
     behind = (~theirs).cast("int") if always_first else F.when(own, (~theirs).cast("int")).otherwise(0)
-    near = spatial.knn(latest, km, k, [behind, F.when(own & theirs, gap).otherwise(F.col("distance_km"))])
+    near = spatial.knn(latest, km, k, [behind, F.when(own & theirs, gap).otherwise(F.col("distance_km"))], by=["source", "depth"])
     return near.select("*", gap.alias("depth_gap"), own.alias("_own"), theirs.alias("_theirs"))
 
 
@@ -113,9 +114,8 @@ def asset_links(assets: DataFrame) -> DataFrame:
     supply = rows.where(F.col("type").isin(list(SUPPLY)))
 
     def nearest(kinds: Sequence[str], km: float, k: int, kind: str) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("id").orderBy("distance_km", "r_id"))
-        near = spatial.radius_join(rows.where(F.col("type").isin(list(kinds))), supply, km).where(F.col("distance_km") < km)
-        return near.withColumn("_r", place).where(F.col("_r") <= k).select("id", "r_id", F.lit(kind).alias("kind"), "distance_km")
+        near = spatial.knn(rows.where(F.col("type").isin(list(kinds))), math.nextafter(km, 0.0), k, of=supply)
+        return near.select("id", "r_id", F.lit(kind).alias("kind"), "distance_km")
 
     between = spatial.radius_join(supply, supply, 800.0).where("id < r_id")
     lines = between.select("id", "r_id", F.when(F.col("distance_km") < 400, "ac_line").otherwise("dc_line").alias("kind"), "distance_km")

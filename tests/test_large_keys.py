@@ -3,7 +3,10 @@
 import random
 
 
-from sextant.operators import assets
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from sextant.operators import assets, spatial
 from sextant.plans.views import view
 
 
@@ -11,6 +14,24 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _rows_joined(df):
+    """The most rows that a join of the plan gave when it ran."""
+    df._jdf.count()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName().endswith("Join"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return most
+
+
 def test_path_contacts_broadcasts_nothing_and_equals_all_pairs(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(4), rng.randrange(30), rng.randrange(30)) for _ in range(200)]
@@ -32,3 +53,22 @@ def test_relief_far_south_has_heights(spark, tmp_path):
         x, y = k % 400, k // 400
         want[x, y] = abs(x % 60 - 30) + abs(y % 44 - 22) + (x * 7919 + y * 104729) % 13 / 2
     assert got == want
+
+
+def test_knn_takes_neighbours_by_groups_and_equals_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0.0, -0.0, 0.5, 1.0]), rng.choice([179.9, -179.9, 3.0]), rng.choice([1.0, 2.0, None])) for i in range(60)] + [(60, None, 1.0, 1.0), (61, 80.0, 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, depth double")
+    gap = F.abs(F.coalesce("depth", F.lit(0.0)) - F.coalesce("r_depth", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(gap, "distance_km", "r_id"))
+    for out, k in ((spatial.knn(df, 100.0, 4, [gap], by=["depth"]), 4), (spatial.knn(df, 100.0, 60, [gap], by=["depth"]), 60)):
+        want = spatial.radius_self_join(df, 100.0).withColumn("rank", place).where(F.col("rank") <= k)
+        assert sorted(map(str, out.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_knn_meets_groups_not_rows(spark):
+    df = spark.range(3000).select("id", F.lit(1.0).alias("lat"), (F.col("id") % 3 / 10.0).alias("lon"))
+    out = spatial.knn(df, 500.0, 3)
+    assert out.count() == 9000
+    # pairs of rows would be nine million; the widest step has the rows and their neighbours
+    assert _rows_joined(out) <= 20_000

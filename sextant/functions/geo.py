@@ -26,10 +26,10 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Initial bearing, 0 to 360, clockwise from north."""
+    """Initial bearing, 0 to 360, clockwise from north; a hair west of north rounds to 360."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
     angle = F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d)))
-    return F.pmod(angle + 360.0, F.lit(360.0))
+    return F.when(angle < 0, angle + 360.0).otherwise(angle)
 
 
 def destination_point(lat: Column, lon: Column, bearing: Column, km: Column) -> tuple[Column, Column]:

@@ -72,3 +72,17 @@ def test_knn_meets_groups_not_rows(spark):
     assert out.count() == 9000
     # pairs of rows would be nine million; the widest step has the rows and their neighbours
     assert _rows_joined(out) <= 20_000
+
+
+def test_storm_water_leaves_the_edge_to_plain_subtraction(spark):
+    # -6.1 + 16.1 is a hair over ten degrees, -120.5 + 130.5 is ten
+    points = spark.createDataFrame([(0.0, -16.1, 5.0), (0.0, -130.5, 7.0), (0.0, 179.5, 9.0)], "lat double, lon double, v double")
+    storms = spark.createDataFrame([("a", 0.0, -6.1), ("b", 0.0, -120.5), ("c", 0.0, -170.5)], "id string, lat double, lon double")
+    assert {r.id: r.water for r in assets.storm_water(storms, points, "v").collect()} == {"a": 26.0, "b": 7.0, "c": 9.0}
+
+
+def test_bearing_of_a_hair_west_of_north(spark):
+    # beyond the pole the meridian of 160 W is that of 20 E
+    df = spark.createDataFrame([(10.0, -160.0), (10.0, 19.0), (60.0, 20.0)], "lat double, lon double")
+    over, west, north = [r.bearing for r in spatial.with_bearing(df, 10.0, 20.0).collect()]
+    assert over == 360.0 and 270 < west < 271 and north == 0.0

@@ -97,7 +97,9 @@ def storm_water(storms: DataFrame, points: DataFrame, value: str, degrees: float
     held = points.where(F.col(value).isNotNull()).select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(value).alias("_v"), cell("lat").alias("_cy"), F.pmod(cell("lon"), F.lit(n)).alias("_cx"))
     near = lambda c: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: cell(c) + k))
     asked = storms.select("id", "lat", "lon", near("lat").alias("_cy")).select("*", near("lon").alias("_x")).withColumn("_cx", F.pmod("_x", F.lit(n))).drop("_x")
-    gap = F.abs(F.pmod(F.col("_lon") - F.col("lon") + 180.0, F.lit(360.0)) - 180.0)
+    # no sums before the comparison: on the box's edge their rounding would decide
+    apart = F.abs(F.col("_lon") - F.col("lon"))
+    gap = F.least(apart, 360.0 - apart)
     met = asked.join(held, ["_cx", "_cy"]).where((gap <= degrees) & (F.abs(F.col("_lat") - F.col("lat")) <= degrees))
     means = met.groupBy("id").agg(F.avg("_v").alias("_mean"))
     return storms.join(means, "id", "left").withColumn("water", F.coalesce("_mean", F.lit(default))).drop("_mean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.functions.geo import haversine_km
-from sextant.operators.spatial import radius_self_join
+from sextant.functions.geo import EARTH_KM, haversine_km
+from sextant.operators.spatial import radius_join, radius_self_join
 from sextant.storage import cut, discard
 
 #: WMO weather interpretation codes.
@@ -111,11 +112,33 @@ def outranked(edges: DataFrame) -> DataFrame | None:
 
 
 def thin(points: DataFrame, km: float) -> DataFrame:
-    """Greedy thinning by score: a row stays if no row that stays is within ``km`` and before it (higher score, then id)."""
-    todo = cut(points.select("id", "lat", "lon", "score"), "thin")
-    pairs = radius_self_join(todo, km)
-    before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
-    gone = outranked(pairs.where(before).select("id", F.col("r_id").alias("rival")))
+    """Greedy thinning by score: a row stays if no row that stays is within ``km`` and before it (higher score, then id). A row without
+    a place or a score is nobody's rival and stays.
+
+    Rows stand in cells of which any two points are within ``km``, so only a cell's first can stay next; it does if it is before the
+    firsts of all cells that reach within ``km`` of it. What lies near those that stay goes, and the others are looked at again. Pairs are
+    of firsts, and of rows with the few that can stay near them: rows with rows never meet.
+    """
+    first, width = F.struct((-F.col("score")).alias("s"), "id"), 0.499 * math.degrees(km / EARTH_KM)
+    row = F.floor((F.col("lat") + 90) / width)
+    # the widest of a row of cells is where it comes nearest the equator
+    south = row * width - 90
+    widest = F.cos(F.radians(F.when((south <= 0) & (south + width >= 0), 0.0).otherwise(F.least(F.abs(south), F.abs(south + width)))))
+    across = F.greatest(F.lit(1.0), F.ceil(360 * widest / width).cast("double"))
+    column = F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360.0 * across)
+    whole = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("score").isNotNull()
+    todo = cut(points.where(whole).select("id", "lat", "lon", "score", row.alias("_row"), column.alias("_col")), "thin")
+    gone = None
+    while not todo.isEmpty():
+        firsts = cut(todo.groupBy("_row", "_col").agg(F.min_by(F.struct("id", "lat", "lon", "score"), first).alias("f")).select("f.*"), "firsts")
+        before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
+        behind = radius_self_join(firsts, 2 * km).where(before).select("id").distinct()
+        stay = cut(firsts.join(behind, "id", "left_anti"), "stay")
+        near = cut(radius_join(stay.select("id", "lat", "lon"), todo.select("id", "lat", "lon"), km).where("id <> r_id").select(F.col("r_id").alias("id")).distinct(), "thin")
+        former, todo = todo, cut(todo.join(near, "id", "left_anti").join(stay.select("id"), "id", "left_anti"), "thin")
+        gone = near if gone is None else gone.union(near)
+        for done in (former, firsts, stay):
+            discard(done)
     return points if gone is None else points.join(gone, "id", "left_anti")
 
 

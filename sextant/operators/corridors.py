@@ -152,6 +152,24 @@ def _near(rows: DataFrame, others: DataFrame, cells: float, by: Sequence[str]) -
     return met.where((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2 < cells * cells).drop("_sx", "_sy")
 
 
+def _distances(places: DataFrame, others: DataFrame, cells: float) -> DataFrame:
+    """x, y, distance: how far the nearest of ``others`` (x, y) lies from each place, in cells, where that is less than ``cells``."""
+    reach = math.ceil(cells)
+    ways = sorted((i * i + j * j, i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j < cells * cells)
+
+    def kernel(a: Arrays, there: np.ndarray) -> Arrays:
+        other = a["_other"] == 1
+        best = np.full(shifted(other, 0, 0, reach).shape, _INFINITE)
+        for square, i, j in ways:
+            found = shifted(other, i, j, reach)
+            best[found & (best > square)] = square
+        return {"distance": np.sqrt(best), "held": (best < _INFINITE) & (shifted(a["_place"], 0, 0, reach) == 1)}
+
+    flag = lambda rows, place: rows.select(*_whole(rows), F.lit(place).alias("_place"), F.lit(1.0 - place).alias("_other"))
+    both = flag(places, 1.0).union(flag(others, 0.0)).groupBy("x", "y").agg(F.max("_place").alias("_place"), F.max("_other").alias("_other"))
+    return blockwise(both, reach, kernel, "distance double", ("_place", "_other"), keep="held")
+
+
 def deposition_zones(cells: DataFrame, paths: DataFrame, size: float = 30.0, limit: int | None = None) -> DataFrame:
     """start_id, branch, step, x, y, kind, priority: where what slides down the paths comes to rest.
 
@@ -328,9 +346,8 @@ def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: floa
     last = int(reach // (size * spacing))
     ring = lambda name: F.explode(F.sequence(F.lit(-last), F.lit(last))).alias(name)
     near = cases.select(*_whole(cases, "case_id"), ring("_i")).select("*", ring("_j")).withColumn("metres", F.sqrt(F.col("_i") ** 2 + F.col("_j") ** 2) * float(size * spacing)).where(F.col("metres") <= reach)
-    at = near.select("case_id", (F.col("x") + F.col("_i") * spacing).alias("x"), (F.col("y") + F.col("_j") * spacing).alias("y"), "metres").join(ground, ["x", "y"])
-    places = at.select("x", "y").distinct()
-    wet = _near(places, water.select(*_whole(water)).distinct(), 501.0 / size, []).groupBy("x", "y").agg((F.min(F.sqrt((F.col("x") - F.col("o_x")) ** 2 + (F.col("y") - F.col("o_y")) ** 2)) * size).alias("_wet"))
+    at = near.select("case_id", (F.col("x") + F.col("_i") * spacing).alias("x"), (F.col("y") + F.col("_j") * spacing).alias("y"), "metres").hint("merge").join(ground, ["x", "y"])
+    wet = _distances(ground.select("x", "y"), water, 501.0 / size).select("x", "y", (F.col("distance") * size).alias("_wet"))
     m, wet_m = F.col("metres"), F.col("_wet")
     factors = {
         "flat": 1 - F.col("slope") / steepest_deg,
@@ -339,16 +356,18 @@ def rest_points(cells: DataFrame, cases: DataFrame, water: DataFrame, size: floa
         "interval": F.when(m < 200, 0.3).when(m <= 3000, 0.9).otherwise(F.greatest(F.lit(0.2), 0.6 - (m - 3000) / 5000)),
     }
     weighed = [F.struct(F.lit(name).alias("name"), value.alias("value"), *[F.lit(x).alias(c) for c, x in zip(("weight", "strong", "named"), weights[name], strict=True)]) for name, value in factors.items()]
-    scored = at.join(wet, ["x", "y"], "left").withColumn("_f", F.array(*weighed))
+    scored = at.hint("merge").join(wet, ["x", "y"], "left").withColumn("_f", F.array(*weighed))
     strong = F.size(F.filter("_f", lambda f: f["value"] > f["strong"]))
     score = F.aggregate("_f", F.lit(REST_BASE), lambda total, f: total + f["value"] * f["weight"])
     why = F.transform(F.filter("_f", lambda f: f["value"] > f["named"]), lambda f: f["name"])
     kept = scored.where(strong >= 2).select("case_id", "x", "y", score.alias("score"), "slope", "metres", why.alias("reasons")).where(F.col("score") >= REST_LEAST)
-    kept = cut(kept.withColumn("id", F.concat_ws(":", F.col("case_id").cast("string"), "x", "y")), "rest")
-    order = lambda p: F.struct(-F.col(f"{p}score"), F.col(f"{p}y"), F.col(f"{p}x"))
-    rivals = _near(kept.select("id", "case_id", "x", "y", "score"), kept.select("id", "case_id", "x", "y", "score"), thin_m / size, ["case_id"])
-    gone = rollups.outranked(rivals.where(order("o_") < order("")).select("id", F.col("o_id").alias("rival")))
-    out = kept if gone is None else kept.join(gone, "id", "left_anti")
+    # a case's points are few, so they are gone through in order, each held against those that stay
+    near = lambda p, o: (p["x"] - o["x"]) ** 2 + (p["y"] - o["y"]) ** 2 < (thin_m / size) ** 2
+    point = F.struct((-F.col("score")).alias("_worse"), "y", "x", "score", "slope", "metres", "reasons")
+    points = kept.groupBy("case_id").agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    none = F.slice("_p", 1, 0)
+    stay = F.aggregate("_p", none, lambda held, p: F.when(F.exists(held, lambda o: near(p, o)), held).otherwise(F.concat(held, F.array(p))))
+    out = points.select("case_id", F.explode(stay).alias("p")).select("case_id", *[f"p.{c}" for c in ("x", "y", "score", "slope", "metres", "reasons")])
     if limit is not None:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "y", "x"))).where(F.col("_n") <= limit).drop("_n")
-    return out.drop("id")
+    return out

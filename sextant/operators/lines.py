@@ -186,30 +186,34 @@ def sampled_lines(vertices: DataFrame, cells: DataFrame, spacing: float = 30.0,
     v = v.withColumn("_length", length).withColumn("_from", F.coalesce(F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     low, high = F.ceil(F.col("_from") / spacing), F.ceil((F.col("_from") + F.col("_length")) / spacing) - 1
     on = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
-    metres = F.when(F.col("_x").isNull(), F.array(F.col("_from"))).otherwise(F.transform(on, lambda k: k * float(spacing)))
-    each = v.select(*line, "x", "y", "_x", "_y", "_from", "_length", F.explode(metres).alias("metres"))
+    # each multiple lies on one segment, and the last vertex behind all of them, so samples are numbered as they are laid
+    at = lambda k, metres: F.struct(k.alias("sample"), metres.alias("metres"))
+    laid = F.when(F.col("_x").isNull(), F.array(at(low, F.col("_from")))).otherwise(F.transform(on, lambda k: at(k, k * float(spacing))))
+    each = v.select(*line, "x", "y", "_x", "_y", "_from", "_length", F.explode(laid).alias("_s")).select(*line, "x", "y", "_x", "_y", "_from", "_length", "_s.sample", "_s.metres")
     part = F.when(F.col("_length") > 0, (F.col("metres") - F.col("_from")) / F.col("_length")).otherwise(0.0)
     # whole numbers stay whole: nine decimals of a cell
     point = lambda c: F.round(F.col(c) + part * (F.coalesce(F.col(f"_{c}"), F.col(c)) - F.col(c)), 9)
-    points = each.select(*line, "metres", point("x").alias("x"), point("y").alias("y")).withColumns({"_fx": F.col("x") - F.floor("x"), "_fy": F.col("y") - F.floor("y")})
-    share = lambda f, k: F.col(f) if k else 1 - F.col(f)
-    around = F.array(*[F.struct((F.floor("x") + i).alias("cx"), (F.floor("y") + j).alias("cy"), (share("_fx", i) * share("_fy", j)).alias("weight")) for i in (0, 1) for j in (0, 1)])
-    corners = points.select(*line, "metres", "x", "y", F.explode(F.filter(around, lambda c: c["weight"] > 0)).alias("c")).select(*line, "metres", "x", "y", "c.*")
-    held = cells.where("v IS NOT NULL").select(*key, F.col("x").cast("long").alias("cx"), F.col("y").cast("long").alias("cy"), F.col("v").cast("double").alias("_v"))
-    met = corners.join(held, [*key, "cx", "cy"], "left").groupBy(*line, "metres", "x", "y")
-    value = F.sum(F.col("_v") * F.col("weight")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("weight")))
-    sample = F.row_number().over(Window.partitionBy(*line).orderBy("metres")) - 1
-    return met.agg(value.alias("v")).select(*line, sample.cast("long").alias("sample"), "metres", "x", "y", "v")
+    points = each.select(*line, "sample", "metres", point("x").alias("x"), point("y").alias("y")).withColumns({"cx": F.floor("x"), "cy": F.floor("y")})
+    # cells are few beside samples: each is sent to the four squares of which it is a corner, and a point meets its square once
+    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
+    sent = F.explode(F.array(*[F.struct((F.col("x").cast("long") - i).alias("cx"), (F.col("y").cast("long") - j).alias("cy"), F.lit(n).alias("n")) for n, (i, j) in enumerate(corners)])).alias("c")
+    squares = cells.where("v IS NOT NULL").select(*key, F.col("v").cast("double").alias("_v"), sent).groupBy(*key, "c.cx", "c.cy").agg(*[F.max(F.when(F.col("c.n") == n, F.col("_v"))).alias(f"_v{n}") for n in range(4)])
+    share = lambda c, k: F.col(c) - F.col(f"c{c}") if k else 1 - (F.col(c) - F.col(f"c{c}"))
+    weights = [share("x", i) * share("y", j) for i, j in corners]
+    held = [(weights[n] > 0) & F.col(f"_v{n}").isNotNull() for n in range(4)]
+    total, weight = (sum((F.when(held[n], x).otherwise(0.0) for n, x in enumerate(of)), F.lit(0.0)) for of in ([F.col(f"_v{n}") * weights[n] for n in range(4)], weights))
+    met = points.join(squares.hint("shuffle_hash"), [*key, "cx", "cy"], "left")
+    return met.select(*line, "sample", "metres", "x", "y", F.when(weight > 0, F.try_divide(total, weight)).alias("v"))
 
 
 def line_profiles(samples: DataFrame) -> DataFrame:
     """length_m, points, lowest, highest, ascent, descent and steepest (rise over run) of each line of ``sampled_lines``; points without a value are passed over."""
     line = [*grid_key(samples), "line_id"]
-    w = Window.partitionBy(*line).orderBy("metres")
-    rise, run = F.col("v") - F.lag("v").over(w), F.col("metres") - F.lag("metres").over(w)
-    known = samples.where("v IS NOT NULL").withColumns({"_rise": rise, "_run": run})
-    held = known.groupBy(*line).agg(
-        F.min("v").alias("lowest"), F.max("v").alias("highest"), F.coalesce(F.sum(F.greatest("_rise", F.lit(0.0))), F.lit(0.0)).alias("ascent"),
-        F.coalesce(F.sum(F.greatest(-F.col("_rise"), F.lit(0.0))), F.lit(0.0)).alias("descent"), F.max(F.when(F.col("_run") > 0, F.abs(F.col("_rise") / F.col("_run")))).alias("steepest"),
+    w = Window.partitionBy(*line).orderBy("metres").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("v").isNotNull(), F.struct("v", "metres")), ignorenulls=True).over(w)
+    seen = samples.select(*line, "metres", "v", before.alias("_b")).withColumns({"_rise": F.col("v") - F.col("_b.v"), "_run": F.col("metres") - F.col("_b.metres")})
+    climb = lambda x: F.when(F.count("v") > 0, F.coalesce(F.sum(F.greatest(x, F.lit(0.0))), F.lit(0.0)))
+    return seen.groupBy(*line).agg(
+        F.max("metres").alias("length_m"), F.count("*").alias("points"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
+        climb(F.col("_rise")).alias("ascent"), climb(-F.col("_rise")).alias("descent"), F.max(F.when(F.col("_run") > 0, F.abs(F.col("_rise") / F.col("_run")))).alias("steepest"),
     )
-    return samples.groupBy(*line).agg(F.max("metres").alias("length_m"), F.count("*").alias("points")).join(held, line, "left")

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.operators import assets, corridors, rollups, spatial
+from sextant.operators import assets, corridors, lines, rollups, spatial
 from sextant.plans.views import view
 from sextant.storage import cut
 
@@ -132,3 +132,13 @@ def test_distance_to_the_nearest_equals_all_pairs(spark):
     out = corridors._distances(spark.createDataFrame(list(places), "x int, y int"), spark.createDataFrame(list(others), "x int, y int"), 16.7)
     want = {p: min(math.hypot(p[0] - o[0], p[1] - o[1]) for o in others) for p in places}
     assert {(r.x, r.y): round(r.distance, 9) for r in out.collect()} == {p: round(d, 9) for p, d in want.items() if d < 16.7}
+
+
+def test_samples_are_numbered_without_a_window_over_them(spark):
+    cells = spark.createDataFrame([(x, y, float(x * y)) for x in range(5) for y in range(3) if (x, y) != (2, 1)], "x int, y int, v double")
+    drawn = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 3.5, 1.0), (1, 3, 3.5, 1.0), (2, 1, 9.0, 9.0), (3, 1, 2.0, 2.0)], "line_id long, seq long, x double, y double")
+    out = lines.sampled_lines(drawn, cells)
+    assert "row_number" not in _plan(out)
+    got = {(r.line_id, r.sample): (round(r.metres, 6), r.v) for r in out.collect()}
+    assert [got[1, k][0] for k in range(5)] == [0.0, 30.0, 60.0, 90.0, round(30 * math.hypot(3.5, 1), 6)]
+    assert len(got) == 7 and got[1, 0][1] == 0.0 and got[1, 4][1] == 3.5 and got[2, 0] == (0.0, None) and got[3, 0] == (0.0, 4.0)

@@ -117,7 +117,9 @@ def asset_links(assets: DataFrame) -> DataFrame:
         near = spatial.knn(rows.where(F.col("type").isin(list(kinds))), math.nextafter(km, 0.0), k, of=supply)
         return near.select("id", "r_id", F.lit(kind).alias("kind"), "distance_km")
 
-    between = spatial.radius_join(supply, supply, 800.0).where("id < r_id")
+    # every pair is a row of the result, so small files are dealt to all tasks first
+    dealt = supply.repartition(int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    between = spatial.radius_join(dealt, supply, 800.0).where("id < r_id")
     lines = between.select("id", "r_id", F.when(F.col("distance_km") < 400, "ac_line").otherwise("dc_line").alias("kind"), "distance_km")
     links = nearest(COMPUTE, 400.0, 3, "fiber").unionByName(lines).unionByName(nearest(["transformer"], 300.0, 2, "ac_line"))
     per = F.when(F.col("kind") == "fiber", 20.0).otherwise(30.0)

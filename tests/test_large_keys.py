@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.operators import assets, corridors, lines, rollups, spatial
+from sextant.operators import agreement, assets, corridors, lines, rollups, spatial
 from sextant.plans.views import view
 from sextant.storage import cut
 
@@ -142,3 +142,23 @@ def test_samples_are_numbered_without_a_window_over_them(spark):
     got = {(r.line_id, r.sample): (round(r.metres, 6), r.v) for r in out.collect()}
     assert [got[1, k][0] for k in range(5)] == [0.0, 30.0, 60.0, 90.0, round(30 * math.hypot(3.5, 1), 6)]
     assert len(got) == 7 and got[1, 0][1] == 0.0 and got[1, 4][1] == 3.5 and got[2, 0] == (0.0, None) and got[3, 0] == (0.0, 4.0)
+
+
+def test_paths_never_broadcast_the_pointers(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name):
+        plans.append(_plan(df))
+        return cut(df, name)
+
+    monkeypatch.setattr(corridors, "cut", noted)
+    pointers = spark.range(20).select("id", F.lit(0).cast("long").alias("y")).select(F.col("id").alias("x"), "y", (F.col("id") + 1).alias("to_x"), F.col("y").alias("to_y"))
+    starts = spark.createDataFrame([(1, 0, 0), (2, 15, 0)], "case long, x long, y long")
+    assert corridors.follow(pointers, starts, ["case"]).count() == 21 + 6
+    assert not any("Broadcast" in p for p in plans)
+
+
+def test_links_of_supply_sites_are_dealt_to_all_tasks(spark):
+    sites = spark.range(40).select(F.concat(F.lit("as:"), "id").alias("id"), F.lit("substation").alias("type"), (F.col("id") / 100.0).alias("lat"), F.lit(1.0).alias("lon")).coalesce(1)
+    out = agreement.asset_links(sites)
+    assert out.count() == 40 * 39 // 2 and "REPARTITION_BY_NUM" in _plan(out)

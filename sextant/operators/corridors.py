@@ -56,19 +56,20 @@ def follow(pointers: DataFrame, starts: DataFrame, ids: Sequence[str], most: int
     starts: the columns ``ids``, x, y (and grid_id, where the pointers have it). Pointers must not go in circles.
     """
     key = grid_key(pointers)
+    # a grid's pointers pack into small files, from whose size Spark would broadcast them
     known = [cut(starts.select(*ids, F.lit(0).cast("long").alias("step"), *_whole(starts, *key)), "follow")]
     jump, span = cut(pointers, "jump"), 1
     while most is None or span <= most:
         so_far = known[0]
         for part in known[1:]:
             so_far = so_far.union(part)
-        further = so_far.join(jump, [*key, "x", "y"]).select(*ids, (F.col("step") + span).alias("step"), *key, F.col("to_x").alias("x"), F.col("to_y").alias("y"))
+        further = so_far.join(jump.hint("merge"), [*key, "x", "y"]).select(*ids, (F.col("step") + span).alias("step"), *key, F.col("to_x").alias("x"), F.col("to_y").alias("y"))
         part = cut(further if most is None else further.where(F.col("step") <= most), "follow")
         if part.isEmpty():
             break
         known.append(part)
         then = jump.select(*key, F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("to_x").alias("_x"), F.col("to_y").alias("_y"))
-        former, jump = jump, cut(jump.join(then, [*key, "to_x", "to_y"]).select(*key, "x", "y", F.col("_x").alias("to_x"), F.col("_y").alias("to_y")), "jump")
+        former, jump = jump, cut(jump.join(then.hint("merge"), [*key, "to_x", "to_y"]).select(*key, "x", "y", F.col("_x").alias("to_x"), F.col("_y").alias("to_y")), "jump")
         discard(former)
         span *= 2
     discard(jump)

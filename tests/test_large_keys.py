@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sextant.operators import agreement, assets, corridors, lines, rollups, spatial
+from sextant.plans import registry
 from sextant.plans.views import view
 from sextant.storage import cut
 
@@ -162,3 +163,35 @@ def test_links_of_supply_sites_are_dealt_to_all_tasks(spark):
     sites = spark.range(40).select(F.concat(F.lit("as:"), "id").alias("id"), F.lit("substation").alias("type"), (F.col("id") / 100.0).alias("lat"), F.lit(1.0).alias("lon")).coalesce(1)
     out = agreement.asset_links(sites)
     assert out.count() == 40 * 39 // 2 and "REPARTITION_BY_NUM" in _plan(out)
+
+
+def _crowd(spark, n):
+    """Rows at five places, most of them at two that lie near each other."""
+    places = [(0.0, 0.0), (0.0, 0.5), (-0.0, 0.5), (1.0, 179.9), (1.0, -179.9), (80.0, 20.0)]
+    rows = [(i, *places[i % 2 if i % 10 else i // 10 % 6]) for i in range(n)] + [(n, None, 1.0)]
+    return rows[:-1], spark.createDataFrame(rows, "id long, lat double, lon double")
+
+
+def test_crowded_places_meet_as_one_and_equal_all_pairs(spark):
+    rows, df = _crowd(spark, 700)
+    out = spatial.radius_self_join(df, 100.0, decimals=6)
+    assert _rows_joined(out) < 100  # of 400,000 pairs and more
+    km = {(p, q): 12742.0 * math.asin(math.sqrt(math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2)) for p in {r[1:] for r in rows} for q in {r[1:] for r in rows}}
+    want = sorted((a[0], b[0], round(km[a[1:], b[1:]], 6)) for a in rows for b in rows if a[0] != b[0] and km[a[1:], b[1:]] <= 100)
+    assert sorted(tuple(r) for r in out.select("id", "r_id", "distance_km").collect()) == want
+
+
+def test_crowded_cells_are_dealt_and_lose_no_pair(spark, monkeypatch):
+    rows, df = _crowd(spark, 400)
+    want = sorted(tuple(r) for r in spatial.radius_self_join(df, 100.0).select("id", "r_id").collect())
+    monkeypatch.setattr(spatial, "GATHER", 7)
+    monkeypatch.setattr(spatial, "DEAL", 20)
+    assert sorted(tuple(r) for r in spatial.radius_self_join(df, 100.0).select("id", "r_id").collect()) == want
+    by_row = spatial.radius_join(df, df, F.when(F.col("id") < 200, 100.0).otherwise(1.0), most_km=100.0)
+    assert by_row.where("id <> r_id AND id >= 200 AND distance_km > 1").isEmpty() and not by_row.where("id < 200 AND distance_km > 1").isEmpty()
+
+
+def test_undirected_pairs_are_not_shuffled(spark, small):
+    pairs = registry.queries()["u4_undirected_pairs"](spark, small)
+    assert pairs.count() == pairs.distinct().count()
+    assert _plan(pairs).find("Exchange") > _plan(pairs).find("SortMergeJoin")  # none above the join

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,6 +87,41 @@ def _linked(sides: DataFrame, key: list[str], group: list[str]) -> tuple[DataFra
     return named, ends
 
 
+def _rings_in_blocks(linked: DataFrame, key: list[str], block: int) -> DataFrame:
+    """``linked`` (key, y, x, side, own, py, px, ps: the side before) with hy, hx, hs and step: the least side of its ring, and how many steps that lies
+    back. Only rings that lie in one block have them, ``step`` is -1 for the others, which are left to ``ranked``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["y"].iloc[0]) // block * block, int(pdf["x"].iloc[0]) // block * block
+        y, x, py, px = (pdf[c].to_numpy(np.int64) - corner for c, corner in (("y", top), ("x", left), ("py", top), ("px", left)))
+        inside = (py >= 0) & (py < block) & (px >= 0) & (px < block)
+        node = (y * block + x) * 4 + pdf["side"].to_numpy(np.int64)
+        row = np.full(block * block * 4, -1)
+        row[node] = np.arange(len(node))
+        own = np.arange(len(node))
+        prev = np.where(inside, row[np.where(inside, (py * block + px) * 4 + pdf["ps"].to_numpy(np.int64), 0)], own)
+        # the least side within 2^k steps back, and whether the walk back leaves the block
+        at, low, leaves = prev, np.minimum(node, node[prev]), ~inside
+        for _ in range(len(node).bit_length()):
+            low, leaves, at = np.minimum(low, low[at]), leaves | leaves[at], at[at]
+        head = row[low]
+        first = (own == head) | leaves
+        at, step = np.where(first, own, prev), np.where(first, 0, 1)
+        for _ in range(len(node).bit_length()):
+            step, at = step + step[at], at[at]
+        held = pdf.drop(columns=["_by", "_bx"])
+        return held.assign(hy=head_of(pdf, "y", head), hx=head_of(pdf, "x", head), hs=head_of(pdf, "side", head), step=np.where(leaves, -1, step))
+
+    def head_of(pdf: pd.DataFrame, column: str, head: np.ndarray) -> np.ndarray:
+        return pdf[column].to_numpy(np.int64)[head]
+
+    names = [*key, "y", "x", "side", "own", "py", "px", "ps"]
+    types = dict(linked.dtypes)
+    schema = ", ".join([f"{c} {types[c]}" for c in names] + ["hy long, hx long, hs int, step long"])
+    dealt = linked.select(*names, F.floor(F.col("y") / block).alias("_by"), F.floor(F.col("x") / block).alias("_bx"))
+    return dealt.groupBy(*key, "_by", "_bx").applyInPandas(run, schema)
+
+
 def zone_outlines(components_of: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rings around each component (x, y, component, grid_id if any): component, ring, step, x, y, sides, hole, area.
 
@@ -98,8 +134,15 @@ def zone_outlines(components_of: DataFrame, block: int = BLOCK) -> DataFrame:
     named, ends = _linked(_sides(components_of, "component", block), key, group)
     own_cell = ((F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).cast("int")
     linked = named.join(ends, [*key, *group, "t0", "t1"]).groupBy("node", "own").agg(F.max_by("prev", own_cell).alias("prev"))
-    linked = cut(linked, "linked")
-    order = cut(ranked(linked).join(linked, "node"), "outlines")
+    flat = linked.select(*[F.col(f"node.{c}").alias(c) for c in (*key, "y", "x", "side")], "own", F.col("prev.y").alias("py"), F.col("prev.x").alias("px"), F.col("prev.side").alias("ps"))
+    # most rings lie in one block and close there; the others are ranked over all blocks
+    within = cut(_rings_in_blocks(flat, key, block), "linked")
+    side_at = lambda y, x, side: F.struct(*key, F.col(y).alias("y"), F.col(x).alias("x"), F.col(side).alias("side"))
+    sides = within.select(side_at("y", "x", "side").alias("node"), "own", side_at("py", "px", "ps").alias("prev"), side_at("hy", "hx", "hs").alias("head"), "step")
+    across = sides.where("step < 0").select("node", "own", "prev")
+    parts = [sides.where("step >= 0"), ranked(across).join(across, "node")]
+    order = parts[0].select("node", "own", "prev", "head", "step").union(parts[1].select("node", "own", "prev", "head", "step"))
+    order = cut(order, "outlines")
     height = F.when(F.col("node.side") == BOTTOM, F.col("node.y") + 1).when(F.col("node.side") == TOP, -F.col("node.y")).otherwise(0)
     rings = order.groupBy("head").agg(F.count("*").alias("sides"), F.sum(height).alias("area"))
     turns = order.where(F.col("node.side") != F.col("prev.side")).join(rings, "head")

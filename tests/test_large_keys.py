@@ -195,3 +195,26 @@ def test_undirected_pairs_are_not_shuffled(spark, small):
     pairs = registry.queries()["u4_undirected_pairs"](spark, small)
     assert pairs.count() == pairs.distinct().count()
     assert _plan(pairs).find("Exchange") > _plan(pairs).find("SortMergeJoin")  # none above the join
+
+
+def test_rings_close_in_their_blocks_and_equal_those_of_one_block(spark, monkeypatch):
+    rng = random.Random(8)
+    cells = [(g, x, y, 1.0) for g in (1, 2) for x in range(-9, 24) for y in range(30) if rng.random() < 0.55 or x == 4]
+    seen = {}
+    ranked = lines.ranked
+
+    def counted(nodes):
+        seen["n"] = nodes.count()
+        return ranked(nodes)
+
+    monkeypatch.setattr(lines, "ranked", counted)
+    # one label a column of blocks' width: rings of many lengths, holes among them
+    of = spark.createDataFrame([(g, x, y, float(x // 16)) for g, x, y, _ in cells], "grid_id int, x long, y long, component double")
+    out = {}
+    for block in (8, 4096):
+        out[block] = sorted(tuple(r) for r in lines.zone_outlines(of, block=block).collect())
+        seen[block] = seen["n"]
+    assert out[8] == out[4096] and out[8]
+    whole = lines.zone_outlines(of.where("x >= 0 AND x < 16"), block=32)
+    assert whole.count() > 0 and seen["n"] == 0  # nothing is left to rank
+    assert seen[8] > 0

@@ -132,9 +132,9 @@ def thin(points: DataFrame, km: float) -> DataFrame:
     while not todo.isEmpty():
         firsts = cut(todo.groupBy("_row", "_col").agg(F.min_by(F.struct("id", "lat", "lon", "score"), first).alias("f")).select("f.*"), "firsts")
         before = (F.col("r_score") > F.col("score")) | ((F.col("r_score") == F.col("score")) & (F.col("r_id") < F.col("id")))
-        behind = radius_self_join(firsts, 2 * km).where(before).select("id").distinct()
+        behind = radius_join(firsts, firsts, 2 * km, gather=False).where(F.col("id") != F.col("r_id")).where(before).select("id").distinct()
         stay = cut(firsts.join(behind, "id", "left_anti"), "stay")
-        near = cut(radius_join(stay.select("id", "lat", "lon"), todo.select("id", "lat", "lon"), km).where("id <> r_id").select(F.col("r_id").alias("id")).distinct(), "thin")
+        near = cut(radius_join(stay.select("id", "lat", "lon"), todo.select("id", "lat", "lon"), km, gather=False).where("id <> r_id").select(F.col("r_id").alias("id")).distinct(), "thin")
         former, todo = todo, cut(todo.join(near, "id", "left_anti").join(stay.select("id"), "id", "left_anti"), "thin")
         gone = near if gone is None else gone.union(near)
         for done in (former, firsts, stay):

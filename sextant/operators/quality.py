@@ -72,7 +72,8 @@ def drift(long: DataFrame, least: int = 5, before: int = 100) -> DataFrame:
 
 def _with_base(long: DataFrame, before: int) -> DataFrame:
     w = _series().rowsBetween(-before, -1)
-    return long.select("*", F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("sd"), F.count("value").over(w).alias("n"))
+    # a z of exactly 2 or 3 hangs on the last bit: covar_pop adds (x - old mean) * (x - new mean), as stddev_pop of the SQL does and Spark's does not
+    return long.select("*", F.avg("value").over(w).alias("mean"), F.sqrt(F.covar_pop("value", "value").over(w)).alias("sd"), F.count("value").over(w).alias("n"))
 
 
 def _scored(based: DataFrame, least: int) -> DataFrame:

@@ -7,10 +7,11 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.operators import agreement, assets, corridors, lines, rollups, spatial
+from sextant.operators import agreement, assets, corridors, lines, quality, rollups, spatial
 from sextant.plans import registry
 from sextant.plans.views import view
 from sextant.storage import cut
+from tests.compare import same_rows
 
 
 def _plan(df):
@@ -218,3 +219,19 @@ def test_rings_close_in_their_blocks_and_equal_those_of_one_block(spark, monkeyp
     whole = lines.zone_outlines(of.where("x >= 0 AND x < 16"), block=32)
     assert whole.count() > 0 and seen["n"] == 0  # nothing is left to rank
     assert seen[8] > 0
+
+
+def test_drift_of_exactly_two_or_three_deviations_is_decided_as_in_sql(spark, duck):
+    series = [
+        [20.0, 22.0, 36.0, 24.0, 24.0, 10.0, 4.0, 20.0, 2.0],
+        [33.8, 35.0, 35.4, 33.8, 32.2, 37.4],
+        [36.2, 33.4, 32.2, 33.8, 35.8, 35.8, 32.2, 31.0],
+        [7.0, 7.0, 7.0, 7.0, 4.0, 4.0],
+        [999.0, 991.0, 1009.0, 987.0, 1023.0, 997.0, 1025.0],
+    ]
+    rows = [(f"st:{k}", "f", i, v) for k, values in enumerate(series) for i, v in enumerate(values)]
+    long = spark.createDataFrame(rows, "station_id string, field string, seq long, value double")
+    oracle = registry.oracle_sql()["v4_drift"]
+    given = ", ".join(f"('{s}', '{f}', {i}, {v}::DOUBLE)" for s, f, i, v in rows)
+    flags = quality.drift_flags(long).withColumn("z", F.round("z", 6))
+    same_rows(flags, duck, f"WITH long(station_id, field, seq, value) AS (VALUES {given}) " + oracle[oracle.index("SELECT station_id, field, seq, 'drift'") :])

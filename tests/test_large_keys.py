@@ -235,3 +235,29 @@ def test_drift_of_exactly_two_or_three_deviations_is_decided_as_in_sql(spark, du
     given = ", ".join(f"('{s}', '{f}', {i}, {v}::DOUBLE)" for s, f, i, v in rows)
     flags = quality.drift_flags(long).withColumn("z", F.round("z", 6))
     same_rows(flags, duck, f"WITH long(station_id, field, seq, value) AS (VALUES {given}) " + oracle[oracle.index("SELECT station_id, field, seq, 'drift'") :])
+
+
+def _z(values, value):
+    """z of a value against those before it: their plain sum by their number, and Welford's spread in their order."""
+    total = mean = spread = 0.0
+    for n, x in enumerate(values, 1):
+        total, before, mean = total + x, mean, mean + (x - mean) / n
+        spread += (x - before) * (x - mean)
+    return (value - total / len(values)) / math.sqrt(spread / len(values))
+
+
+def test_anomalies_of_exactly_two_or_three_deviations_take_the_spread_in_order(spark):
+    series = [
+        [5.2, 5.2, 5.2, 5.3, 5.2, 5.2, 5.2, 5.2, 5.3, 5.3, 5.1, 5.1, 5.2, 5.2, 5.2, 5.3, 5.4, 5.4, 5.3, 5.3, 5.4],
+        [6.2, 5.7, 6.7, 5.8, 5.1, 5.2, 6.0, 5.1, 6.8, 6.9, 5.6, 5.2, 5.8, 6.4, 6.1, 6.7, 6.5, 5.8, 5.2, 6.0, 7.1],
+        [5.4, 5.3, 5.2, 5.8, 6.8, 6.9, 5.7, 5.6, 6.1, 5.7, 6.1, 6.3, 6.4, 6.5, 5.7, 5.6, 6.9, 7.0, 6.7, 5.9, 4.4],
+        [5.1, 5.3, 5.5, 5.1, 5.2, 5.4, 5.6, 5.5, 5.3, 5.6, 5.4, 5.3, 5.3, 5.2, 5.3, 5.2, 5.6, 5.4, 5.4, 5.3, 5.8],
+    ]
+    rows = [(f"st:{k}", "f", i, v) for k, values in enumerate(series) for i, v in enumerate(values)]
+    long = spark.createDataFrame(rows, "station_id string, field string, seq long, value double").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq") * 3600))
+    want = {(f"st:{k}", i): z for k, values in enumerate(series) for i in (19, 20) if abs(z := _z(values[:i], values[i])) > 2}
+    got = {(r.station_id, r.seq): r for r in quality.anomalies(long).collect()}
+    assert {k: r.z for k, r in got.items()} == want
+    for key, r in got.items():
+        assert r.severity == ["info", "warning", "critical"][(abs(want[key]) > 3) + r.amplified]
+    assert sorted(round(z, 6) for (_, i), z in want.items() if i == 20) == [-3.0, 2.0, 3.0]

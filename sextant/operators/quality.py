@@ -148,21 +148,23 @@ def sessions(events: DataFrame, key: str, bad: Column, order: str = "seq") -> Da
 
 
 def trend(long: DataFrame, n: int = 20) -> DataFrame:
-    """Least-squares change per day over the last ``n`` values up to each row, for rows that have ``n``."""
+    """Least-squares change per day over the last ``n`` values up to each row, for rows that have ``n``; NaN where all are of one time."""
     return _with_trend(long, n).where(F.col("_n") == n).drop("_n")
 
 
 def _with_trend(long: DataFrame, n: int) -> DataFrame:
     w = _series().rowsBetween(-(n - 1), 0)
     day = F.unix_micros(F.col("ts").cast("timestamp")) / 86_400e6 - 19700
-    return long.select("*", F.regr_slope(F.col("value"), day).over(w).alias("slope_per_day"), F.count("*").over(w).alias("_n"))
+    # values all of one time have no slope: NaN as in the SQL's regr_slope, where Spark's gives null; null is left to rows without any time
+    flat = F.when(F.regr_count(F.col("value"), day).over(w) > 0, F.lit(float("nan")))
+    return long.select("*", F.coalesce(F.regr_slope(F.col("value"), day).over(w), flat).alias("slope_per_day"), F.count("*").over(w).alias("_n"))
 
 
 def anomalies(long: DataFrame, n: int = 20, before: int = 100, warn: float = 2.0, critical: float = 3.0, horizon_days: float = 1.0) -> DataFrame:
     """z-score of each value against up to ``before`` earlier ones of its series, with the trend of the last ``n``.
 
-    amplified: the trend goes the way the value has left its base. confidence: the share of ``before`` earlier values there are.
-    expected: the value carried on by the trend for ``horizon_days``. Rows below ``warn`` deviations are left out.
+    amplified: the trend goes the way the value has left its base; false where values of one time have none (NaN). confidence: the
+    share of ``before`` earlier values there are. expected: the value carried on by the trend for ``horizon_days``. Rows below ``warn`` deviations are left out.
     """
     z = F.abs(F.col("z"))
     scored = _scored(_with_base(_with_trend(long, n), before), 5).where((F.col("_n") == n) & (z > warn))

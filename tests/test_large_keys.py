@@ -261,3 +261,31 @@ def test_anomalies_of_exactly_two_or_three_deviations_take_the_spread_in_order(s
     for key, r in got.items():
         assert r.severity == ["info", "warning", "critical"][(abs(want[key]) > 3) + r.amplified]
     assert sorted(round(z, 6) for (_, i), z in want.items() if i == 20) == [-3.0, 2.0, 3.0]
+
+
+def test_values_all_of_one_time_have_no_slope_as_in_sql(spark, duck):
+    values = [5.1, 5.3, 5.5, 5.1, 5.2, 5.4, 5.6, 5.5, 5.3, 5.6, 5.4, 5.3, 5.3, 5.2, 5.3, 5.2, 5.6, 5.4, 5.4, 7.3, 3.1, 5.5, 9.9]
+    # reports of one time, of one time but the last two, of no time but one, of no time
+    times = [[0] * 23, [0] * 21 + [5, 9], [None] * 22 + [7], [None] * 23]
+    rows = [(f"st:{k}", i, None if t is None else 1_700_000_000 + t * 3600, v) for k, ts in enumerate(times) for i, (t, v) in enumerate(zip(ts, values, strict=True))]
+    reports = spark.createDataFrame(rows, "station_id string, seq long, at long, water_temp double").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    given = ", ".join(f"('{s}', {i}, make_timestamp({'NULL' if t is None else t * 1_000_000}::BIGINT), {v}::DOUBLE)" for s, i, t, v in rows)
+    given = f"WITH measurements(station_id, seq, ts, water_temp) AS (VALUES {given})"
+    long = quality.to_long(reports, ["water_temp"])
+
+    slope = quality.trend(long).select("station_id", "seq", F.round("slope_per_day", 3).cast("string").alias("slope"))
+    oracle = registry.oracle_sql()["x1_trend"]
+    want = duck.execute(f"{given} {oracle[oracle.index('SELECT station_id, seq, round(s, 3)') :]}").fetchall()
+    text = lambda x: "none" if x is None else "NaN" if math.isnan(x) else str(x)
+    assert sorted((r.station_id, r.seq, r.slope or "none") for r in slope.collect()) == sorted((s, i, text(x)) for s, i, x in want)
+    assert {text(x) for s, _, x in want if s == "st:0"} == {"NaN"} and {text(x) for s, _, x in want if s == "st:3"} == {"none"}
+
+    out = quality.anomalies(long).select("station_id", "seq", "slope_per_day", "amplified", "severity", "expected")
+    oracle = registry.oracle_sql()["x1_anomalies"]
+    want = duck.execute(f"{given}, long AS (SELECT station_id, seq, ts, 'water_temp' AS field, water_temp AS value FROM measurements) {oracle[oracle.index(', t AS (SELECT') :]}")
+    names = [d[0] for d in want.description]
+    want = [dict(zip(names, r, strict=True)) for r in want.fetchall()]
+    number = lambda x: text(x if x is None or math.isnan(x) else round(x, 3))
+    form = lambda r: (r["station_id"], r["seq"], str(r["amplified"]), r["severity"], number(r["slope_per_day"]), number(r["expected"]))
+    assert sorted(form(r.asDict()) for r in out.collect()) == sorted(map(form, want))
+    assert len(want) == 12 and {r["amplified"] for r in want if r["station_id"] == "st:0"} == {False}

@@ -27,6 +27,12 @@ def grid_key(cells: DataFrame) -> list[str]:
     return ["grid_id"] if "grid_id" in cells.columns else []
 
 
+def meet(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Tables of cells joined by shuffles. Files of cells are far smaller than their rows, so on the size of its files a whole grid would
+    pass for small and be broadcast through the driver."""
+    return a.hint("merge").join(b.hint("merge"), list(on), how)
+
+
 def blockwise(cells: DataFrame, halo: int, kernel: Kernel, result: str, values: Sequence[str] = ("v",), keep: str | None = None, block: int = BLOCK) -> DataFrame:
     """grid_id (if any), x, y and the columns of ``result`` for each cell of ``cells``; ``keep`` names a result that selects
     the cells to return and isn't returned. A cell given twice counts with one of its values."""

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from sextant.functions.physics import kirpich_minutes
 from sextant.operators import graph
-from sextant.operators.blocks import BLOCK, blockwise, grid_key, labels, settle, shifted, window_sums
+from sextant.operators.blocks import BLOCK, blockwise, grid_key, labels, meet, settle, shifted, window_sums
 from sextant.storage import cut
 
 Arrays = Mapping[str, np.ndarray]
@@ -138,10 +138,10 @@ def components(mask: DataFrame, diagonal: bool = False, class_column: str | None
     ways = [(1, 0), (0, 1), *(((1, 1), (-1, 1)) if diagonal else ())]
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ways])).alias("s")
     sent = border.select(*key, "x", "y", "label", "class", step).select(*key, (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), F.col("label").alias("_from"), F.col("class").alias("_class"))
-    met = border.join(sent, [*key, "x", "y"]).where((F.col("_class") == F.col("class")) & (F.col("_from") != F.col("label")))
+    met = meet(border, sent, [*key, "x", "y"]).where((F.col("_class") == F.col("class")) & (F.col("_from") != F.col("label")))
     if not key:
         merged = graph.components(met.select(F.col("label").alias("u"), F.col("_from").alias("v"))).select(F.col("node").alias("label"), F.col("label").alias("group"))
-        return local.join(merged, "label", "left").select("x", "y", F.coalesce("group", "label").alias("component"))
+        return meet(local, merged, ["label"], "left").select("x", "y", F.coalesce("group", "label").alias("component"))
     # labels of several grids: nodes are numbered by grid and label
     node = lambda c: F.xxhash64(*key, F.col(c))
     merged = graph.components(met.select(node("label").alias("u"), node("_from").alias("v")))
@@ -153,7 +153,7 @@ def components(mask: DataFrame, diagonal: bool = False, class_column: str | None
 def zones(components_of: DataFrame, values: DataFrame, least: int = 3) -> DataFrame:
     """Box, cells and mean value of each component of at least ``least`` cells, grid by grid where there are several."""
     key = grid_key(components_of)
-    met = components_of.join(values.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v"), [*key, "x", "y"])
+    met = meet(components_of, values.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "v"), [*key, "x", "y"])
     out = met.groupBy(*key, "component").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("v").alias("mean"))
     return out.where(F.col("n") >= least)
 
@@ -331,15 +331,16 @@ def flood_risk(streams_of: DataFrame, slopes: DataFrame, runoff_m: float, size:
     """Stream cells with discharge (cubic metres a second: drained area times runoff over Kirpich's (1940) time of
     concentration, at least 60 s, for a path as long as the column ``length`` says, or where there is none as the area's side) and
     risk, half by discharge and half by slope (rise over run), each up to its full value; cells of a risk of at least
-    ``least``, with what weighs more."""
+    ``least``, with what weighs more, and with ``length`` where there is one."""
     key = grid_key(streams_of)
-    met = streams_of.join(slopes.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.tan(F.radians("slope")).alias("gradient")), [*key, "x", "y"])
+    length = ["length"] if "length" in streams_of.columns else []
+    met = meet(streams_of, slopes.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.tan(F.radians("slope")).alias("gradient")), [*key, "x", "y"])
     area = F.col("cells") * (size * size)
-    seconds = F.greatest(F.lit(60.0), 60 * kirpich_minutes(F.col("length") if "length" in streams_of.columns else F.sqrt(area), F.col("gradient")))
+    seconds = F.greatest(F.lit(60.0), 60 * kirpich_minutes(F.col("length") if length else F.sqrt(area), F.col("gradient")))
     out = met.withColumn("discharge", area * runoff_m / seconds)
     by_flow, by_slope = F.least(F.lit(1.0), F.col("discharge") / full_flow), F.least(F.lit(1.0), F.col("gradient") / full_slope)
     out = out.withColumn("risk", 0.5 * by_flow + 0.5 * by_slope).withColumn("reason", F.when(by_flow >= by_slope, "flow").otherwise("slope"))
-    return out.where(F.col("risk") >= least).select(*key, "x", "y", "cells", "discharge", "risk", "reason")
+    return out.where(F.col("risk") >= least).select(*key, "x", "y", "cells", *length, "discharge", "risk", "reason")
 
 
 def class_zones(cells: DataFrame, classes: DataFrame, least: int = 3, limit: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -347,7 +348,7 @@ def class_zones(cells: DataFrame, classes: DataFrame, least: int = 3, limit: int
     class, cells, mean value and box; the larger first, then the component."""
     key = grid_key(classes)
     long = lambda c: F.col(c).cast("long").alias(c)
-    placed = components(classes, class_column="class", block=block).join(classes.select(*key, long("x"), long("y"), "class"), [*key, "x", "y"]).join(cells.select(*key, long("x"), long("y"), "v"), [*key, "x", "y"])
+    placed = meet(meet(components(classes, class_column="class", block=block), classes.select(*key, long("x"), long("y"), "class"), [*key, "x", "y"]), cells.select(*key, long("x"), long("y"), "v"), [*key, "x", "y"])
     box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     out = placed.groupBy(*key, "component").agg(F.first("class").alias("class"), F.count("*").alias("n"), F.avg("v").alias("mean"), *box)
     out = out.where(F.col("n") >= least)
@@ -381,7 +382,7 @@ def divides(of_basins: DataFrame) -> DataFrame:
     key = grid_key(of_basins)
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("s")
     sent = of_basins.select(*key, "x", "y", F.col("basin").alias("other"), step).select(*key, (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"), "other")
-    return of_basins.join(sent, [*key, "x", "y"]).where("basin <> other").select(*key, "x", "y", "basin", "other").distinct()
+    return meet(of_basins, sent, [*key, "x", "y"]).where("basin <> other").select(*key, "x", "y", "basin", "other").distinct()
 
 
 def pools(filled: DataFrame, least: int = 3, least_volume: float = 0.5, cell_area: float = 900.0, block: int = BLOCK) -> DataFrame:
@@ -389,7 +390,7 @@ def pools(filled: DataFrame, least: int = 3, least_volume: float = 0.5, cell_are
     pools of at least ``least`` cells and ``least_volume``."""
     key = grid_key(filled)
     wet = filled.where("filled > v")
-    met = components(wet.select(*key, "x", "y"), diagonal=True, block=block).join(wet.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), (F.col("filled") - F.col("v")).alias("depth")), [*key, "x", "y"])
+    met = meet(components(wet.select(*key, "x", "y"), diagonal=True, block=block), wet.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), (F.col("filled") - F.col("v")).alias("depth")), [*key, "x", "y"])
     box = [F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")]
     out = met.groupBy(*key, "component").agg(F.count("*").alias("cells"), F.max("depth").alias("deepest"), (F.sum("depth") * cell_area).alias("volume"), *box)
     return out.where((F.col("cells") >= least) & (F.col("volume") >= least_volume))

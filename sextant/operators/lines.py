@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.operators.blocks import BLOCK, blockwise, grid_key, shifted
+from sextant.operators.blocks import BLOCK, blockwise, grid_key, meet, shifted
 from sextant.operators.grids import STEPS, streams
 from sextant.storage import cut, discard
 
@@ -195,7 +195,7 @@ def stream_lines(accumulated: DataFrame, least_cells: int, size: float = 30.0, b
     to = lambda c, axis: F.col(c) + F.get(F.array(*[F.lit(s[axis]) for s in STEPS]), F.col("direction"))
     ordered = streams(accumulated, least_cells, block).select(*key, "x", "y", "cells", "strahler")
     leads = accumulated.select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "direction")
-    wet = cut(ordered.join(leads, [*key, "x", "y"]).select("*", place(F.col("y"), F.col("x")).alias("node"), F.when(F.col("direction") >= 0, place(to("y", 1), to("x", 0))).alias("down")), "streams")
+    wet = cut(meet(ordered, leads, [*key, "x", "y"]).select("*", place(F.col("y"), F.col("x")).alias("node"), F.when(F.col("direction") >= 0, place(to("y", 1), to("x", 0))).alias("down")), "streams")
     donors = wet.where("down IS NOT NULL").groupBy(F.col("down").alias("node")).agg(F.count("*").alias("_n"), F.min("node").alias("prev"))
     linked = cut(wet.join(donors, "node", "left").select("node", "down", "direction", "cells", "strahler", F.when(F.col("_n") == 1, F.col("prev")).alias("prev")), "linked")
     order = cut(ranked(linked).join(linked.drop("prev"), "node"), "paths")

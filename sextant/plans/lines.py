@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators import grids, lines
+from sextant.operators.blocks import meet
 from sextant.plans.registry import _FILL, _REACH, _flow, _query, _r
 from sextant.plans.views import VIEWS, view, with_views
 
@@ -127,6 +128,6 @@ def _t15_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = view(spark, sf_dir, "relief")
     directions = grids.flow_direction(cells)
     lengths = grids.flow_lengths(directions)
-    rivers = grids.streams(grids.flow_accumulation(directions), 6).join(lengths, ["x", "y"])
-    out = grids.flood_risk(rivers, grids.slope_degrees(cells), 0.5).join(lengths, ["x", "y"])
+    rivers = meet(grids.streams(grids.flow_accumulation(directions), 6), lengths, ["x", "y"])
+    out = grids.flood_risk(rivers, grids.slope_degrees(cells), 0.5)
     return out.select("x", "y", F.round("length", 4).alias("length"), F.round("discharge", 4).alias("discharge"), _r("risk", "risk"), "reason")

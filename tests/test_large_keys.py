@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sextant.operators import agreement, assets, corridors, lines, quality, rollups, spatial
+from sextant.operators import agreement, assets, corridors, grids, lines, quality, rollups, spatial
 from sextant.plans import registry
 from sextant.plans.views import view
 from sextant.storage import cut
@@ -289,3 +289,11 @@ def test_values_all_of_one_time_have_no_slope_as_in_sql(spark, duck):
     form = lambda r: (r["station_id"], r["seq"], str(r["amplified"]), r["severity"], number(r["slope_per_day"]), number(r["expected"]))
     assert sorted(form(r.asDict()) for r in out.collect()) == sorted(map(form, want))
     assert len(want) == 12 and {r["amplified"] for r in want if r["station_id"] == "st:0"} == {False}
+
+
+def test_tables_of_cells_are_never_broadcast_on_the_size_of_their_files(spark, small):
+    for name in ("t15_flow_length", "t15_flood_risk", "t9_zones", "t10_class_zones"):
+        plan = _plan(registry.queries()[name](spark, small))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+    cells = spark.createDataFrame([(x, y, float((x - 2) ** 2 + (y - 2) ** 2)) for x in range(5) for y in range(5)], "x int, y int, v double")
+    assert "Broadcast" not in _plan(grids.pools(cut(grids.fill_depressions(cells), "filled"), 1, 0.0))

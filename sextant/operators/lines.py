@@ -7,10 +7,11 @@ Corners carry the coordinates of the cell to their lower right; y grows southwar
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -212,41 +213,170 @@ def stream_lines(accumulated: DataFrame, least_cells: int, size: float = 30.0, b
     return out.select(*[F.col(f"node.{k}").alias(k) for k in key], name("head").alias("path"), "step", F.col("node.x").alias("x"), F.col("node.y").alias("y"), "cells", "strahler", name("_p.down").alias("parent"), "metres")
 
 
-def sampled_lines(vertices: DataFrame, cells: DataFrame, spacing: float = 30.0, size: float = 30.0) -> DataFrame:
-    """line_id, sample, metres, x, y, v: points every ``spacing`` metres along lines, and their last vertices, with bilinear values.
+#: Fixed sizes: samples of a stretch of a segment, of a task's step, and of a block above which it is dealt to several keys.
+_STRETCH, _STEP, _DEAL = 1 << 16, 1 << 18, 1 << 20
+#: Fixed size: part of a cell by which stretches reach beyond their block, over what rounding may move a sample.
+_SPARE = 0.001
+_STRETCHES = ("x", "y", "_x", "_y", "_from", "_length", "_last", "_k", "_to", "_bx", "_by")
 
-    vertices: line_id, seq, x, y in cells (whole numbers are centres of cells; grid_id, where the cells have it, is part of
-    a line's name). A vertex's distance is the running sum of its line's segments, and each segment lays the multiples of ``spacing``
-    that fall on it. Of the four cells around a point those count that are there and have a weight; none of them, no value
-    (null). Lines of one vertex are one point; vertices with a null are left out.
-    """
-    key = grid_key(cells)
+
+def _stretches(vertices: DataFrame, key: list[str], spacing: float, size: float, block: int) -> DataFrame:
+    """The segments between ``vertices`` as far as a block's squares may hold their samples: where they begin and end, the distance along the line
+    to there, and samples _k to _to. Some samples at a block's rim are named by its neighbour too; the block that holds them counts them."""
     line = [*key, "line_id"]
     w = Window.partitionBy(*line).orderBy("seq", "x", "y")
     v = vertices.select(*line, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("seq IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
     v = v.withColumns({"_x": F.lead("x").over(w), "_y": F.lead("y").over(w)})
     length = F.coalesce(F.sqrt((F.col("_x") - F.col("x")) ** 2 + (F.col("_y") - F.col("y")) ** 2) * float(size), F.lit(0.0))
     v = v.withColumn("_length", length).withColumn("_from", F.coalesce(F.sum("_length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    low, high = F.ceil(F.col("_from") / spacing), F.ceil((F.col("_from") + F.col("_length")) / spacing) - 1
-    on = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
     # each multiple lies on one segment, and the last vertex behind all of them, so samples are numbered as they are laid
-    at = lambda k, metres: F.struct(k.alias("sample"), metres.alias("metres"))
-    laid = F.when(F.col("_x").isNull(), F.array(at(low, F.col("_from")))).otherwise(F.transform(on, lambda k: at(k, k * float(spacing))))
-    each = v.select(*line, "x", "y", "_x", "_y", "_from", "_length", F.explode(laid).alias("_s")).select(*line, "x", "y", "_x", "_y", "_from", "_length", "_s.sample", "_s.metres")
-    part = F.when(F.col("_length") > 0, (F.col("metres") - F.col("_from")) / F.col("_length")).otherwise(0.0)
-    # whole numbers stay whole: nine decimals of a cell
-    point = lambda c: F.round(F.col(c) + part * (F.coalesce(F.col(f"_{c}"), F.col(c)) - F.col(c)), 9)
-    points = each.select(*line, "sample", "metres", point("x").alias("x"), point("y").alias("y")).withColumns({"cx": F.floor("x"), "cy": F.floor("y")})
-    # cells are few beside samples: each is sent to the four squares of which it is a corner, and a point meets its square once
-    corners = [(i, j) for i in (0, 1) for j in (0, 1)]
-    sent = F.explode(F.array(*[F.struct((F.col("x").cast("long") - i).alias("cx"), (F.col("y").cast("long") - j).alias("cy"), F.lit(n).alias("n")) for n, (i, j) in enumerate(corners)])).alias("c")
-    squares = cells.where("v IS NOT NULL").select(*key, F.col("v").cast("double").alias("_v"), sent).groupBy(*key, "c.cx", "c.cy").agg(*[F.max(F.when(F.col("c.n") == n, F.col("_v"))).alias(f"_v{n}") for n in range(4)])
-    share = lambda c, k: F.col(c) - F.col(f"c{c}") if k else 1 - (F.col(c) - F.col(f"c{c}"))
-    weights = [share("x", i) * share("y", j) for i, j in corners]
-    held = [(weights[n] > 0) & F.col(f"_v{n}").isNotNull() for n in range(4)]
-    total, weight = (sum((F.when(held[n], x).otherwise(0.0) for n, x in enumerate(of)), F.lit(0.0)) for of in ([F.col(f"_v{n}") * weights[n] for n in range(4)], weights))
-    met = points.join(squares.hint("shuffle_hash"), [*key, "cx", "cy"], "left")
-    return met.select(*line, "sample", "metres", "x", "y", F.when(weight > 0, F.try_divide(total, weight)).alias("v"))
+    low, high = F.ceil(F.col("_from") / spacing), F.ceil((F.col("_from") + F.col("_length")) / spacing) - 1
+    last = F.col("_x").isNull()
+    v = v.select(*line, "x", "y", F.coalesce("_x", "x").alias("_x"), F.coalesce("_y", "y").alias("_y"), "_from", "_length", last.alias("_last"), low.alias("_low"), F.when(last, low).otherwise(high).alias("_high")).where("_low <= _high")
+
+    def over(a: Column, b: Column) -> Column:
+        return F.explode(F.sequence(F.floor((F.least(a, b) - _SPARE) / block), F.floor((F.greatest(a, b) + _SPARE) / block)))
+
+    def share(c: str, at: Column) -> list[Column]:
+        """The share of a segment, from and to, along which ``c`` lies in the block; the whole where it doesn't change."""
+        ends = [F.try_divide(edge - F.col(c), F.col(f"_{c}") - F.col(c)) for edge in (at * block - _SPARE, (at + 1) * block + _SPARE)]
+        return [F.greatest(F.least(*ends), F.lit(0.0)), F.least(F.greatest(*ends), F.lit(1.0))]
+
+    v = v.select("*", over(F.col("x"), F.col("_x")).alias("_bx")).select("*", *[c.alias(n) for n, c in zip(("_s", "_t"), share("x", F.col("_bx")), strict=True)])
+    v = v.select("*", over(*[F.col("y") + F.col(c) * (F.col("_y") - F.col("y")) for c in ("_s", "_t")]).alias("_by"))
+    s, t = share("y", F.col("_by"))
+    v = v.withColumns({"_s": F.greatest("_s", s), "_t": F.least("_t", t)}).where("_s <= _t")
+    to = lambda c: (F.col("_from") + F.col(c) * F.col("_length")) / spacing
+    v = v.withColumns({"_low": F.greatest("_low", F.ceil(to("_s")) - 1), "_to": F.least("_high", F.floor(to("_t")) + 1)}).where("_low <= _to")
+    v = v.withColumn("_k", F.explode(F.sequence("_low", "_to", F.lit(_STRETCH).cast("long")))).withColumn("_to", F.least("_to", F.col("_k") + (_STRETCH - 1)))
+    return v.select(*line, *_STRETCHES)
+
+
+def _nine(x: np.ndarray) -> np.ndarray:
+    """Nine decimals, halves away from zero: whole numbers stay whole."""
+    scaled = x * 1e9
+    return np.where(np.isfinite(scaled), np.trunc(scaled + np.copysign(0.5, x)) / 1e9, x)
+
+
+def _samples(stretches: Arrays, rows: np.ndarray, v: np.ndarray, there: np.ndarray, spacing: float, block: int) -> tuple[np.ndarray, ...]:
+    """The samples of some rows of ``stretches`` whose squares begin in the block: row, sample, metres, x, y, value and whether they have one."""
+    n = (stretches["_to"] - stretches["_k"] + 1)[rows]
+    row = np.repeat(rows, n)
+    k = np.arange(len(row)) + np.repeat(stretches["_k"][rows] - (np.cumsum(n) - n), n)
+    start, length = stretches["_from"][row], stretches["_length"][row]
+    metres = np.where(stretches["_last"][row], start, k * float(spacing))
+    part = np.divide(metres - start, length, out=np.zeros(len(row)), where=length > 0)
+    x, y = (_nine(stretches[c][row] + part * (stretches[f"_{c}"][row] - stretches[c][row])) for c in ("x", "y"))
+    i, j = np.floor(x).astype(np.int64) - stretches["_bx"][0] * block, np.floor(y).astype(np.int64) - stretches["_by"][0] * block
+    own = (i >= 0) & (i < block) & (j >= 0) & (j < block)
+    row, k, metres, x, y, i, j = (a[own] for a in (row, k, metres, x, y, i, j))
+    to_x, to_y = x - np.floor(x), y - np.floor(y)
+    total, weight = np.zeros(len(row)), np.zeros(len(row))
+    for right in (0, 1):
+        for below in (0, 1):
+            w = (to_x if right else 1 - to_x) * (to_y if below else 1 - to_y)
+            held = (w > 0) & there[j + below, i + right]
+            total += np.where(held, v[j + below, i + right] * w, 0.0)
+            weight += np.where(held, w, 0.0)
+    return row, k, metres, x, y, np.divide(total, weight, out=np.zeros(len(row)), where=weight > 0), weight > 0
+
+
+def _along(vertices: DataFrame, cells: DataFrame, spacing: float, size: float, block: int, made: Callable[..., Mapping[str, pa.Array]], result: str) -> DataFrame:
+    """line and the columns of ``result`` that ``made`` gives for samples, taken block by block: ``row`` among them says of which stretch.
+
+    Stretches of segments, not samples, are sent to the blocks of cells that they cross. Blocks with many samples are dealt to several keys, each with
+    the block's cells.
+    """
+    key = grid_key(cells)
+    line = [*key, "line_id"]
+    at = [*key, "_bx", "_by"]
+    stretches = _stretches(vertices, key, spacing, size, block)
+    crossed = cut(stretches.groupBy(at).agg(F.ceil(F.sum(F.col("_to") - F.col("_k") + 1) / _DEAL).alias("_deals")), "crossed")
+    # crowded blocks are fewer than a _DEAL-th of the samples
+    crowded, deals = F.broadcast(crossed.where("_deals > 1")), F.coalesce("_deals", F.lit(1).cast("long"))
+    near = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / block), F.floor((F.col(c) - 1) / block))))
+    held = cells.where("v IS NOT NULL").select(*key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("v").cast("double").alias("v"))
+    held = held.select("*", near("x").alias("_bx")).select("*", near("y").alias("_by"))
+    held = meet(held, crossed.select(at), at, "left_semi").join(crowded, at, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("_deals")
+    stretches = stretches.join(crowded, at, "left").withColumn("_deal", F.pmod(F.xxhash64(*line, "_k", "x", "y"), deals)).drop("_deals")
+    names, step = [c.split()[0] for c in result.split(",")], _STEP
+
+    def run(drawn: pa.Table, of_block: pa.Table) -> pa.Table:
+        arrays = {c: drawn[c].to_numpy() for c in _STRETCHES}
+        parts = []
+        if drawn.num_rows:
+            j, i = (of_block[c].to_numpy() - arrays[f"_b{c}"][0] * block for c in ("y", "x"))
+            there = np.zeros((block + 1, block + 1), bool)
+            there[j, i] = True
+            v = np.full((block + 1, block + 1), -np.inf)
+            np.maximum.at(v, (j, i), of_block["v"].to_numpy())
+            steps = (np.cumsum(arrays["_to"] - arrays["_k"] + 1) - 1) // step
+            for rows in np.split(np.arange(drawn.num_rows), np.flatnonzero(np.diff(steps)) + 1):
+                got = made(*_samples(arrays, rows, v, there, spacing, block))
+                parts.append(pa.table([*[drawn[c].combine_chunks().take(pa.array(got["row"])) for c in line], *[got[c] for c in names]], [*line, *names]))
+        empty = pa.table([drawn[c].slice(0, 0) for c in line], line)
+        return pa.concat_tables(parts) if parts else pa.table([*empty.columns, *[pa.array([], {"long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in result.split(",")]], [*line, *names])
+
+    schema = ", ".join([f"{c} {dict(vertices.dtypes)[c]}" for c in line] + [result])
+    # stretches are small beside their samples, so tasks are not merged on size
+    tasks, to = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*at, "_deal"]
+    return stretches.repartition(tasks, *to).groupBy(to).cogroup(held.repartition(tasks, *to).groupBy(to)).applyInArrow(run, schema)
+
+
+def sampled_lines(vertices: DataFrame, cells: DataFrame, spacing: float = 30.0, size: float = 30.0, block: int = BLOCK) -> DataFrame:
+    """line_id, sample, metres, x, y, v: points every ``spacing`` metres along lines, and their last vertices, with bilinear values.
+
+    vertices: line_id, seq, x, y in cells (whole numbers are centres of cells; grid_id, where the cells have it, is part of
+    a line's name). A vertex's distance is the running sum of its line's segments, and each segment lays the multiples of ``spacing``
+    that fall on it. Of the four cells around a point those count that are there and have a weight; none of them, no value
+    (null). Lines of one vertex are one point; vertices with a null are left out.
+    """
+
+    def made(row: np.ndarray, k: np.ndarray, metres: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, known: np.ndarray) -> Mapping[str, pa.Array]:
+        return {"row": row, "sample": pa.array(k), "metres": pa.array(metres), "x": pa.array(x), "y": pa.array(y), "v": pa.array(v, mask=~known)}
+
+    return _along(vertices, cells, spacing, size, block, made, "sample long, metres double, x double, y double, v double")
+
+
+def profiled_lines(vertices: DataFrame, cells: DataFrame, spacing: float = 30.0, size: float = 30.0, block: int = BLOCK) -> DataFrame:
+    """``line_profiles`` of ``sampled_lines``, whose samples never become rows: each stretch of a segment is summed up in its block, and what lies
+    between two stretches is added along the line."""
+
+    def made(row: np.ndarray, k: np.ndarray, metres: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, known: np.ndarray) -> Mapping[str, pa.Array]:
+        # samples of a stretch stand side by side, in order
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        end = np.append(first, len(row))[1:]
+        of = np.repeat(np.arange(len(first)), end - first)
+        n = np.bincount(of[known], minlength=len(first))
+        own, at, values = of[known], metres[known], v[known]
+        some = n > 0
+        begin = (np.cumsum(n) - n)[some]
+        least, most, steep = (np.zeros(len(first)) for _ in range(3))
+        ends = {c: np.zeros(len(first)) for c in ("v0", "m0", "v1", "m1")}
+        rise, run, to = np.diff(values), np.diff(at), own[1:]
+        same = to == own[:-1]
+        rise, run, to = rise[same], run[same], to[same]
+        up, down = (np.bincount(to, weights=np.maximum(r, 0.0), minlength=len(first)).astype(float) for r in (rise, -rise))
+        np.maximum.at(steep, to[run > 0], np.abs(rise[run > 0] / run[run > 0]))
+        if len(begin):
+            least[some], most[some] = np.fmin.reduceat(values, begin), np.maximum.reduceat(values, begin)
+            for c, a, place in (("v0", values, begin), ("m0", at, begin), ("v1", values, begin + n[some] - 1), ("m1", at, begin + n[some] - 1)):
+                ends[c][some] = a[place]
+        null = lambda a: pa.array(a, mask=~some)
+        steps = np.bincount(to[run > 0], minlength=len(first)) > 0
+        return {"row": row[first], "first": pa.array(k[first]), "points": pa.array(end - first), "length": pa.array(metres[end - 1]), "n": pa.array(n), "least": null(least), "most": null(most), "up": null(up), "down": null(down), "steep": pa.array(steep, mask=~steps)} | {c: null(a) for c, a in ends.items()}
+
+    doubles = ("length", "least", "most", "up", "down", "steep", "v0", "m0", "v1", "m1")
+    parts = _along(vertices, cells, spacing, size, block, made, "first long, points long, n long, " + ", ".join(f"{c} double" for c in doubles))
+    line = [*grid_key(cells), "line_id"]
+    w = Window.partitionBy(*line).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("n") > 0, F.struct("v1", "m1")), ignorenulls=True).over(w)
+    seen = parts.withColumn("_b", before).withColumns({"_rise": F.col("v0") - F.col("_b.v1"), "_run": F.col("m0") - F.col("_b.m1")})
+    climb = lambda own, x: F.when(F.sum("n") > 0, F.coalesce(F.sum(own), F.lit(0.0)) + F.coalesce(F.sum(F.greatest(x, F.lit(0.0))), F.lit(0.0)))
+    return seen.groupBy(*line).agg(
+        F.max("length").alias("length_m"), F.sum("points").alias("points"), F.min("least").alias("lowest"), F.max("most").alias("highest"),
+        climb("up", F.col("_rise")).alias("ascent"), climb("down", -F.col("_rise")).alias("descent"), F.max(F.greatest("steep", F.when(F.col("_run") > 0, F.abs(F.col("_rise") / F.col("_run"))))).alias("steepest"),
+    )
 
 
 def line_profiles(samples: DataFrame) -> DataFrame:

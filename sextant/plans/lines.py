@@ -112,7 +112,7 @@ def _w2_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM (SELECT line_id, max(metres) AS length_m, count(*) AS points FROM t GROUP BY line_id) n LEFT JOIN g USING (line_id) GROUP BY line_id",
 )
 def _w2_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.line_profiles(lines.sampled_lines(view(spark, sf_dir, "drawn"), view(spark, sf_dir, "relief")))
+    out = lines.profiled_lines(view(spark, sf_dir, "drawn"), view(spark, sf_dir, "relief"))
     return out.select("line_id", F.round("length_m", 4).alias("length_m"), "points", *[_r(F.round(c, 4), c) for c in ("lowest", "highest", "ascent", "descent")])
 
 

@@ -297,3 +297,38 @@ def test_tables_of_cells_are_never_broadcast_on_the_size_of_their_files(spark, s
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
     cells = spark.createDataFrame([(x, y, float((x - 2) ** 2 + (y - 2) ** 2)) for x in range(5) for y in range(5)], "x int, y int, v double")
     assert "Broadcast" not in _plan(grids.pools(cut(grids.fill_depressions(cells), "filled"), 1, 0.0))
+
+
+def test_profiles_of_stretches_equal_those_of_samples(spark, monkeypatch):
+    # lines over many blocks, along their edges, beyond the cells, and back; blocks dealt, stretches and steps cut short
+    for name, value in (("_STRETCH", 5), ("_STEP", 16), ("_DEAL", 64)):
+        monkeypatch.setattr(lines, name, value)
+    rng = random.Random(14)
+    cells = [(x, y, rng.random() * 9) for x in range(-8, 30) for y in range(-8, 30) if rng.random() < 0.9 and not 12 <= x < 16]
+    cells += [(3, 3, 50.0), (3, 4, float("nan"))]
+    at = lambda: rng.choice([-9.0, -8.0, 0.0, 7.0, 8.0, 15.0, 16.0, rng.uniform(-12, 34)])
+    drawn = [(n, k, at(), at()) for n in range(12) for k in range(rng.choice([1, 2, 9]))]
+    drawn += [(20, 0, 2.0, 2.0), (20, 1, 2.0, 2.0), (21, 0, 99.0, 99.0), (21, 1, 70.0, 99.0), (22, 0, 8.0, -9.0), (22, 1, 8.0, 40.0), (None, 0, 1.0, 1.0), (None, 1, 6.0, 1.0)]
+    table = spark.createDataFrame(cells, "x int, y int, v double")
+    vertices = spark.createDataFrame(drawn, "line_id long, seq long, x double, y double")
+    text = lambda v: v if v is None or isinstance(v, int) else f"{v:.9g}"
+    samples = {}
+    for block in (8, 256):
+        rows = lines.sampled_lines(vertices, table, 21.0, 30.0, block).collect()
+        samples[block] = sorted(tuple(map(str, r)) for r in rows)
+        assert len(set(r[:2] for r in samples[block])) == len(rows) > 500
+    assert samples[8] == samples[256] and any(r[5] == "nan" for r in samples[8]) and any(r[5] == "None" for r in samples[8])
+    want = sorted(str([text(v) for v in r]) for r in lines.line_profiles(lines.sampled_lines(vertices, table, 21.0)).collect())
+    for block in (8, 256):
+        assert sorted(str([text(v) for v in r]) for r in lines.profiled_lines(vertices, table, 21.0, block=block).collect()) == want
+
+
+def test_profiles_send_no_samples_between_tasks(spark, monkeypatch):
+    cells = spark.range(400).select(F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(1.0).alias("v"))
+    drawn = spark.createDataFrame([(1, 1, 0.5, 0.5), (1, 2, 398.5, 0.5)], "line_id long, seq long, x double, y double")
+    seen = []
+    monkeypatch.setattr(lines, "cut", lambda df, name: seen.append((name, df.collect())) or cut(df, name))
+    out = lines.profiled_lines(drawn, cells, 0.1)
+    assert [(r.points, r.length_m, r.lowest, r.ascent) for r in out.collect()] == [(119_401, 11_940.0, 1.0, 0.0)]
+    assert seen[0][0] == "crossed" and len(seen[0][1]) == 2
+    assert _rows_joined(out) < 1000

@@ -332,3 +332,19 @@ def test_profiles_send_no_samples_between_tasks(spark, monkeypatch):
     assert [(r.points, r.length_m, r.lowest, r.ascent) for r in out.collect()] == [(119_401, 11_940.0, 1.0, 0.0)]
     assert seen[0][0] == "crossed" and len(seen[0][1]) == 2
     assert _rows_joined(out) < 1000
+
+
+def test_crowded_cells_are_dealt_on_both_sides(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([0.0, 0.2, 0.4]), rng.choice([0.0, 0.3])) for k in range(300)] + [(k, rng.uniform(-60, 60), rng.uniform(-180, 180)) for k in range(300, 400)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    want = sorted(tuple(r) for r in spatial.radius_join(df, df, 100.0, decimals=6, gather=False).select("id", "r_id").collect())
+    monkeypatch.setattr(spatial, "GATHER", 4)
+    monkeypatch.setattr(spatial, "DEAL", 16)
+    out = spatial.radius_join(df, df, 100.0, decimals=6)
+    assert sorted(tuple(r) for r in out.select("id", "r_id").collect()) == want and len(want) > 40_000
+    plan = _plan(out)
+    joined = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert "_lot#" in joined and "_deal#" in joined
+    # the loop over pairs is compiled apart from the join
+    assert "Coalesce" in plan[: plan.index("SortMergeJoin")]

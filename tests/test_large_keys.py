@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sextant.functions.geo import haversine_km
 from sextant.operators import agreement, assets, corridors, grids, lines, quality, rollups, spatial
 from sextant.plans import registry
 from sextant.plans.views import view
@@ -348,3 +349,18 @@ def test_crowded_cells_are_dealt_on_both_sides(spark, monkeypatch):
     assert "_lot#" in joined and "_deal#" in joined
     # the loop over pairs is compiled apart from the join
     assert "Coalesce" in plan[: plan.index("SortMergeJoin")]
+
+
+def test_far_places_are_told_apart_before_the_distance(spark):
+    rng = random.Random(6)
+    rows = [(k, round(rng.uniform(-90, 90), 1), round(rng.uniform(-180, 180), 1)) for k in range(60)] + [(60, 90.0, 5.0), (61, -90.0, 7.0), (62, 0.0, 180.0), (63, 0.0, -180.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    out = spatial.radius_join(df, df, 700.0, decimals=6)
+    joined = next(line for line in _plan(out).splitlines() if "SortMergeJoin" in line)
+    assert 0 < joined.index("_p0#") < joined.index("ASIN")
+    every = df.crossJoin(df.toDF("r_id", "r_lat", "r_lon")).select("id", "r_id", haversine_km(*map(F.col, ("lat", "lon", "r_lat", "r_lon"))).alias("km")).collect()
+    km = sorted(r.km for r in every)
+    # radii of none, of exactly a pair's distance, and beyond half the globe
+    for radius in (0.0, km[1500], km[3000], 25_000.0):
+        got = {(r.id, r.r_id) for r in spatial.radius_join(df, df, radius).select("id", "r_id").collect()}
+        assert got == {(r.id, r.r_id) for r in every if r.km <= radius}
